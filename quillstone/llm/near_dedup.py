@@ -23,6 +23,10 @@ from .textops import SHINGLE_WORDS, Words, distinct_per_row, mix, pieces
 #: 25 bands of 5 coordinates: a pair of similarity 0.85 misses all of them with probability 4e-7, one of 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
 _BLOCK = 1 << 15
+#: Coordinates of which a signature keeps one byte each, to tell pairs near the threshold before their sets are moved.
+SKETCH = 512
+#: Places of the bitmap of wanted ids: 4 MB, whatever the corpus.
+FILTER_BITS = 25
 #: Members of a bucket that are compared as one block.
 _MEMBERS = 1024
 
@@ -74,10 +78,10 @@ def _sketched(bands: int, rows: int, width: int):
         for batch in pieces(batches):
             values, offsets = distinct_per_row(*Words(batch.column("text")).shingles(width))
             counts = np.diff(offsets)
-            signature = signatures(values, offsets, bands * rows)
+            step = max(SKETCH, bands * rows)
+            signature = signatures(values, offsets, step)
             keys = band_keys(signature, bands, rows)
             low = signature.astype(np.uint8).tobytes()
-            step = bands * rows
             sketch = [low[k : k + step] for k in range(0, len(low), step)]
             whole = memoryview(values.view(np.uint8))
             digests = [hashlib.blake2b(whole[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:])]
@@ -87,9 +91,32 @@ def _sketched(bands: int, rows: int, width: int):
     return run
 
 
-def _sets(width: int):
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)
+        words, which = np.unique(at >> np.uint64(6), return_inverse=True)
+        masks = np.zeros(len(words), np.uint64)
+        np.bitwise_or.at(masks, which, np.uint64(1) << (at & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** FILTER_BITS hashed places that holds every id of a one-column table; its size never grows."""
+    words = ids.mapInArrow(_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def _sets(width: int, shared):
+    """Full shingle sets of the rows whose id the bitmap may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in pieces(batches):
+            at = mix(batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)
+            held = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            batch = batch.filter(pa.array(held))
             values, offsets = distinct_per_row(*Words(batch.column("text")).shingles(width))
             whole = values.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([whole[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "shingles"])
@@ -115,12 +142,14 @@ def _linked(percent: int):
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = SHINGLE_WORDS) -> DataFrame:
     """Those pairs (a, b) of document ids whose full shingle sets have 100 * intersection >= percent * union.
 
-    Only the texts of documents on a pair are shuffled, once. A document on very many pairs is dealt to as many salts
-    as its pairs need, so that no task meets more than about HOT_ROWS of them.
+    No text is shuffled: a bitmap of fixed size tells the scan which documents may be on a pair, and only their sets
+    leave it. A document on very many pairs is dealt to as many salts as its pairs need, so that no task meets more
+    than about HOT_ROWS of them.
     """
     total = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    sets = written(docs.select("doc_id", "text").mapInArrow(_sets(width, shared), "id long, shingles binary"), "sets")
 
     def salted(rows: DataFrame, key: str, other: str) -> DataFrame:
         hot = hot_keys(rows, key, total).select(key, F.ceil(F.col("count") / HOT_ROWS).alias("salts"))
@@ -132,7 +161,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = SHIN
         return rows.join(wanted.withColumnsRenamed({"id": key, "shingles": f"of_{key}"}), [key, "salt"]).drop("salt")
 
     both = with_sets(with_sets(pairs, "b", "a"), "a", "b").select("a", "b", "of_a", "of_b")
-    return written(both.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    links = written(both.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    dropped(sets)
+    return links
 
 
 
@@ -234,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
     members = joined(placed, mixed, "bucket")
     members = members.join(nodes.select("node", "sketch"), "node")
-    apart = written(_apart(members, percent, bands * rows).join(tried, ["a", "b"], "left_anti"), "apart")
+    apart = written(_apart(members, percent, max(SKETCH, bands * rows)).join(tried, ["a", "b"], "left_anti"), "apart")
     dropped(shared)
     dropped(placed)
     labels = components(links.unionByName(confirmed(apart, source, percent, width)))
