@@ -244,9 +244,9 @@ def is_immediate_parent_of(path: Column, other: Column) -> Column:
     return F.coalesce(parent(other) == path, F.lit(False))
 
 
-def client_person(client: Column, seconds: Column, offset: Column) -> Column:
+def client_person(client: Column, seconds: Column, offset: Column, domain: str = "client.invalid") -> Column:
     """The committer that a client writes as; the time is given, never read from a clock here."""
-    return F.struct(client.alias("name"), F.concat(client, F.lit("@forge.invalid")).alias("email"), seconds.cast("long").alias("seconds"), offset.cast("int").alias("offset"))
+    return F.struct(client.alias("name"), F.concat(client, F.lit(f"@{domain}")).alias("email"), seconds.cast("long").alias("seconds"), offset.cast("int").alias("offset"))
 
 
 def entry_name(number: Column) -> Column:

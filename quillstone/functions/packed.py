@@ -9,16 +9,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..tables import ENTRIES
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflated(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.decompress(bytes(x)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def deflated(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.compress(bytes(x)))
 
@@ -110,7 +111,7 @@ def parse_config(text: str) -> dict[str, list[str]]:
     return out
 
 
-@F.pandas_udf("map<string,array<string>>")
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 def parsed_config(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else parse_config(t))
 
