@@ -282,7 +282,7 @@ def train(docs: DataFrame, least_share: float = LEAST_SHARE, frequent: float = F
     packed, added = "kind int, bucket int, keys binary, counts binary", "kind int, bucket int, n_keys long, total long, keys binary, counts binary"
 
     def counted(keys_of) -> DataFrame:
-        rows = texts.mapInArrow(_counted(buckets, keys_of), packed).repartition(buckets, "kind", "bucket")
+        rows = texts.mapInArrow(_counted(buckets, keys_of), packed).repartitionById(buckets, F.pmod(F.col("bucket") + F.col("kind") * 7, F.lit(buckets)).cast("int"))
         return rows.sortWithinPartitions("kind", "bucket").mapInArrow(_added, added)
 
     def gathered(table: DataFrame, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -471,6 +471,6 @@ def scored(docs: DataFrame, learnt: str = "crc32(coalesce(cast(doc_id as string)
     tree = train(source.filter(learnt), least_share, frequent)
     shared = spark.sparkContext.broadcast(tree)
     packets = source.select("doc_id", "text", F.expr(f"coalesce({learnt}, false)").alias("learnt")).mapInArrow(_scored(shared, buckets), _PACKET)
-    looked = packets.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_looked_up(buckets), _PACKET)
-    final = looked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    looked = packets.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_looked_up(buckets), _PACKET)
+    final = looked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
     return final.mapInArrow(_finished(tree.lexicon.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
