@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..tables import EXEC, FILE, SYM, TREE
 
 ZEROS = "0" * 40
-HASH = "^[0-9a-f]{40}$"
+HASH = r"^[0-9a-f]{40}\z"
 #: Characters at either end of a name that a person line cannot hold.
 _EDGES = r"[\x00-\x20.,:;<>\"'\\]+"
 
@@ -122,10 +122,11 @@ def _values(lines: Column, key: str) -> Column:
 
 
 def parsed_commit(body: Column) -> Column:
-    """A struct (tree, parents, author, committer, message); parents in order, headers of other kinds dropped."""
+    """A struct (tree, parents, author, committer, message), null for a null body; parents in order, headers of other kinds dropped."""
     lines, message = _headers(body)
     one = lambda key: F.get(_values(lines, key), F.lit(0))
-    return F.struct(one("tree").alias("tree"), _values(lines, "parent").alias("parents"), parsed_person(one("author")).alias("author"), parsed_person(one("committer")).alias("committer"), message.alias("message"))
+    made = F.struct(one("tree").alias("tree"), _values(lines, "parent").alias("parents"), parsed_person(one("author")).alias("author"), parsed_person(one("committer")).alias("committer"), message.alias("message"))
+    return F.when(body.isNotNull(), made)
 
 
 def parsed_tag(body: Column) -> Column:
@@ -160,7 +161,7 @@ def parsed_journal(text: Column) -> Column:
     return F.transform(lines, entry)
 
 
-_REF = r"^refs/remotes/([^/]+)/([^/]+)$"
+_REF = r"^refs/remotes/([^/]+)/([^/]+)\z"
 
 
 def branch_ref(client: Column, branch: Column) -> Column:
@@ -197,7 +198,7 @@ def parsed_path(path: Column) -> Column:
     """The path without one slash at each end; null where a segment is empty, `.`, `..` or has other characters."""
     bare = F.regexp_replace(F.regexp_replace(path, "^/", ""), "/$", "")
     parts = F.split(bare, "/")
-    fine = (bare == "") | (F.forall(parts, lambda s: s.rlike(f"^{_SEGMENT}$") & ~s.isin(".", "..")))
+    fine = (bare == "") | (F.forall(parts, lambda s: s.rlike(rf"^{_SEGMENT}\z") & ~s.isin(".", "..")))
     return F.when(fine, bare)
 
 

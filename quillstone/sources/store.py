@@ -93,7 +93,9 @@ class Store:
 
     def commits(self) -> DataFrame:
         """(hash, tree, parents, author, committer, message)."""
-        return self.objects.filter("type = 'commit'").select("hash", codec.parsed_commit(F.col("body")).alias("c")).select("hash", "c.*")
+        # The optimizer may parse before it filters, so other bodies are made null first.
+        body = F.when(F.col("type") == "commit", F.col("body"))
+        return self.objects.filter("type = 'commit'").select("hash", codec.parsed_commit(body).alias("c")).select("hash", "c.*")
 
     def edges(self) -> DataFrame:
         return self.commits().select(F.col("hash").alias("child"), F.posexplode("parents").alias("ord", "parent")).select("child", "parent", "ord")
