@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .textops import pieces
 
 #: How the byte-pair vocabularies in use cut a text into pieces.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken"}
 _GROUP = ["source", "lang", "tokenizer"]
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
@@ -114,20 +114,16 @@ class TokenRollup:
         return self._claim(ready, marker)
 
     def _claim(self, ready, marker) -> bool:
-        """Makes the marker unless there is one: it is created exclusively, then filled by its creator."""
+        """Renames the finished file to the batch's name, which one writer alone can do; False for any other."""
+        context = self.spark.sparkContext
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration())
+        options = context._gateway.new_array(getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = self._fs.create(marker, False)
-        except Exception as error:  # the file is there: another driver was first
+            files.rename(ready, marker, options)
+        except Exception:
             if self._fs.exists(marker):
                 return False
-            raise error
-        source = self._fs.open(ready)
-        data = bytearray()
-        while (byte := source.read()) >= 0:
-            data.append(byte)
-        source.close()
-        out.write(data)
-        out.close()
+            raise
         return True
 
     def deltas(self) -> list[str]:
@@ -135,7 +131,7 @@ class TokenRollup:
         commits = self._path(f"{self.folder}/commits")
         if not self._fs.exists(commits):
             return []
-        names = [s.getPath().toString() for s in self._fs.listStatus(commits) if s.getLen()]
+        names = [s.getPath().toString() for s in self._fs.listStatus(commits)]
         lines = self.spark.read.text(names).collect() if names else []
         return sorted(f"{self.folder}/{json.loads(r[0])['delta']}" for r in lines)
 

@@ -177,6 +177,34 @@ def brute_classes(rows, percent):
     return {i: find(i) for i in root}
 
 
+@pytest.fixture
+def crowded(monkeypatch):
+    """Limits so low that a few rows make a hot key, a salted document and a bucket of many blocks."""
+    from quillstone.llm import spread
+
+    monkeypatch.setattr(spread, "HOT_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 2)
+    monkeypatch.setattr(near_dedup, "_MEMBERS", 3)
+
+
+def test_hot_keys_change_nothing(spark, crowded):
+    base = [f"v{k}" for k in range(60)]
+    rows = [(k, " ".join(base)) for k in range(1, 30)]
+    draw = random.Random(6)
+    for k in range(40):
+        copy = list(base)
+        for at in draw.sample(range(60), draw.randrange(1, 6)):
+            copy[at] = f"n{k}x{at}"
+        rows.append((100 + k, " ".join(copy)))
+    rows += [(200 + k, "same short text") for k in range(12)]
+    want = brute_classes(rows, 80)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(odd_rows(spark, rows), 80).collect()} == want
+    got = exact_dedup.exact_duplicates(odd_rows(spark, rows)).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in got if r["doc_id"] < 30 or r["doc_id"] >= 200} == {k: 29 for k in range(1, 30)} | {200 + k: 211 for k in range(12)}
+    star = spark.createDataFrame([(0, k) for k in range(1, 40)], "a long, b long")
+    assert {r["component"] for r in components(star).collect()} == {0}
+
+
 def test_near_duplicates_match_brute_force(spark):
     draw = random.Random(3)
     rows = list(CASES)
@@ -322,3 +350,12 @@ def test_exact_duplicates_with_colliding_hashes(spark):
             keep = max((i for i in ids if i is not None), default=None)
             assert (r["keep_id"], r["group_size"], r["kept"]) == (keep, len(ids), r["doc_id"] == keep)
     assert exact_dedup.exact_duplicates(odd_rows(spark, [])).count() == 0
+
+
+def test_two_drivers_with_one_batch_count_it_once(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/totals"
+    one, other = TokenRollup(spark, folder), TokenRollup(spark, folder)
+    rows = signed(inserts=spark.createDataFrame([("a", "en", "hello")], "source string, lang string, text string"))
+    monkeypatch.setattr(other, "committed", lambda batch: False)  # it looked before the first had committed
+    assert one.apply("1", rows) and not other.apply("1", rows)
+    assert one.totals().first()["n_docs"] == 1 and len(one.deltas()) == 1
