@@ -281,10 +281,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     placed = written(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
     members = written(joined(placed, mixed, "bucket").select("bucket", "size", "node", "n_shingles", "component"), "members")
-    apart = written(_apart(members, nodes.select("node", "sketch").distinct(), percent, max(SKETCH, bands * rows)).join(tried, ["a", "b"], "left_anti"), "apart")
+    sketches = nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
+    sketches = written(sketches.distinct(), "sketches")
+    apart = written(_apart(members, sketches, percent, max(SKETCH, bands * rows)).join(tried, ["a", "b"], "left_anti"), "apart")
     dropped(shared)
     dropped(placed)
     dropped(members)
+    dropped(sketches)
     labels = components(links.unionByName(confirmed(apart, source, percent, width)))
     told = joined(base, labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = sketch.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
