@@ -7,12 +7,12 @@ state: count times Kullback-Leibler divergence against a likelihood-ratio cutoff
 (c + 1) / (N + V + 1), whose one spare share stands for unknown words. So every state's distribution sums to one. A
 word is scored in the state of the longest suffix of what precedes it.
 
-Counts are gathered as packed arrays of keys, cut into buckets, so a shuffle moves a few large rows, and reducers add
-in NumPy. All words are counted. Sequences are counted where each of their words has at least the share
-SEQUENCE_SHARE ** (1 / length), and stay with at least the share LEAST_SHARE of all tokens (the P_min of Ron, Singer
-and Tishby), so the tree has at most 1 / LEAST_SHARE entries a length whatever the corpus. Words above the share
-FREQUENT are broadcast (1 / FREQUENT at most); all others are looked up in one pass over buckets, each of which holds
-at most that share of the tokens a word.
+All words and all sequences of up to DEPTH + 1 words are counted, as packed arrays that reducers add in NumPy; those
+that occur LEAST times and have LEAST_SHARE of all tokens (the P_min of Ron, Singer and Tishby) are kept. The tree
+stays a table: nothing of it goes to the driver or is broadcast. A sequence's key is made of those of its sequences without the last and
+without the first word. What a word gains over the root is a sum of one term for each sequence that ends in it and one
+for each context before it, so each is looked up by its own key: a chunk of texts asks once for each of its distinct
+keys, and the answers meet its texts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,58 +29,44 @@ from .spread import dropped, written
 from .textops import Table, Words, mix, pieces, sum_per_row
 
 DEPTH = 2
-SEQUENCE_SHARE = 1e-10
+#: Occurrences, and share of all tokens, that keep a sequence.
+LEAST = 2
 LEAST_SHARE = 2e-7
-FREQUENT = 5e-7
-_BITS = 21  # of a word's number: 1 / FREQUENT words at most
+_BITS = 21  # of a word's number in codes of SuffixTree
 #: The end token's key among the words.
 _END_WORD = np.uint64(0x2545F4914F6CDD1D)
-_FLUSH = 3_000_000
+_FLUSH = 2_000_000
+#: Bytes of text that ask for their keys together.
+_CHUNK = 24 << 20
 
 
-class Lexicon:
-    """The frequent words: counts by number, the most frequent first."""
+def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of a sequence from those of it without its last word and without its first."""
+    return mix(mix(prefix) * np.uint64(0x9E3779B97F4A7C15) + suffix)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
-        self.table, self.tokens, self.distinct = Table(keys), tokens, distinct
-        order = np.lexsort((keys, -counts))
-        self.number = np.empty(len(keys), np.int64)
-        self.number[order] = np.arange(len(keys))
-        self.counts = counts[order]
-
-    @property
-    def scale(self) -> float:
-        return float(self.tokens + self.distinct + 1)
-
-    def numbers(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each token of each row (its words and an end), -1 for others, and the rows' offsets."""
-        offsets = words.first + np.arange(len(words.first))
-        keys = np.full(offsets[-1], _END_WORD, np.uint64)
-        inside = np.ones(offsets[-1], dtype=bool)
-        inside[offsets[1:] - 1] = False
-        keys[inside] = words.hashes
-        at = self.table.find(keys)
-        return np.where(at >= 0, self.number[at] if len(self.number) else -1, -1), offsets
-
-    def end(self) -> int:
-        at = int(self.table.find(np.array([_END_WORD]))[0])
-        return int(self.number[at]) if at >= 0 else -1
-
-
-def sequences(numbers: np.ndarray, offsets: np.ndarray, end: int, lengths: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 2: the code of the words up to each token, and the largest of their numbers (-1: not all known)."""
-    code, worst = numbers.astype(np.uint64), numbers.copy()
-    before = numbers
-    known = numbers >= 0
-    for k in range(1, lengths):
-        shifted = np.full(len(numbers), -1, np.int64)
-        shifted[1:] = before[:-1]
-        shifted[offsets[:-1]] = end if k == 1 else -1
-        before = shifted
-        known = known & (before >= 0)
-        code = code | (np.where(known, before, 0).astype(np.uint64) << np.uint64(_BITS * k))
-        worst = np.maximum(worst, before)
-        yield np.where(known, code, 0).astype(np.uint64), np.where(known, worst, -1)
+
+def padded(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each row's tokens, an end before and after its words, and the rows' offsets."""
+    offsets = words.first + 2 * np.arange(len(words.first))
+    keys = np.full(offsets[-1], _END_WORD, np.uint64)
+    inside = np.ones(offsets[-1], dtype=bool)
+    inside[offsets[:-1]] = False
+    inside[offsets[1:] - 1] = False
+    keys[inside] = words.hashes
+    return keys, offsets
+
+
+def sequences(keys: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2: where sequences end, their prefixes' and suffixes' keys and their own."""
+    place = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
+    before = keys
+    for n in range(2, length + 1):
+        at = np.flatnonzero(place >= n - 1)
+        prefix, suffix = before[at - 1], before[at]
+        own = joined(prefix, suffix)
+        yield at, prefix, suffix, own
+        before = np.zeros(len(keys), np.uint64)
+        before[at] = own
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,368 +79,435 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _mask(words: int) -> np.uint64:
-    return np.uint64((1 << (_BITS * words)) - 1)
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
 
+def summed_pairs(prefix: np.ndarray, suffix: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of prefixes, and the sums of their counts."""
+    if not len(prefix):
+        return prefix, suffix, counts
+    order = np.argsort(joined(prefix, suffix))
+    p, s = prefix[order], suffix[order]
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
+    p, s, counts = p[first], s[first], np.add.reduceat(counts[order], first)
+    order = np.argsort(p, kind="stable")
+    return p[order], s[order], counts[order]
 
-def _bucketed(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    where = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+
+def _split(where: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    rows = [(b, keys[x:y].tobytes(), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+    return order, [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
+
+
+_PACKET = "bucket long, kind int, chunk long, a binary, b binary, c binary"
+
+
+def _packets(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(rows), 16):
-        some = rows[k : k + 16]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(some), pa.int32()), pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())],
-            names=["kind", "bucket", "keys", "counts"],
-        )
+        columns = list(zip(*rows[k : k + 16]))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _PACKET.split(", ")])
+
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(c)[k].as_py() for c in range(6))
 
-def _counted(buckets: int, keys_of):
-    """Packed counts of the keys that keys_of(batch) yields by kind; a task's counts are added up before they leave it."""
+
+def _word_counts(buckets: int):
+    """Packed counts of words, added up in a task before they leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list[tuple] = []
 
-        def shrink(kind: int) -> int:
-            held[kind] = [summed(*(np.concatenate(x) for x in zip(*held[kind])))]
-            return len(held[kind][0][0])
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
+            order, cuts = _split(_bucket(keys, buckets), buckets)
+            keys, counts = keys[order], counts[order].astype(np.int64)
+            yield from _packets([(b, 0, 0, keys[x:y].tobytes(), counts[x:y].tobytes(), b"") for b, x, y in cuts])
 
         for batch in pieces(batches):
-            for kind, keys, counts in keys_of(batch):
-                held.setdefault(kind, []).append((keys, counts))
-                if sum(len(x[0]) for x in held[kind]) > _FLUSH and shrink(kind) > _FLUSH // 2:
-                    yield from _bucketed(kind, *held.pop(kind)[0], buckets)
-        for kind in held:
-            if held[kind]:
-                shrink(kind)
-                yield from _bucketed(kind, *held[kind][0], buckets)
+            held.append(np.unique(Words(batch.column("text")).hashes, return_counts=True))
+            held.append((np.array([_END_WORD]), np.array([batch.num_rows])))
+            if sum(len(x[0]) for x in held) > _FLUSH:
+                held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                if len(held[0][0]) > _FLUSH // 2:
+                    yield from out()
+                    held = []
+        if held:
+            yield from out()
 
     return run
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    yield 0, *np.unique(Words(batch.column("text")).hashes, return_counts=True)
-    yield 0, np.array([_END_WORD]), np.array([batch.num_rows])
+def _added_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the packed counts of each bucket; rows come sorted by it."""
+    held: list[tuple] = []
+    last = None
+
+    def row() -> pa.RecordBatch:
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([last], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())],
+            names=["bucket", "n_keys", "total", "keys", "counts"],
+        )
+
+    for bucket, _, _, keys, counts, _ in _unpacked(batches):
+        if held and bucket != last:
+            yield row()
+            held = []
+        last = bucket
+        held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+        if len(held) > 8:
+            held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        yield row()
+
+
+def _sequence_counts(buckets: int, length: int):
+    """Packed counts of all sequences, by bucket of the prefix; distinct prefixes, their numbers of suffixes, suffixes and counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
 
-def _word_sequences(shared, limits: list[int]):
-    """Sequences of length k + 2 whose words all have numbers under limits[k]."""
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            prefix, suffix, counts = held[n][0]
+            order, cuts = _split(_bucket(prefix, buckets), buckets)
+            prefix, suffix, counts = prefix[order], suffix[order], counts[order].astype(np.int32)
+            rows = []
+            for b, x, y in cuts:
+                first = _starts(prefix[x:y])
+                some = np.diff(np.append(first, y - x)).astype(np.uint32)
+                rows.append((b, n, 0, prefix[x:y][first].tobytes() + some.tobytes(), suffix[x:y].tobytes(), counts[x:y].tobytes()))
+            yield from _packets(rows)
 
-    def run(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        lexicon: Lexicon = shared.value
-        numbers, offsets = lexicon.numbers(Words(batch.column("text")))
-        for k, (codes, worst) in enumerate(sequences(numbers, offsets, lexicon.end(), len(limits) + 1)):
-            yield k + 2, *np.unique(codes[(worst >= 0) & (worst < limits[k])], return_counts=True)
+        for batch in pieces(batches):
+            keys, offsets = padded(Words(batch.column("text")))
+            for n, (_, prefix, suffix, _) in enumerate(sequences(keys, offsets, length), 2):
+                held.setdefault(n, []).append(summed_pairs(prefix, suffix, np.ones(len(prefix), np.int64)))
+                if sum(len(x[0]) for x in held[n]) > _FLUSH:
+                    held[n] = [summed_pairs(*(np.concatenate(x) for x in zip(*held[n])))]
+                    if len(held[n][0][0]) > _FLUSH // 2:
+                        yield from out(n)
+                        held[n] = []
+        for n in held:
+            if held[n]:
+                held[n] = [summed_pairs(*(np.concatenate(x) for x in zip(*held[n])))]
+                yield from out(n)
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the packed counts of each (kind, bucket); rows come sorted by those."""
-    held: tuple | None = None
+def _added_sequences(least: float):
+    """Sums the packed counts of each (length, bucket); keeps sequences that occur often enough, with the occurrences of their prefix."""
 
-    def row() -> pa.RecordBatch:
-        (kind, bucket), parts = held
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            prefix, suffix, counts = summed_pairs(*(np.concatenate(x) for x in zip(*held)))
+            first = _starts(prefix)
+            total = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(prefix))))
+            keep = np.flatnonzero(counts >= least)
+            for k in range(0, len(keep), 1 << 16):
+                at = keep[k : k + (1 << 16)]
+                columns = [pa.array(np.full(len(at), last[0], np.int32)), pa.array(prefix[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(counts[at]), pa.array(total[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "prefix", "suffix", "count", "total"])
+
+        for bucket, n, _, a, b, c in _unpacked(batches):
+            if held and (n, bucket) != last:
+                yield from rows()
+                held = []
+            last = (n, bucket)
+            suffix, counts = np.frombuffer(b, np.uint64), np.frombuffer(c, np.int32).astype(np.int64)
+            distinct = len(a) // 12
+            prefix = np.repeat(np.frombuffer(a, np.uint64, distinct), np.frombuffer(a, np.uint32, distinct, 8 * distinct))
+            held.append((prefix, suffix, counts))
+            if len(held) > 8:
+                held = [summed_pairs(*(np.concatenate(x) for x in zip(*held)))]
+        if held:
+            yield from rows()
+
+    return run
+
+
+_TERMS = "kind int, key long, value double, shorter double"
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which contexts become states. Rows (prefix, suffix, count, total, shorter: log10 of the last word's probability in
+    the longest shorter state) come sorted by prefix. Kind 1: sequences, what they add to their suffix's log10
+    probability beyond the context's weight, and that probability itself; kind 2: states, log10 of their weights."""
+
+    def terms(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        prefix, suffix, counts, total, log = (np.concatenate(x) for x in zip(*parts))
+        first = _starts(prefix)
+        kinds = np.diff(np.append(first, len(prefix)))
+        which = np.repeat(np.arange(len(first)), kinds)
+        whole, kept = total[first].astype(float), np.add.reduceat(counts, first).astype(float)
+        shorter = 10**log
+        rest = np.maximum(1 - np.add.reduceat(shorter, first), 1e-12)
+        other = whole - kept
+        divergence = np.add.reduceat(counts * np.log(counts / total / shorter), first)
+        divergence += np.where(other > 0, other * np.log(np.maximum(other, 1) / whole / rest), 0)
+        state = divergence >= kinds + 3.0  # about the upper 5 % point of half a chi-square with `kinds` degrees
+        weight = np.log10((other + kinds) / (whole + kinds) / rest)
+        inside = state[which]
+        value = np.where(inside, np.log10(counts / (whole + kinds)[which]), log)
+        term = np.where(inside, value - weight[which] - log, 0.0)
+        key = joined(prefix.view(np.uint64), suffix.view(np.uint64)).view(np.int64)
+        n, m = len(key), int(state.sum())
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())],
-            names=["kind", "bucket", "n_keys", "total", "keys", "counts"],
+            [pa.array(np.repeat(np.array([1, 2], np.int32), [n, m])), pa.array(np.concatenate([key, prefix[first][state]])), pa.array(np.concatenate([term, weight[state]])), pa.array(np.concatenate([value, np.zeros(m)]))],
+            names=["kind", "key", "value", "shorter"],
         )
 
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        for kind, bucket, keys, counts in zip(*(batch.column(k) for k in range(4))):
-            at = (kind.as_py(), bucket.as_py())
-            if held and held[0] != at:
-                yield row()
-                held = None
-            held = held or (at, [])
-            held[1].append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)))
-            if len(held[1]) > 8:
-                held = (at, [summed(*(np.concatenate(x) for x in zip(*held[1])))])
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+        # A context may go on in the next batch.
+        cut = int(_starts(columns[0])[-1])
+        if cut or (held and held[-1][0][-1] != columns[0][0]):
+            held.append([x[:cut] for x in columns])
+            held = [h for h in held if len(h[0])]
+            yield terms(held)
+            held = []
+        held.append([x[cut:] for x in columns])
     if held:
-        yield row()
+        yield terms(held)
 
 
-def _above(least: float):
+def _unpacked_words(least: float, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, keys, counts in zip(*(batch.column(c) for c in ("kind", "keys", "counts"))):
-                keys, counts = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
+            for keys, counts in zip(batch.column("keys"), batch.column("counts")):
+                keys, counts = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
                 keep = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array([kind.as_py()], pa.int32()), pa.array([keys[keep].tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], names=["kind", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(np.log10((counts[keep] + 1) / scale)), pa.array(counts[keep])], names=["key", "shorter", "count"])
 
     return run
 
 
+class Model:
+    """words: packed counts by bucket; terms: a table for each length from 2, as `_states` makes them."""
+
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = LEAST):
+        """Learns from every row of docs (text). The driver receives two totals."""
+        spark = docs.sparkSession
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.depth = depth
+        texts = docs.select(F.col("text").cast("string").alias("text"))
+        rows = texts.mapInArrow(_word_counts(self.buckets), _PACKET).repartitionById(self.buckets, F.col("bucket").cast("int"))
+        self.words = written(rows.sortWithinPartitions("bucket").mapInArrow(_added_words, "bucket long, n_keys long, total long, keys binary, counts binary"), "words")
+        self.tokens, self.distinct = self.words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+        self.scale = float(self.tokens + self.distinct + 1)
+        least = max(least, LEAST_SHARE * self.tokens)
+        rows = texts.mapInArrow(_sequence_counts(self.buckets, depth + 1), _PACKET).repartitionById(self.buckets, F.col("bucket").cast("int"))
+        counted = written(rows.sortWithinPartitions("kind", "bucket").mapInArrow(_added_sequences(least), "n int, prefix long, suffix long, count long, total long"), "sequences")
+        self.terms: list[DataFrame] = []
+        shorter = self.root(least).select("key", "shorter")
+        for n in range(2, depth + 2):
+            rows = counted.filter(F.col("n") == n).join(shorter, F.col("suffix") == F.col("key")).select("prefix", "suffix", "count", "total", "shorter")
+            self.terms.append(written(rows.repartition(self.buckets, "prefix").sortWithinPartitions("prefix").mapInArrow(_states, _TERMS), "terms"))
+            shorter = self.terms[-1].filter("kind = 1").select("key", "shorter")
+        dropped(counted)
+
+    def root(self, least: float = 1) -> DataFrame:
+        return self.words.mapInArrow(_unpacked_words(least, self.scale), "key long, shorter double, count long")
+
+
+class Lexicon:
+    """Words of a tree by number, the most frequent first."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((keys, -counts))
+        self.keys, self.counts = keys[order], counts[order]
+
+
 class SuffixTree:
-    """States by length, and what each adds to the root's log10 probability of a word."""
+    """The whole model of a small corpus in one place."""
 
-    def __init__(self, lexicon: Lexicon, grams: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, lexicon: Lexicon, scale: float, terms: list[tuple[np.ndarray, np.ndarray]], weights: list[tuple[np.ndarray, np.ndarray]]):
         self.lexicon = lexicon
         #: log10 of the root's probability by number.
-        self.root = np.log10((lexicon.counts + 1) / lexicon.scale)
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        #: By context length: states, log10 of their weights for other words; context + word, log10 probability.
-        self.states: list[tuple[Table, np.ndarray]] = []
-        self.entries: list[tuple[Table, np.ndarray]] = []
-        for k in range(1, DEPTH + 1):
-            keys, counts = grams.get(k + 1, none)
-            context = keys >> np.uint64(_BITS)
-            # A context occurs as often as its own sequence of words.
-            own, own_counts = (np.arange(len(lexicon.counts), dtype=np.uint64), lexicon.counts) if k == 1 else grams.get(k, none)
-            at = Table(own).find(context)
-            keys, counts, context, at = keys[at >= 0], counts[at >= 0], context[at >= 0], at[at >= 0]
-            if not len(keys):
-                self.states.append((Table(none[0]), np.zeros(0)))
-                self.entries.append((Table(none[0]), np.zeros(0)))
-                continue
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            kinds = np.diff(np.append(first, len(keys)))
-            which = np.repeat(np.arange(len(first)), kinds)
-            total = own_counts[at[first]].astype(float)
-            kept = np.add.reduceat(counts, first).astype(float)
-            shorter = 10 ** self.log10(keys, k)
-            rest = np.maximum(1 - np.add.reduceat(shorter, first), 1e-12)
-            other = np.maximum(total - kept, 0)
-            divergence = np.add.reduceat(counts * np.log(counts / total[which] / shorter), first)
-            divergence += np.where(other > 0, other * np.log(np.maximum(other, 1) / total / rest), 0)
-            state = divergence >= kinds + 3.0  # about the upper 5 % point of half a chi-square with `kinds` degrees
-            weight = (other + kinds) / (np.maximum(total, kept) + kinds) / rest
-            self.states.append((Table(context[first][state]), np.log10(weight[state])))
-            keep = state[which]
-            self.entries.append((Table(keys[keep]), np.log10(counts / (np.maximum(total, kept) + kinds)[which])[keep]))
+        self.root = np.log10((lexicon.counts + 1) / scale)
+        self._terms = [(Table(k), v) for k, v in terms]
+        self._weights = [(Table(k), v) for k, v in weights]
+        numbers = self._weights[0][0].find(lexicon.keys) if self._weights else np.zeros(0, np.int64)
+        #: By context length: states (numbers of single words, keys of longer contexts), log10 of their weights for other words.
+        self.states = [(Table(np.flatnonzero(numbers >= 0).astype(np.uint64)), self._weights[0][1][numbers[numbers >= 0]]), *self._weights[1:]] if self._weights else []
 
     def log10(self, codes: np.ndarray, length: int) -> np.ndarray:
-        """log10 probability of the last word of each sequence of that length in the longest state before it."""
-        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
-        for k in range(min(length - 1, len(self.states)), 0, -1):
-            (states, weights), (entries, values) = self.states[k - 1], self.entries[k - 1]
-            code = codes[open_] & _mask(k + 1)
-            here = states.find(code >> np.uint64(_BITS))
-            entry = np.where(here >= 0, entries.find(code), -1)
-            out[open_[entry >= 0]] += values[entry[entry >= 0]]
-            passed = (here >= 0) & (entry < 0)
-            out[open_[passed]] += weights[here[passed]]
-            open_ = open_[entry < 0]
-        out[open_] += self.root[(codes[open_] & _mask(1)).astype(np.int64)]
+        """log10 probability of the last word of each sequence of that length (numbers of _BITS bits) in the longest state before it."""
+        row = np.stack([self.lexicon.keys[((codes >> np.uint64(_BITS * k)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)] for k in range(length - 1, -1, -1)], axis=1)
+        out = self.root[(codes & np.uint64((1 << _BITS) - 1)).astype(np.int64)].copy()
+        before = row
+        for k in range(length - 1):
+            for (table, values), keys in ((self._weights[k], before[:, -2]), (self._terms[k], joined(before[:, -2], before[:, -1]))):
+                at = table.find(keys)
+                out[at >= 0] += values[at[at >= 0]]
+            before = joined(before[:, :-1], before[:, 1:])
         return out
 
-    def gains(self, numbers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """What the tree adds to the root's log10 probability of each token; numbers are -1 for words outside the lexicon."""
-        gain = np.zeros(len(numbers))
-        known = numbers >= 0
-        word = np.where(known, numbers, 0).astype(np.uint64)
-        contexts = []
-        before = numbers
-        code, fine = np.zeros(len(numbers), np.uint64), np.ones(len(numbers), dtype=bool)
-        for k in range(1, DEPTH + 1):
-            shifted = np.full(len(numbers), -1, np.int64)
-            shifted[1:] = before[:-1]
-            shifted[offsets[:-1]] = self.lexicon.end() if k == 1 else -1
-            before = shifted
-            fine = fine & (before >= 0)
-            code = code | (np.where(fine, before, 0).astype(np.uint64) << np.uint64(_BITS * (k - 1)))
-            contexts.append((code, fine))
-        open_ = np.arange(len(numbers))
-        for k in range(DEPTH, 0, -1):
-            (states, weights), (entries, values) = self.states[k - 1], self.entries[k - 1]
-            code, fine = contexts[k - 1]
-            some = open_[fine[open_]]
-            here = states.find(code[some])
-            some, here = some[here >= 0], here[here >= 0]
-            entry = np.where(known[some], entries.find((code[some] << np.uint64(_BITS)) | word[some]), -1)
-            done = some[entry >= 0]
-            gain[done] += values[entry[entry >= 0]] - self.root[numbers[done]]
-            gain[some[entry < 0]] += weights[here[entry < 0]]
-            left = np.ones(len(numbers), dtype=bool)
-            left[done] = False
-            open_ = open_[left[open_]]
-        return gain
-
-
-def train(docs: DataFrame, least_share: float = LEAST_SHARE, frequent: float = FREQUENT) -> SuffixTree:
-    """Learns from every row of docs (text). The driver receives what the shares bound, and totals."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    packed, added = "kind int, bucket int, keys binary, counts binary", "kind int, bucket int, n_keys long, total long, keys binary, counts binary"
-
-    def counted(keys_of) -> DataFrame:
-        rows = texts.mapInArrow(_counted(buckets, keys_of), packed).repartitionById(buckets, F.pmod(F.col("bucket") + F.col("kind") * 7, F.lit(buckets)).cast("int"))
-        return rows.sortWithinPartitions("kind", "bucket").mapInArrow(_added, added)
-
-    def gathered(table: DataFrame, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        parts: dict[int, list] = {}
-        for row in table.mapInArrow(_above(least), "kind int, keys binary, counts binary").toLocalIterator():
-            parts.setdefault(row["kind"], []).append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)))
-        return {kind: summed(*(np.concatenate(x) for x in zip(*x_))) for kind, x_ in parts.items()}
-
-    words = written(counted(_words), "words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    lexicon = Lexicon(*gathered(words, max(2, frequent * tokens)).get(0, none), tokens, distinct)
-    dropped(words)
-    limits = [int((lexicon.counts >= max(2, tokens * SEQUENCE_SHARE ** (1 / n))).sum()) for n in range(2, DEPTH + 2)]
-    shared = spark.sparkContext.broadcast(lexicon)
-    return SuffixTree(lexicon, gathered(counted(_word_sequences(shared, limits)), max(2, least_share * tokens)))
-
-
-_PACKET = "bucket int, kind int, ids binary, hashes binary, a binary, b binary, c binary, d binary"
 
+def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> SuffixTree:
+    """Learns from every row of docs (text) and gathers the model in the driver, to look at that of a small corpus."""
+    model = Model(docs, depth, least)
 
-def _packets(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(rows), 16):
-        columns = list(zip(*rows[k : k + 16]))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in _PACKET.split(", ")])
+    def sorted_columns(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+        got = table.select("key", value).toArrow()
+        keys, values = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+        order = np.argsort(keys)
+        return keys[order], values[order]
 
+    lexicon = Lexicon(*sorted_columns(model.root(least), "count"))
+    return SuffixTree(lexicon, model.scale, [sorted_columns(t.filter("kind = 1"), "value") for t in model.terms], [sorted_columns(t.filter("kind = 2"), "value") for t in model.terms])
 
-def _split(where: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    return order, [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
 
+def _home(chunk: int, buckets: int) -> int:
+    return ((chunk >> 32) + (chunk & 0xFFFFFFFF)) % buckets
 
-def _scored(shared, buckets: int):
-    """Packets of kind 0: rows' own sums, by bucket of the row; kind 1: rare words with their rows, by bucket of the word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: SuffixTree = shared.value
-        lexicon = tree.lexicon
-        shift = np.log10(lexicon.scale)
-        logs = np.log10(lexicon.counts + 1)
-        for batch in pieces(batches, 8 << 20):
-            parts = []
-            for piece in pieces([batch]):
-                words = Words(piece.column("text"))
-                numbers, offsets = lexicon.numbers(words)
-                gain = sum_per_row(tree.gains(numbers, offsets), offsets)
-                known = numbers >= 0
-                rows = np.repeat(np.arange(piece.num_rows), np.diff(offsets))
-                base = np.bincount(rows[known], weights=logs[numbers[known]], minlength=piece.num_rows) - np.diff(offsets) * shift
-                n_known = np.bincount(rows[known], minlength=piece.num_rows)
-                keys = np.full(len(numbers), _END_WORD, np.uint64)
-                inside = np.ones(len(numbers), dtype=bool)
-                inside[offsets[1:] - 1] = False
-                keys[inside] = words.hashes
-                rare_rows, rare = rows[~known], keys[~known]
-                hashes = np.array([xxhash.xxh3_64_intdigest(t.as_buffer()) if t.is_valid else 0 for t in piece.column("text")], np.uint64)
-                parts.append((words.counts + 1, gain, base, n_known, hashes, rare_rows, rare))
-            ids = batch.column("doc_id")
-            missing = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            train_ = batch.column("learnt").to_numpy(zero_copy_only=False)
-            tokens, gain, base, n_known, hashes = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            sizes = np.cumsum([0, *(len(p[0]) for p in parts)])
-            rare_rows = np.concatenate([p[5] + s for p, s in zip(parts, sizes)])
-            rare = np.concatenate([p[6] for p in parts])
-            hashes = mix(hashes ^ missing.astype(np.uint64))
-            order, cuts = _split((mix(ids.view(np.uint64) ^ hashes) % np.uint64(buckets)).astype(np.int64), buckets)
-            flags = missing.astype(np.uint8) + 2 * train_.astype(np.uint8)
-            mine = [x[order] for x in (ids, hashes, np.stack([gain, base], axis=1), np.stack([tokens, n_known], axis=1), flags)]
-            yield from _packets([(b, 0, *(v[x:y].tobytes() for v in mine), b"") for b, x, y in cuts])
-            order, cuts = _split((mix(rare) % np.uint64(buckets)).astype(np.int64), buckets)
-            rare, rare_rows = rare[order], rare_rows[order]
-            out = []
-            for b, x, y in cuts:
-                own, which = np.unique(rare_rows[x:y], return_inverse=True)
-                out.append((b, 1, ids[own].tobytes(), hashes[own].tobytes(), rare[x:y].tobytes(), which.astype(np.uint32).tobytes(), train_[own].astype(np.uint8).tobytes(), b""))
-            yield from _packets(out)
+def _asked(buckets: int, length: int):
+    """Kind 3: a chunk's distinct keys by their bucket; kind 4: its texts, at the bucket of the chunk."""
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at, size = TaskContext.get().partitionId(), 0, 0
+        held: list[np.ndarray] = []
 
+        def keys_of(chunk: int) -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(held))
+            order, cuts = _split(_bucket(keys, buckets), buckets)
+            keys = keys[order]
+            yield from _packets([(b, 3, chunk, keys[x:y].tobytes(), b"", b"") for b, x, y in cuts])
 
-def _looked_up(buckets: int):
-    """Counts the rare words of a bucket and gives each row its share; packets of kind 0 pass through."""
+        for batch in pieces(batches):
+            chunk = (task << 32) + at
+            words = Words(batch.column("text"))
+            keys, offsets = padded(words)
+            held.append(np.unique(np.concatenate([keys, *(own for *_, own in sequences(keys, offsets, length))])))
+            if len(held) > 6:
+                held = [np.unique(np.concatenate(held))]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield from _packets([(_home(chunk, buckets), 4, chunk, sink.getvalue().to_pybytes(), b"", b"")])
+            size += int(words.offsets[-1])
+            if size > _CHUNK:
+                yield from keys_of(chunk)
+                held, at, size = [], at + 1, 0
+        if held:
+            yield from keys_of((task << 32) + at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
+    return run
 
-        def answer() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([np.frombuffer(h[0], np.int64) for h in held])
-            hashes = np.concatenate([np.frombuffer(h[1], np.uint64) for h in held])
-            learnt = np.concatenate([np.frombuffer(h[4], np.uint8) for h in held])
-            starts = np.cumsum([0, *(len(h[0]) // 8 for h in held)])
-            keys = np.concatenate([np.frombuffer(h[2], np.uint64) for h in held])
-            rows = np.concatenate([np.frombuffer(h[3], np.uint32).astype(np.int64) + s for h, s in zip(held, starts)])
-            order = np.argsort(keys)
-            keys, rows = keys[order], rows[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            which = np.cumsum(first) - 1
-            count = np.bincount(which, weights=learnt[rows])[which]
-            gain = np.bincount(rows, weights=np.log10(count + 1), minlength=len(ids))
-            known = np.bincount(rows, weights=count > 0, minlength=len(ids)).astype(np.int64)
-            some = np.flatnonzero(known)
-            ids, hashes, gain, known = ids[some], hashes[some], gain[some], known[some]
-            order, cuts = _split((mix(ids.view(np.uint64) ^ hashes) % np.uint64(buckets)).astype(np.int64), buckets)
-            values = [v[order] for v in (ids, hashes, gain, known)]
-            yield from _packets([(b, 1, *(v[x:y].tobytes() for v in values), b"", b"") for b, x, y in cuts])
 
+def _packed_terms(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                bucket, kind, *rest = (batch.column(c)[k].as_py() for c in range(8))
-                if kind == 0:
-                    yield batch.slice(k, 1)
-                    continue
-                if held and bucket != last:
-                    yield from answer()
-                    held = []
-                last = bucket
-                held.append(tuple(rest))
-        if held:
-            yield from answer()
+            kind, key, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "value"))
+            for k in (1, 2):
+                some = np.flatnonzero((kind == k) & (value != 0))
+                keys, values = key[some].view(np.uint64), value[some]
+                order, cuts = _split(_bucket(keys, buckets), buckets)
+                keys, values = keys[order], values[order]
+                yield from _packets([(b, k, 0, keys[x:y].tobytes(), values[x:y].tobytes(), b"") for b, x, y in cuts])
 
     return run
 
 
-def _finished(tokens: int):
-    """Adds the parts of each row of a bucket."""
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+def _answered(buckets: int):
+    """Answers the keys asked for in each bucket: kinds 0 to 2 at the bucket of the chunk; packets of texts pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[list] = [[], [], [], [], []]
-        more: list[list] = [[], [], [], []]
-        last = None
+        last, held, tables = None, {}, None
+        for row in _unpacked(batches):
+            bucket, kind, chunk, a, b, _ = row
+            if kind == 4:
+                yield from _packets([row])
+                continue
+            if bucket != last:
+                last, held, tables = bucket, {}, None
+            if kind < 3:
+                held.setdefault(kind, []).append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float64 if kind else np.int64)))
+                continue
+            if tables is None:
+                tables = {}
+                for k, parts in held.items():
+                    keys, values = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(keys)
+                    tables[k] = Table(keys[order]), values[order]
+                held = {}
+            keys = np.frombuffer(a, np.uint64)
+            for k, (table, values) in tables.items():
+                at = table.find(keys)
+                found = at >= 0
+                if found.any():
+                    yield from _packets([(_home(chunk, buckets), k, chunk, keys[found].tobytes(), values[at[found]].tobytes(), b"")])
 
-        def rows() -> pa.RecordBatch:
-            ids, hashes, sums, numbers, flags = (np.concatenate(x) for x in own)
-            key = np.rec.fromarrays([ids, hashes], names="i,h")
-            # Repeated rows bring equal parts: each takes its share of their sum.
-            distinct, which, copies = np.unique(key, return_inverse=True, return_counts=True)
-            gain, known = np.zeros(len(distinct)), np.zeros(len(distinct))
-            if more[0]:
-                part = np.rec.fromarrays([np.concatenate(more[0]), np.concatenate(more[1])], names="i,h")
-                at = np.searchsorted(distinct, part)
-                gain += np.bincount(at, weights=np.concatenate(more[2]), minlength=len(distinct))
-                known += np.bincount(at, weights=np.concatenate(more[3]), minlength=len(distinct))
-            gain, known = (gain / copies)[which], np.rint(known / copies)[which].astype(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=(flags & 1).astype(bool)), pa.array((flags & 2) == 0), pa.array(numbers[:, 0]), pa.array(numbers[:, 1] + known), pa.array(np.full(len(ids), tokens, np.int64)), pa.array(sums[:, 1] + gain), pa.array(sums[:, 0] + sums[:, 1] + gain)],
-                names=names,
-            )
+    return run
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                bucket, kind, ids, hashes, a, b, c, _ = (batch.column(j)[k].as_py() for j in range(8))
-                if own[0] and bucket != last:
-                    yield rows()
-                    own, more = [[] for _ in own], [[] for _ in more]
-                last = bucket
-                if kind == 0:
-                    for to, v in zip(own, (np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.uint64), np.frombuffer(a, np.float64).reshape(-1, 2), np.frombuffer(b, np.int64).reshape(-1, 2), np.frombuffer(c, np.uint8))):
-                        to.append(v)
-                else:
-                    for to, v in zip(more, (np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.uint64), np.frombuffer(a, np.float64), np.frombuffer(b, np.int64))):
-                        to.append(v)
-        if own[0]:
-            yield rows()
+
+def _finished(tokens: int, scale: float, length: int):
+    """Scores the texts of each chunk; its answers come first."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, tables = None, {}, {}
+
+        def values(kind: int, keys: np.ndarray) -> np.ndarray:
+            table, found = tables[kind]
+            at = table.find(keys)
+            return np.where(at >= 0, found[at], 0) if len(found) else np.zeros(len(keys))
+
+        for _, kind, chunk, a, b, _ in _unpacked(batches):
+            if chunk != last:
+                last, held, tables = chunk, {}, {}
+            if kind < 3:
+                held.setdefault(kind, []).append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float64 if kind else np.int64)))
+                continue
+            if not tables:
+                for k in range(3):
+                    keys, found = (np.concatenate(x) for x in zip(*held[k])) if k in held else (np.zeros(0, np.uint64), np.zeros(0))
+                    order = np.argsort(keys)
+                    tables[k] = Table(keys[order]), found[order]
+                held = {}
+            for batch in pa.ipc.open_stream(a):
+                keys, offsets = padded(Words(batch.column("text")))
+                first = np.zeros(len(keys), dtype=bool)
+                first[offsets[:-1]] = True
+                final = np.zeros(len(keys), dtype=bool)
+                final[offsets[1:] - 1] = True
+                count = np.where(first, 0, values(0, keys))
+                base = np.where(first, 0, np.log10(count + 1) - np.log10(scale))
+                # The last end is no context.
+                gain = np.where(final, 0, values(2, keys))
+                for n, (at, _, _, own) in enumerate(sequences(keys, offsets, length), 2):
+                    gain[at] += values(1, own)
+                    if n < length:
+                        gain[at] += np.where(final[at], 0, values(2, own))
+                base, gain = sum_per_row(base, offsets), sum_per_row(gain, offsets)
+                known = sum_per_row(count > 0, offsets).astype(np.int64)
+                learnt = batch.column("learnt").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(~learnt), pa.array(np.diff(offsets) - 1), pa.array(known), pa.array(np.full(batch.num_rows, tokens, np.int64)), pa.array(base), pa.array(base + gain)],
+                    names=names,
+                )
 
     return run
 
 
-def scored(docs: DataFrame, learnt: str = "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2", least_share: float = LEAST_SHARE, frequent: float = FREQUENT) -> DataFrame:
+def scored(docs: DataFrame, learnt: str = "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2", depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text; others ignored).
 
     The SQL condition `learnt` on doc_id tells the rows that are learnt from; held_out marks the others. Tokens are
@@ -465,12 +518,14 @@ def scored(docs: DataFrame, learnt: str = "crc32(coalesce(cast(doc_id as string)
     A null text counts as empty: its one token is the end. A null doc_id counts as an empty string in `learnt`.
     Repeated rows are counted and returned each. Where nothing is learnt, N = V = 0 and the tree is its root.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree = train(source.filter(learnt), least_share, frequent)
-    shared = spark.sparkContext.broadcast(tree)
-    packets = source.select("doc_id", "text", F.expr(f"coalesce({learnt}, false)").alias("learnt")).mapInArrow(_scored(shared, buckets), _PACKET)
-    looked = packets.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_looked_up(buckets), _PACKET)
-    final = looked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    return final.mapInArrow(_finished(tree.lexicon.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = Model(source.filter(learnt), depth, least)
+    buckets = model.buckets
+    packets = source.select("doc_id", "text", F.expr(f"coalesce({learnt}, false)").alias("learnt")).mapInArrow(_asked(buckets, depth + 1), _PACKET)
+    none = F.lit(b"")
+    packets = packets.unionByName(model.words.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), F.col("keys").alias("a"), F.col("counts").alias("b"), none.alias("c")))
+    for terms in model.terms:
+        packets = packets.unionByName(terms.mapInArrow(_packed_terms(buckets), _PACKET))
+    asked = packets.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind").mapInArrow(_answered(buckets), _PACKET)
+    final = asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("chunk", "kind")
+    return final.mapInArrow(_finished(model.tokens, model.scale, depth + 1), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

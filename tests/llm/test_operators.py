@@ -7,11 +7,12 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from oracle import DATA, same
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, queries, secret_scan, suffix_tree
+from quillstone.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, queries, secret_scan, suffix_tree, textops
 from quillstone.llm.components import components
 from quillstone.llm.token_rollup import TOKENIZERS, TokenRollup, signed, tokenizer
 
@@ -157,6 +158,66 @@ def test_every_state_sums_to_one(spark):
         assert float((10 ** tree.log10(codes, 2)).sum()) + rare * weight == pytest.approx(1, abs=1e-9)
 
 
+def brute_scores(texts, depth, least):
+    """log10 probability of each text under a tree learnt from all of them, word by word."""
+    rows = [[None, *words(t), None] for t in texts]
+    single = Counter(w for r in rows for w in r[1:])
+    n, v = sum(single.values()), len(single)
+    grams = Counter(tuple(r[i : i + k]) for r in rows for k in range(2, depth + 2) for i in range(len(r) - k + 1))
+    after, whole = {}, Counter()
+    for g, c in grams.items():
+        whole[g[:-1]] += c
+        if c >= least:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    states = {}
+
+    def p(context, w):
+        if not context:
+            return (single[w] + 1) / (n + v + 1)
+        if context not in states:
+            return p(context[1:], w)
+        entries, weight = states[context]
+        return entries[w] if w in entries else weight * p(context[1:], w)
+
+    for context in sorted(after, key=len):
+        follow, total = after[context], whole[context]
+        shorter = {w: p(context[1:], w) for w in follow}
+        rest, other = max(1 - sum(shorter.values()), 1e-12), total - sum(follow.values())
+        gain = sum(c * math.log(c / total / shorter[w]) for w, c in follow.items()) + (other * math.log(other / total / rest) if other else 0)
+        if gain >= len(follow) + 3:
+            states[context] = {w: c / (total + len(follow)) for w, c in follow.items()}, (other + len(follow)) / (total + len(follow)) / rest
+    return [sum(math.log10(p(tuple(r[max(0, i - depth) : i]), r[i])) for i in range(1, len(r))) for r in rows], states
+
+
+def passages(draw):
+    """Texts of many words, half of which hold one of a few passages of rare words."""
+    fixed = [" ".join(f"p{k}x{j}" for j in range(6)) for k in range(12)]
+    texts = []
+    for _ in range(150):
+        w = [f"c{int(draw.random() ** 3 * 60)}" if draw.random() < 0.7 else f"r{draw.randrange(4000)}" for _ in range(draw.randrange(5, 60))]
+        if draw.random() < 0.5:
+            w.insert(draw.randrange(len(w)), draw.choice(fixed))
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_scores_match_brute_force_with_every_sequence(spark, depth):
+    texts = passages(random.Random(4)) + ["", "c1 " * 30]
+    want, states = brute_scores(texts, depth, 2)
+    assert sum(len(s) == depth for s in states) > 0 and any(s[-1] and s[-1].startswith("p") for s in states)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(odd_rows(spark, list(enumerate(texts))), "true", depth=depth).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_triples_of_uncommon_words_are_kept(spark):
+    """Each word of the passage has a share of 4e-5, under the 4.6e-4 that a triple's words once needed."""
+    rows = [(k, "one rare passage") for k in range(20)] + [(100 + k, " ".join(f"w{(k * 7919 + j * j) % 211}" for j in range(10_000))) for k in range(50)]
+    tree = suffix_tree.train(odd_rows(spark, rows))
+    w = textops.Words(pa.array(["one rare passage"])).hashes
+    assert tree._terms[1][0].find(suffix_tree.joined(suffix_tree.joined(w[:1], w[1:2]), suffix_tree.joined(w[1:2], w[2:])))[0] >= 0
+
+
 # Near duplicates
 
 
