@@ -8,8 +8,8 @@ state: count times Kullback-Leibler divergence against a likelihood-ratio cutoff
 word is scored in the state of the longest suffix of what precedes it.
 
 All words and all sequences of up to DEPTH + 1 words are counted, as packed arrays that reducers add in NumPy; those
-that occur LEAST times and have LEAST_SHARE of all tokens (the P_min of Ron, Singer and Tishby) are kept. The tree
-stays a table: nothing of it goes to the driver or is broadcast. A sequence's key is made of those of its sequences without the last and
+that occur LEAST times are kept, whatever the size of the corpus, so the tree grows with it. It stays a table: nothing
+of it goes to the driver or is broadcast. A sequence's key is made of those of its sequences without the last and
 without the first word. What a word gains over the root is a sum of one term for each sequence that ends in it and one
 for each context before it, so each is looked up by its own key: a chunk of texts asks once for each of its distinct
 keys, and the answers meet its texts.
@@ -29,9 +29,8 @@ from .spread import dropped, written
 from .textops import Table, Words, mix, pieces, sum_per_row
 
 DEPTH = 2
-#: Occurrences, and share of all tokens, that keep a sequence.
+#: Occurrences that keep a sequence: an absolute number, the same at every size.
 LEAST = 2
-LEAST_SHARE = 2e-7
 _BITS = 21  # of a word's number in codes of SuffixTree
 #: The end token's key among the words.
 _END_WORD = np.uint64(0x2545F4914F6CDD1D)
@@ -205,7 +204,7 @@ def _sequence_counts(buckets: int, length: int):
     return run
 
 
-def _added_sequences(least: float):
+def _added_sequences(least: int):
     """Sums the packed counts of each (length, bucket); keeps sequences that occur often enough, with the occurrences of their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +286,7 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield terms(held)
 
 
-def _unpacked_words(least: float, scale: float):
+def _unpacked_words(least: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column("keys"), batch.column("counts")):
@@ -311,7 +310,6 @@ class Model:
         self.words = written(rows.sortWithinPartitions("bucket").mapInArrow(_added_words, "bucket long, n_keys long, total long, keys binary, counts binary"), "words")
         self.tokens, self.distinct = self.words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
         self.scale = float(self.tokens + self.distinct + 1)
-        least = max(least, LEAST_SHARE * self.tokens)
         rows = texts.mapInArrow(_sequence_counts(self.buckets, depth + 1), _PACKET).repartitionById(self.buckets, F.col("bucket").cast("int"))
         counted = written(rows.sortWithinPartitions("kind", "bucket").mapInArrow(_added_sequences(least), "n int, prefix long, suffix long, count long, total long"), "sequences")
         self.terms: list[DataFrame] = []
@@ -322,7 +320,7 @@ class Model:
             shorter = self.terms[-1].filter("kind = 1").select("key", "shorter")
         dropped(counted)
 
-    def root(self, least: float = 1) -> DataFrame:
+    def root(self, least: int = 1) -> DataFrame:
         return self.words.mapInArrow(_unpacked_words(least, self.scale), "key long, shorter double, count long")
 
 
