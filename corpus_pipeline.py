@@ -24,28 +24,52 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.withColumnRenamed("kept_text", "text").select(*COLUMNS)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the dropped; documents without one stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def keyed(docs: DataFrame, last: bool) -> DataFrame:
+    """docs with a row_id that no two rows share: the doc_id, but for rows that have none or one that others have too.
+
+    Those get numbers beyond all doc_ids, above them where they are to come last, else below; they are written once,
+    so that the numbers stay.
+    """
+    docs = docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").select(F.col("doc_id").alias("shared_id"))
+    if shared.isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id"))
+    shared = written(shared, "shared")
+    low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    number = F.monotonically_increasing_id() + 1
+    same = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    odd = docs.join(shared, same, "left_semi").withColumn("row_id", F.lit(high) + number if last else F.lit(low) - number)
+    return docs.join(shared, same, "left_anti").withColumn("row_id", F.col("doc_id")).unionByName(written(odd, "odd"))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row_id").alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose row_id is not among the dropped doc_ids."""
+    return rows.join(dropped.select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_anti").select(*COLUMNS)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one row of each group of equal texts: that of the largest doc_id; one without, or with a shared one, only for want of others."""
     ship(spark)
-    return without(docs, exact_dedup.exact_duplicates(docs).filter("not kept"))
+    rows = keyed(docs, last=False)
+    return without(rows, exact_dedup.exact_duplicates(by_row(rows)).filter("not kept"))
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
     ship(spark)
-    return without(docs, near_dedup.near_duplicates(docs).filter("not kept"))
+    rows = keyed(docs, last=True)
+    return without(rows, near_dedup.near_duplicates(by_row(rows)).filter("not kept"))
 
 
 def unleaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold at least 0.8 of a benchmark item's shingles."""
+    """Drops rows that hold at least 0.8 of a benchmark item's shingles."""
     ship(spark)
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found)
+    rows = keyed(docs, last=True)
+    return without(rows, decontaminate.leaks(by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

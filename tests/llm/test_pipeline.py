@@ -60,3 +60,25 @@ def test_stages_match_brute_force(spark):
 def test_run_on_the_smallest_tables(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and set(out.columns) == {*pipeline.COLUMNS, "copy", "place"}
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("text is not null").orderBy("item_id").first()["text"]
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = b + " more"
+    rows = [(None, a), (None, a), (1, b), (1, b), (2, c), (2, "x " + item), (None, item + " y"), (3, b), (None, near), (None, near), (7, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    _, (_, distinct), (_, unlike), (_, clean), _ = pipeline.STAGES
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    want = [(None, a), (3, b), (2, c), (2, "x " + item), (None, item + " y"), (None, near), (7, "alone")]
+    second = distinct(spark, docs, DATA).cache()
+    assert told(second) == sorted(want, key=str) and second.columns == docs.columns
+    left = [(i, t) for i, t in want if (i, t) != (None, near)]
+    third = unlike(spark, docs, DATA)
+    texts = sorted(r["text"] for r in third.collect())
+    assert len([t for t in texts if t in (b, near)]) == 1 and texts.count(a) == 1 and texts.count(c) == 1
+    third = unlike(spark, second, DATA).cache()
+    got = told(third)
+    assert (None, near) not in got and set(got) <= set(left) and {(None, a), (3, b), (2, c), (7, "alone")} <= set(got)
+    assert told(clean(spark, third, DATA)) == sorted([(None, a), (3, b), (2, c), (7, "alone")], key=str)
+    assert told(clean(spark, docs, DATA)) == sorted([r for r in rows if item not in r[1]], key=str)
