@@ -19,6 +19,7 @@ FILES = "path string, kind string, body binary"
 TREE, BLOB, FILE, EXEC, SYM, COMMIT = 0o040000, 0o100000, 0o100644, 0o100755, 0o120000, 0o160000
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,7 +45,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The same rows, written once as Parquet in the shared folder and read back; the files go when the JVM ends."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffle files of this write serve nothing after it
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     where, files = _path(spark, folder)
     files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(folder)
