@@ -2,61 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dropped, shared_folder, written
+
 #: A key counts as hot above this share of all rows, so at most 1 / HOT_SHARE keys are hot, and only above HOT_ROWS rows.
 HOT_SHARE = 1e-3
 HOT_ROWS = 10_000
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Where it is unset, as in tests on one machine, a temporary folder serves; a cluster must set it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "folder" not in _OWN:
-        holder = tempfile.TemporaryDirectory(prefix="quillstone-")
-        atexit.register(holder.cleanup)
-        _OWN["folder"] = f"file://{holder.name}"
-    return _OWN["folder"]
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The same rows, written once as Parquet in the shared folder and read back: a lost executor costs no recomputation.
-
-    The table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by `written`, for tables that no later result reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quillstone-" in folder:
-            where = jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """The keys that hold over HOT_SHARE of the rows with their counts: 1 / HOT_SHARE rows at most, whatever the input."""
     total = rows.count() if total is None else total

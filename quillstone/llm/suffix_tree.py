@@ -2,46 +2,108 @@
 
 A text is read as its words (A-Z lower-cased) and one end; an end also stands before its first word. Contexts of up to
 DEPTH words become states of the tree where their next-word distribution diverges from that of their longest shorter
-state: count times Kullback-Leibler divergence against a likelihood-ratio cutoff. A state's distribution is discounted
-(Witten and Bell) and backs off to that of its longest shorter state, down to the root, which is the baseline itself:
-(c + 1) / (N + V + 1), whose one spare share stands for unknown words. So every state's distribution sums to one. A
-word is scored in the state of the longest suffix of what precedes it.
-
-All words and all sequences of up to DEPTH + 1 words are counted, as packed arrays that reducers add in NumPy; those
-that occur LEAST times are kept, whatever the size of the corpus, so the tree grows with it. It stays a table: nothing
-of it goes to the driver or is broadcast. A sequence's key is made of those of its sequences without the last and
-without the first word. What a word gains over the root is a sum of one term for each sequence that ends in it and one
-for each context before it, so each is looked up by its own key: a chunk of texts asks once for each of its distinct
-keys, and the answers meet its texts.
+state: count times Kullback-Leibler divergence against a likelihood-ratio cutoff, the upper LEVEL point of half a
+chi-square. A state's distribution is discounted (Witten and Bell) and backs off to that of its longest shorter state,
+down to the root, which is the baseline itself: (c + 1) / (N + V + 1), whose one spare share stands for unknown words.
+So every state's distribution sums to one. A word is scored in the state of the longest suffix of what precedes it.
+
+All words and all runs of up to DEPTH + 1 words are counted; those that occur LEAST times are kept, whatever the size
+of the corpus, so the tree grows with it. It stays a table: nothing of it goes to the driver or is broadcast.
+
+Texts are cut into chunks, which ask for what they need and get answers in the order in which they asked:
+
+1. A chunk's distinct words go to the word's bucket, by a keyed hash. Words that occur LEAST times get numbers there, the
+   frequent ones low, and the chunk keeps its texts as numbers, with 0 for other words: no run that holds one can occur
+   often enough. The baseline's sums are made on the way.
+2. A chunk's distinct runs go, sorted and packed, to the bucket of their first two words; sums are made there.
+3. States and their runs' terms are aggregates and joins of the tables of runs, a length after the other.
+4. What a run gains over the root is the sum of its terms and of the weights of its contexts, so a chunk asks once for
+   each of its distinct runs and words and adds up the answers by row.
+
+Each step is written before the next and what it no longer needs is deleted, so disk holds a step at a time.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import dropped, written
-from .textops import Table, Words, mix, pieces, sum_per_row
+from .spread import dropped, joined, written
+from .textops import Words, fresh_key, mix, pieces
 
 DEPTH = 2
-#: Occurrences that keep a sequence: an absolute number, the same at every size.
+#: Occurrences that keep a word or run: an absolute number, the same at every size.
 LEAST = 2
-_BITS = 21  # of a word's number in codes of SuffixTree
+#: The normal quantile of the cutoff's level, 5 %.
+QUANTILE = 1.6448536269514722
 #: The end token's key among the words.
 _END_WORD = np.uint64(0x2545F4914F6CDD1D)
-_FLUSH = 2_000_000
-#: Bytes of text that ask for their keys together.
+#: Bytes of text that ask together.
 _CHUNK = 24 << 20
+_ROWS = 1 << 20
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0, or of floats, as compressed byte planes of the least width."""
+    head, planes = [struct.pack("<I", len(columns))], []
+    for x in columns:
+        if x.dtype.kind != "f":
+            most = int(x.max()) if len(x) else 0
+            x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+        head.append(struct.pack("<cBQ", x.dtype.kind.encode(), x.dtype.itemsize, len(x)))
+        planes.append(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *planes]))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    (n,) = struct.unpack_from("<I", data)
+    at, out = 4 + 10 * n, []
+    for k in range(n):
+        kind, size, rows = struct.unpack_from("<cBQ", data, 4 + 10 * k)
+        planes = np.frombuffer(data, np.uint8, rows * size, at).reshape(size, rows)
+        x = np.ascontiguousarray(planes.T).reshape(-1).view(f"{kind.decode()}{size}")
+        out.append(x.astype(np.int64) if kind == b"u" else x)
+        at += rows * size
+    return out
+
+
+_PACKET = "bucket int, kind int, chunk long, part int, a binary, b binary"
+_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _packets(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), 16):
+        columns = list(zip(*rows[k : k + 16]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=[x.split()[0] for x in _PACKET.split(", ")])
 
 
-def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The key of a sequence from those of it without its last word and without its first."""
-    return mix(mix(prefix) * np.uint64(0x9E3779B97F4A7C15) + suffix)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(c)[k].as_py() for c in range(6))
+
+
+def _home(chunk: int, buckets: int) -> int:
+    return ((chunk >> 32) + (chunk & 0xFFFFFFFF)) % buckets
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _split(where: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The places of each bucket that has any, in their order."""
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+    return [(b, order[x:y]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
 
 
 def padded(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -55,452 +117,463 @@ def padded(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys, offsets
 
 
-def sequences(keys: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 2: where sequences end, their prefixes' and suffixes' keys and their own."""
-    place = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
-    before = keys
-    for n in range(2, length + 1):
-        at = np.flatnonzero(place >= n - 1)
-        prefix, suffix = before[at - 1], before[at]
-        own = joined(prefix, suffix)
-        yield at, prefix, suffix, own
-        before = np.zeros(len(keys), np.uint64)
-        before[at] = own
+class Chunk:
+    """Some rows: their distinct words' keys, their tokens as places among these, and the rows' offsets."""
 
+    def __init__(self, parts: list[pa.RecordBatch], key: int):
+        keys, lengths = [], []
+        for batch in parts:
+            own, offsets = padded(Words(batch.column("text"), key))
+            keys.append(own)
+            lengths.append(np.diff(offsets))
+        self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        self.learnt = np.concatenate([b.column("learnt").to_numpy(zero_copy_only=False) for b in parts])
+        self.vocabulary, self.tokens = np.unique(np.concatenate(keys), return_inverse=True)
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    def counts(self) -> np.ndarray:
+        """Occurrences of each word, and of the end after the words, in the rows learnt from."""
+        taken = np.repeat(self.learnt, np.diff(self.offsets))
+        taken[self.offsets[:-1]] = False
+        return np.bincount(self.tokens[taken], minlength=len(self.vocabulary))
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+def _chunked(buckets: int, key: int):
+    """Kind 0: a chunk's texts in parts; kind 1: its distinct words and their counts, by bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at, size = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
 
-def summed_pairs(prefix: np.ndarray, suffix: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in the order of prefixes, and the sums of their counts."""
-    if not len(prefix):
-        return prefix, suffix, counts
-    order = np.argsort(joined(prefix, suffix))
-    p, s = prefix[order], suffix[order]
-    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
-    p, s, counts = p[first], s[first], np.add.reduceat(counts[order], first)
-    order = np.argsort(p, kind="stable")
-    return p[order], s[order], counts[order]
-
-
-def _split(where: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    return order, [(b, int(x), int(y)) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-
+        def words(chunk: int) -> Iterator[pa.RecordBatch]:
+            whole = Chunk(held, key)
+            counts = whole.counts()
+            yield from _packets([(b, 1, chunk, 0, whole.vocabulary[x].tobytes(), packed(counts[x])) for b, x in _split(_bucket(whole.vocabulary, buckets), buckets)])
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
+        for batch in pieces(batches):
+            chunk = (task << 32) + at
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield from _packets([(_home(chunk, buckets), 0, chunk, len(held), sink.getvalue().to_pybytes(), b"")])
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size > _CHUNK:
+                yield from words(chunk)
+                held, at, size = [], at + 1, 0
+        if held:
+            yield from words((task << 32) + at)
 
+    return run
 
-_PACKET = "bucket long, kind int, chunk long, a binary, b binary, c binary"
 
+def _numbered(buckets: int, least: int):
+    """Kind 2: a bucket's kept words' counts in the order of their numbers, its numbers of tokens and of words; kind 3:
+    each chunk's words' numbers (0: not kept) and counts, in the order asked. Rows come sorted by bucket."""
 
-def _packets(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(rows), 16):
-        columns = list(zip(*rows[k : k + 16]))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _PACKET.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
 
+        def out() -> Iterator[pa.RecordBatch]:
+            sizes = [len(k) for _, k, _ in held]
+            words, which = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+            counts = np.bincount(which, weights=np.concatenate([c for *_, c in held])).astype(np.int64)
+            kept = np.flatnonzero(counts >= least)
+            kept = kept[np.lexsort((words[kept], -counts[kept]))]
+            numbers = np.zeros(len(words), np.int64)
+            numbers[kept] = np.arange(len(kept)) * buckets + last + 1
+            yield from _packets([(last, 2, 0, 0, packed(counts[kept]), packed(np.array([counts.sum(), (counts > 0).sum()])))])
+            at = 0
+            for (chunk, *_), n in zip(held, sizes):
+                own = which[at : at + n]
+                yield from _packets([(_home(chunk, buckets), 3, chunk, last, packed(numbers[own], counts[own]), b"")])
+                at += n
+
+        for bucket, _, chunk, _, a, b in _rows(batches):
+            if held and bucket != last:
+                yield from out()
+                held = []
+            last = bucket
+            held.append((chunk, np.frombuffer(a, np.uint64), unpacked(b)[0]))
+        if held:
+            yield from out()
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield tuple(batch.column(c)[k].as_py() for c in range(6))
+    return run
 
 
-def _word_counts(buckets: int):
-    """Packed counts of words, added up in a task before they leave it."""
+def _coded(buckets: int, scale: float, key: int):
+    """Kind 4: a chunk as its kept words' numbers and its tokens as places among these, from 1; and its rows' plain figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        last = None
+        parts: list[pa.RecordBatch] = []
+        answers: dict[int, list[np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
-            order, cuts = _split(_bucket(keys, buckets), buckets)
-            keys, counts = keys[order], counts[order].astype(np.int64)
-            yield from _packets([(b, 0, 0, keys[x:y].tobytes(), counts[x:y].tobytes(), b"") for b, x, y in cuts])
-
-        for batch in pieces(batches):
-            held.append(np.unique(Words(batch.column("text")).hashes, return_counts=True))
-            held.append((np.array([_END_WORD]), np.array([batch.num_rows])))
-            if sum(len(x[0]) for x in held) > _FLUSH:
-                held = [summed(*(np.concatenate(x) for x in zip(*held)))]
-                if len(held[0][0]) > _FLUSH // 2:
-                    yield from out()
-                    held = []
-        if held:
+            whole = Chunk(parts, key)
+            numbers, counts = (np.zeros(len(whole.vocabulary), np.int64) for _ in range(2))
+            for b, x in _split(_bucket(whole.vocabulary, buckets), buckets):
+                numbers[x], counts[x] = answers[b]
+            kept = np.unique(numbers[numbers > 0])
+            places = np.where(numbers > 0, np.searchsorted(kept, numbers) + 1, 0)
+            first = np.zeros(len(whole.tokens), dtype=bool)
+            first[whole.offsets[:-1]] = True
+            count = counts[whole.tokens]
+            base = np.add.reduceat(np.where(first, 0, np.log10(count + 1) - np.log10(scale)), whole.offsets[:-1])
+            known = np.add.reduceat((~first & (count > 0)).astype(np.int64), whole.offsets[:-1])
+            ids = pa.concat_arrays([p.column("doc_id") for p in parts])
+            table = pa.RecordBatch.from_arrays([ids, pa.array(~whole.learnt), pa.array(np.diff(whole.offsets) - 1), pa.array(known), pa.array(base)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(table)
+            yield from _packets([(_home(last, buckets), 4, last, 0, packed(kept, places[whole.tokens]), sink.getvalue().to_pybytes())])
+
+        for _, kind, chunk, part, a, _ in _rows(batches):
+            if parts and chunk != last:
+                yield from out()
+                parts, answers = [], {}
+            last = chunk
+            if kind == 0:
+                parts.extend(pa.ipc.open_stream(a))
+            else:
+                answers[part] = unpacked(a)
+        if parts:
             yield from out()
 
     return run
 
 
-def _added_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the packed counts of each bucket; rows come sorted by it."""
-    held: list[tuple] = []
-    last = None
+class Runs:
+    """The distinct runs of 2 to `width` tokens in some rows, a length after the other.
 
-    def row() -> pa.RecordBatch:
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([last], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())],
-            names=["bucket", "n_keys", "total", "keys", "counts"],
-        )
+    at: where runs of two kept tokens begin; levels: for each length the runs as (place of the run without its last
+    token, last token or 0 where there is none kept), in order, and which of them stands at each of `at`.
+    """
+
+    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, width: int, chosen: np.ndarray | None = None):
+        ends = np.repeat(offsets[1:], np.diff(offsets))
+        ok = np.zeros(len(tokens), dtype=bool)
+        ok[:-1] = (tokens[:-1] > 0) & (tokens[1:] > 0) & (np.arange(1, len(tokens)) < ends[:-1])
+        if chosen is not None:
+            ok &= np.repeat(chosen, np.diff(offsets))
+        self.at = np.flatnonzero(ok)
+        most = int(tokens.max(initial=0)) + 1
+        own, end = tokens[self.at], ends[self.at]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.first = np.zeros(0, np.int64)
+        alive = np.ones(len(own), dtype=bool)
+        for n in range(2, width + 1):
+            place = self.at + n - 1
+            alive = alive & (place < end)
+            more = np.where(alive, tokens[np.minimum(place, len(tokens) - 1)], 0)
+            alive = more > 0
+            codes, own = np.unique(own * most + more, return_inverse=True)
+            self.levels.append((codes // most, codes % most, own))
+        self.first = self.levels[0][0]
+
+    def buckets(self, numbers: np.ndarray, buckets: int) -> list[np.ndarray]:
+        """The bucket of each run of each length, by the numbers of its first two words."""
+        first, second, _ = self.levels[0]
+        out = [_bucket(mix(numbers[first].astype(np.uint64)) + numbers[second].astype(np.uint64), buckets)]
+        for before, _, _ in self.levels[1:]:
+            out.append(out[-1][before])
+        return out
 
-    for bucket, _, _, keys, counts, _ in _unpacked(batches):
-        if held and bucket != last:
-            yield row()
-            held = []
-        last = bucket
-        held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
-        if len(held) > 8:
-            held = [summed(*(np.concatenate(x) for x in zip(*held)))]
-    if held:
-        yield row()
+    def columns(self) -> list[np.ndarray]:
+        """The tokens of each of the longest runs, 0 beyond an end."""
+        out, place = [], np.arange(len(self.levels[-1][0]))
+        for before, last, _ in reversed(self.levels):
+            out.append(last[place])
+            place = before[place]
+        return [place, *reversed(out)]
 
 
-def _sequence_counts(buckets: int, length: int):
-    """Packed counts of all sequences, by bucket of the prefix; distinct prefixes, their numbers of suffixes, suffixes and counts."""
+def _runs(buckets: int, width: int, kind: int, learnt: bool):
+    """The given kind: a chunk's distinct runs by bucket, sorted, with their counts; and, when all rows ask, kind 3: its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(n: int) -> Iterator[pa.RecordBatch]:
-            prefix, suffix, counts = held[n][0]
-            order, cuts = _split(_bucket(prefix, buckets), buckets)
-            prefix, suffix, counts = prefix[order], suffix[order], counts[order].astype(np.int32)
+        for _, _, chunk, _, a, b in _rows(batches):
+            kept, tokens = unpacked(a)
+            table = pa.ipc.open_stream(b).read_all()
+            offsets = np.concatenate([[0], np.cumsum(table.column("n_tokens").to_numpy() + 1)])
+            runs = Runs(tokens, offsets, width, ~table.column("held_out").to_numpy() if learnt else None)
+            numbers = np.concatenate([[0], kept])
+            columns = [numbers[c] for c in runs.columns()]
+            counts = np.bincount(runs.levels[-1][2], minlength=len(columns[0]))
             rows = []
-            for b, x, y in cuts:
-                first = _starts(prefix[x:y])
-                some = np.diff(np.append(first, y - x)).astype(np.uint32)
-                rows.append((b, n, 0, prefix[x:y][first].tobytes() + some.tobytes(), suffix[x:y].tobytes(), counts[x:y].tobytes()))
+            for to, x in _split(runs.buckets(numbers, buckets)[-1], buckets):
+                own = [c[x] for c in columns]
+                own[0] = np.diff(own[0], prepend=0)
+                rows.append((to, kind, chunk, 0, packed(*own, *([counts[x]] if learnt else [])), b""))
+            if not learnt:
+                rows += [(to, 3, chunk, 0, packed(np.diff(kept[x], prepend=0)), b"") for to, x in _split((kept - 1) % buckets, buckets)]
             yield from _packets(rows)
 
-        for batch in pieces(batches):
-            keys, offsets = padded(Words(batch.column("text")))
-            for n, (_, prefix, suffix, _) in enumerate(sequences(keys, offsets, length), 2):
-                held.setdefault(n, []).append(summed_pairs(prefix, suffix, np.ones(len(prefix), np.int64)))
-                if sum(len(x[0]) for x in held[n]) > _FLUSH:
-                    held[n] = [summed_pairs(*(np.concatenate(x) for x in zip(*held[n])))]
-                    if len(held[n][0][0]) > _FLUSH // 2:
-                        yield from out(n)
-                        held[n] = []
-        for n in held:
-            if held[n]:
-                held[n] = [summed_pairs(*(np.concatenate(x) for x in zip(*held[n])))]
-                yield from out(n)
-
     return run
 
 
-def _added_sequences(least: int):
-    """Sums the packed counts of each (length, bucket); keeps sequences that occur often enough, with the occurrences of their prefix."""
+def _names(n: int, start: int = 1) -> list[str]:
+    return [f"w{k}" for k in range(start, start + n)]
+
+
+def _added(width: int, least: int):
+    """Sums each bucket's runs; for each length those that occur often enough, with the occurrences of their context (0 for length 2)."""
+    names = ["n", "bucket", *_names(width), "count", "total"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list[np.ndarray]] = []
         last = None
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            prefix, suffix, counts = summed_pairs(*(np.concatenate(x) for x in zip(*held)))
-            first = _starts(prefix)
-            total = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(prefix))))
-            keep = np.flatnonzero(counts >= least)
-            for k in range(0, len(keep), 1 << 16):
-                at = keep[k : k + (1 << 16)]
-                columns = [pa.array(np.full(len(at), last[0], np.int32)), pa.array(prefix[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(counts[at]), pa.array(total[at])]
-                yield pa.RecordBatch.from_arrays(columns, names=["n", "prefix", "suffix", "count", "total"])
-
-        for bucket, n, _, a, b, c in _unpacked(batches):
-            if held and (n, bucket) != last:
-                yield from rows()
+        def out() -> Iterator[pa.RecordBatch]:
+            *columns, counts = (np.concatenate(x) for x in zip(*held))
+            numbers, places = np.unique(np.concatenate(columns), return_inverse=True)
+            places = places.reshape(width, -1)
+            own, length, whole = places[0], sum((c > 0).astype(np.int64) for c in columns), None
+            for n in range(2, width + 1):
+                _, first, own = np.unique(own * len(numbers) + places[n - 1], return_index=True, return_inverse=True)
+                sums = np.bincount(own, weights=counts).astype(np.int64)
+                before = np.zeros(len(first), np.int64) if whole is None else whole[first]
+                keep = np.flatnonzero((sums >= least) & (length[first] >= n))
+                for k in range(0, len(keep), 1 << 16):
+                    x = keep[k : k + (1 << 16)]
+                    some = [columns[j][first[x]] if j < n else np.zeros(len(x), np.int64) for j in range(width)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), n, np.int32)), pa.array(np.full(len(x), last, np.int32)), *map(pa.array, some), pa.array(sums[x]), pa.array(before[x])], names=names)
+                whole = sums[own]
+
+        for bucket, _, _, _, a, _ in _rows(batches):
+            if held and bucket != last:
+                yield from out()
                 held = []
-            last = (n, bucket)
-            suffix, counts = np.frombuffer(b, np.uint64), np.frombuffer(c, np.int32).astype(np.int64)
-            distinct = len(a) // 12
-            prefix = np.repeat(np.frombuffer(a, np.uint64, distinct), np.frombuffer(a, np.uint32, distinct, 8 * distinct))
-            held.append((prefix, suffix, counts))
-            if len(held) > 8:
-                held = [summed_pairs(*(np.concatenate(x) for x in zip(*held)))]
+            last = bucket
+            columns = unpacked(a)
+            columns[0] = np.cumsum(columns[0])
+            held.append(columns)
         if held:
-            yield from rows()
+            yield from out()
 
     return run
 
 
-_TERMS = "kind int, key long, value double, shorter double"
-
-
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which contexts become states. Rows (prefix, suffix, count, total, shorter: log10 of the last word's probability in
-    the longest shorter state) come sorted by prefix. Kind 1: sequences, what they add to their suffix's log10
-    probability beyond the context's weight, and that probability itself; kind 2: states, log10 of their weights."""
-
-    def terms(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        prefix, suffix, counts, total, log = (np.concatenate(x) for x in zip(*parts))
-        first = _starts(prefix)
-        kinds = np.diff(np.append(first, len(prefix)))
-        which = np.repeat(np.arange(len(first)), kinds)
-        whole, kept = total[first].astype(float), np.add.reduceat(counts, first).astype(float)
-        shorter = 10**log
-        rest = np.maximum(1 - np.add.reduceat(shorter, first), 1e-12)
-        other = whole - kept
-        divergence = np.add.reduceat(counts * np.log(counts / total / shorter), first)
-        divergence += np.where(other > 0, other * np.log(np.maximum(other, 1) / whole / rest), 0)
-        state = divergence >= kinds + 3.0  # about the upper 5 % point of half a chi-square with `kinds` degrees
-        weight = np.log10((other + kinds) / (whole + kinds) / rest)
-        inside = state[which]
-        value = np.where(inside, np.log10(counts / (whole + kinds)[which]), log)
-        term = np.where(inside, value - weight[which] - log, 0.0)
-        key = joined(prefix.view(np.uint64), suffix.view(np.uint64)).view(np.int64)
-        n, m = len(key), int(state.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array([1, 2], np.int32), [n, m])), pa.array(np.concatenate([key, prefix[first][state]])), pa.array(np.concatenate([term, weight[state]])), pa.array(np.concatenate([value, np.zeros(m)]))],
-            names=["kind", "key", "value", "shorter"],
-        )
-
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
-        # A context may go on in the next batch.
-        cut = int(_starts(columns[0])[-1])
-        if cut or (held and held[-1][0][-1] != columns[0][0]):
-            held.append([x[:cut] for x in columns])
-            held = [h for h in held if len(h[0])]
-            yield terms(held)
-            held = []
-        held.append([x[cut:] for x in columns])
-    if held:
-        yield terms(held)
-
-
-def _unpacked_words(least: int, scale: float):
+def cutoff(kinds: Column) -> Column:
+    """The upper 5 % point of half a chi-square with `kinds` degrees of freedom (Wilson and Hilferty)."""
+    part = F.lit(2.0) / (9 * kinds)
+    return kinds * F.pow(1 - part + QUANTILE * F.sqrt(part), 3) / 2
+
+
+def _lexicon(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys"), batch.column("counts")):
-                keys, counts = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
-                keep = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(np.log10((counts[keep] + 1) / scale)), pa.array(counts[keep])], names=["key", "shorter", "count"])
+        for bucket, _, _, _, a, b in _rows(batches):
+            (counts,), (totals,) = unpacked(a), unpacked(b)
+            ids = np.concatenate([np.arange(len(counts)) * buckets + bucket + 1, [0, -1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([counts, totals]))], names=["id", "count"])
 
     return run
 
 
 class Model:
-    """words: packed counts by bucket; terms: a table for each length from 2, as `_states` makes them."""
+    """lexicon (id, count): the kept words' numbers; gains: for each length from 2 a table (bucket, w1, ..., gain) of runs,
+    their term and their weight as a context; weights (id, weight): single words as contexts. coded: the texts as numbers."""
 
-    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = LEAST):
-        """Learns from every row of docs (text). The driver receives two totals."""
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = LEAST, key: int | None = None):
+        """Learns from the rows of docs (doc_id, text, learnt) that are learnt. The driver receives two totals."""
         spark = docs.sparkSession
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.depth = depth
-        texts = docs.select(F.col("text").cast("string").alias("text"))
-        rows = texts.mapInArrow(_word_counts(self.buckets), _PACKET).repartitionById(self.buckets, F.col("bucket").cast("int"))
-        self.words = written(rows.sortWithinPartitions("bucket").mapInArrow(_added_words, "bucket long, n_keys long, total long, keys binary, counts binary"), "words")
-        self.tokens, self.distinct = self.words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+        self.buckets = buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.width = depth + 1
+        key = fresh_key() if key is None else key
+        asked = written(docs.mapInArrow(_chunked(buckets, key), _PACKET), "chunks")
+        placed = asked.filter("kind = 1").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+        numbered = written(placed.mapInArrow(_numbered(buckets, least), _PACKET), "numbers")
+        lexicon = written(numbered.filter("kind = 2").mapInArrow(_lexicon(buckets), "id long, count long"), "lexicon")
+        totals = {r["id"]: r["n"] for r in lexicon.filter("id < 1").groupBy("id").agg(F.sum("count").alias("n")).collect()}
+        self.tokens, self.distinct = totals.get(0, 0), totals.get(-1, 0)
         self.scale = float(self.tokens + self.distinct + 1)
-        rows = texts.mapInArrow(_sequence_counts(self.buckets, depth + 1), _PACKET).repartitionById(self.buckets, F.col("bucket").cast("int"))
-        counted = written(rows.sortWithinPartitions("kind", "bucket").mapInArrow(_added_sequences(least), "n int, prefix long, suffix long, count long, total long"), "sequences")
-        self.terms: list[DataFrame] = []
-        shorter = self.root(least).select("key", "shorter")
-        for n in range(2, depth + 2):
-            rows = counted.filter(F.col("n") == n).join(shorter, F.col("suffix") == F.col("key")).select("prefix", "suffix", "count", "total", "shorter")
-            self.terms.append(written(rows.repartition(self.buckets, "prefix").sortWithinPartitions("prefix").mapInArrow(_states, _TERMS), "terms"))
-            shorter = self.terms[-1].filter("kind = 1").select("key", "shorter")
+        self.lexicon = lexicon.filter("id > 0")
+        both = asked.filter("kind = 0").unionByName(numbered.filter("kind = 3"))
+        both = both.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("chunk", "kind", "part")
+        self.coded = written(both.mapInArrow(_coded(buckets, self.scale, key), _PACKET), "coded")
+        dropped(asked)
+        dropped(numbered)
+        placed = self.coded.mapInArrow(_runs(buckets, self.width, 1, True), _PACKET).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+        fields = ", ".join(f"{w} long" for w in _names(self.width))
+        counted = written(placed.mapInArrow(_added(self.width, least), f"n int, bucket int, {fields}, count long, total long"), "runs")
+        self._learn(counted)
         dropped(counted)
 
-    def root(self, least: int = 1) -> DataFrame:
-        return self.words.mapInArrow(_unpacked_words(least, self.scale), "key long, shorter double, count long")
-
-
-class Lexicon:
-    """Words of a tree by number, the most frequent first."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((keys, -counts))
-        self.keys, self.counts = keys[order], counts[order]
-
-
-class SuffixTree:
-    """The whole model of a small corpus in one place."""
-
-    def __init__(self, lexicon: Lexicon, scale: float, terms: list[tuple[np.ndarray, np.ndarray]], weights: list[tuple[np.ndarray, np.ndarray]]):
-        self.lexicon = lexicon
-        #: log10 of the root's probability by number.
-        self.root = np.log10((lexicon.counts + 1) / scale)
-        self._terms = [(Table(k), v) for k, v in terms]
-        self._weights = [(Table(k), v) for k, v in weights]
-        numbers = self._weights[0][0].find(lexicon.keys) if self._weights else np.zeros(0, np.int64)
-        #: By context length: states (numbers of single words, keys of longer contexts), log10 of their weights for other words.
-        self.states = [(Table(np.flatnonzero(numbers >= 0).astype(np.uint64)), self._weights[0][1][numbers[numbers >= 0]]), *self._weights[1:]] if self._weights else []
-
-    def log10(self, codes: np.ndarray, length: int) -> np.ndarray:
-        """log10 probability of the last word of each sequence of that length (numbers of _BITS bits) in the longest state before it."""
-        row = np.stack([self.lexicon.keys[((codes >> np.uint64(_BITS * k)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)] for k in range(length - 1, -1, -1)], axis=1)
-        out = self.root[(codes & np.uint64((1 << _BITS) - 1)).astype(np.int64)].copy()
-        before = row
-        for k in range(length - 1):
-            for (table, values), keys in ((self._weights[k], before[:, -2]), (self._terms[k], joined(before[:, -2], before[:, -1]))):
-                at = table.find(keys)
-                out[at >= 0] += values[at[at >= 0]]
-            before = joined(before[:, :-1], before[:, 1:])
-        return out
-
-
-def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> SuffixTree:
-    """Learns from every row of docs (text) and gathers the model in the driver, to look at that of a small corpus."""
-    model = Model(docs, depth, least)
-
-    def sorted_columns(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-        got = table.select("key", value).toArrow()
-        keys, values = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-        order = np.argsort(keys)
-        return keys[order], values[order]
-
-    lexicon = Lexicon(*sorted_columns(model.root(least), "count"))
-    return SuffixTree(lexicon, model.scale, [sorted_columns(t.filter("kind = 1"), "value") for t in model.terms], [sorted_columns(t.filter("kind = 2"), "value") for t in model.terms])
-
-
-def _home(chunk: int, buckets: int) -> int:
-    return ((chunk >> 32) + (chunk & 0xFFFFFFFF)) % buckets
-
-
-def _asked(buckets: int, length: int):
-    """Kind 3: a chunk's distinct keys by their bucket; kind 4: its texts, at the bucket of the chunk."""
+    def _learn(self, counted: DataFrame) -> None:
+        terms: list[DataFrame] = []
+        weights: list[DataFrame] = []
+        root = self.lexicon.select(F.col("id").alias("w2"), F.log10((F.col("count") + 1) / F.lit(self.scale)).alias("shorter"))
+        for n in range(2, self.width + 1):
+            rows = counted.filter(F.col("n") == n).select("bucket", *_names(n), "count", "total")
+            if n == 2:
+                rows = joined(rows, root, "w2")
+            else:
+                rows = rows.join(terms[-1].select(*(F.col(f"w{k}").alias(f"w{k + 1}") for k in range(1, n)), F.col("value").alias("shorter")), _names(n - 1, 2))
+            rows = written(rows, "shorter")
+            context = _names(n - 1)
+            log = F.col("count") * (F.log("count") - F.col("shorter") * F.log(F.lit(10.0)))
+            sums = rows.groupBy(*context).agg(F.count("*").alias("kinds"), F.sum("count").alias("kept"), F.sum(F.pow(F.lit(10.0), "shorter")).alias("mass"), F.sum(log).alias("gain"), F.max("total").alias("total"))
+            if n == 2:
+                sums = sums.drop("total").join(self.lexicon.select(F.col("id").alias("w1"), F.col("count").alias("total")), "w1")
+            other, rest = F.col("total") - F.col("kept"), F.greatest(1 - F.col("mass"), F.lit(1e-12))
+            divergence = F.col("gain") - F.col("kept") * F.log("total") + F.when(other > 0, other * F.log(F.greatest(other, F.lit(1)) / F.col("total") / rest)).otherwise(0.0)
+            states = sums.filter(divergence >= cutoff(F.col("kinds")))
+            states = written(states.select(*context, F.log10((other + F.col("kinds")) / (F.col("total") + F.col("kinds")) / rest).alias("weight"), (F.col("total") + F.col("kinds")).alias("whole")), "states")
+            rows = joined(rows, states, "w1", "left") if n == 2 else rows.join(states, context, "left")
+            value = F.coalesce(F.log10(F.col("count") / F.col("whole")), "shorter")
+            rows = rows.select("bucket", *_names(n), F.coalesce(value - F.col("weight") - F.col("shorter"), F.lit(0.0)).alias("term"), value.alias("value"))
+            terms.append(written(rows, "terms"))
+            weights.append(states.select(*context, "weight"))
+        self.weights = weights[0].withColumnRenamed("w1", "id")
+        self.gains: list[DataFrame] = []
+        for n, rows in enumerate(terms, 2):
+            if n < self.width:
+                rows = rows.join(weights[n - 1], _names(n), "left").withColumn("term", F.col("term") + F.coalesce("weight", F.lit(0.0)))
+            self.gains.append(written(rows.filter("term <> 0").select("bucket", *_names(n), F.col("term").alias("gain")), "gains"))
+        for table in [*terms, *weights[1:]]:
+            dropped(table)
+
+
+def _packed_gains(width: int, word: bool, buckets: int):
+    """Kind 0: runs and their gains, by bucket; kind 1: single words and theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at, size = TaskContext.get().partitionId(), 0, 0
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
 
-        def keys_of(chunk: int) -> Iterator[pa.RecordBatch]:
-            keys = np.unique(np.concatenate(held))
-            order, cuts = _split(_bucket(keys, buckets), buckets)
-            keys = keys[order]
-            yield from _packets([(b, 3, chunk, keys[x:y].tobytes(), b"", b"") for b, x, y in cuts])
+        def out() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            *columns, gains = (table.column(c).to_numpy() for c in range(1, table.num_columns))
+            order = np.lexsort(columns[::-1])
+            columns, gains, where = [c[order] for c in columns], gains[order], table.column(0).to_numpy()[order]
+            rows = []
+            for b, x in _split(where, buckets):
+                own = [c[x] for c in columns]
+                own[0] = np.diff(own[0], prepend=0)
+                own += [np.zeros(len(x), np.int64)] * (0 if word else width - len(own))
+                rows.append((b, int(word), 0, 0, packed(*own, gains[x]), b""))
+            yield from _packets(rows)
 
-        for batch in pieces(batches):
-            chunk = (task << 32) + at
-            words = Words(batch.column("text"))
-            keys, offsets = padded(words)
-            held.append(np.unique(np.concatenate([keys, *(own for *_, own in sequences(keys, offsets, length))])))
-            if len(held) > 6:
-                held = [np.unique(np.concatenate(held))]
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch)
-            yield from _packets([(_home(chunk, buckets), 4, chunk, sink.getvalue().to_pybytes(), b"", b"")])
-            size += int(words.offsets[-1])
-            if size > _CHUNK:
-                yield from keys_of(chunk)
-                held, at, size = [], at + 1, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) > _ROWS:
+                yield from out()
+                held = []
         if held:
-            yield from keys_of((task << 32) + at)
+            yield from out()
 
     return run
 
 
-def _packed_terms(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind, key, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "value"))
-            for k in (1, 2):
-                some = np.flatnonzero((kind == k) & (value != 0))
-                keys, values = key[some].view(np.uint64), value[some]
-                order, cuts = _split(_bucket(keys, buckets), buckets)
-                keys, values = keys[order], values[order]
-                yield from _packets([(b, k, 0, keys[x:y].tobytes(), values[x:y].tobytes(), b"") for b, x, y in cuts])
-
-    return run
+class Gains:
+    """The runs of a bucket with their gains, found by their words' numbers."""
+
+    def __init__(self, columns: list[np.ndarray], gains: np.ndarray):
+        self.numbers = np.unique(np.concatenate([[0], *columns]))
+        places = [np.searchsorted(self.numbers, c) for c in columns]
+        length = sum((c > 0).astype(np.int64) for c in columns)
+        own, self.levels = places[0], []
+        for n in range(2, len(columns) + 1):
+            codes, some = own * len(self.numbers) + places[n - 1], length >= n
+            distinct = np.unique(codes[some])
+            own = np.searchsorted(distinct, codes)
+            gain = np.zeros(len(distinct))
+            gain[own[length == n]] = gains[length == n]
+            self.levels.append((distinct, gain))
+
+    def find(self, columns: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """For each length the gains of the beginnings of sorted distinct runs: once for each distinct one, in order."""
+        fresh = np.zeros(len(columns[0]), dtype=bool)
+        fresh[:1] = True
+        fresh[1:] = columns[0][1:] != columns[0][:-1]
+        own = np.minimum(np.searchsorted(self.numbers, columns[0]), len(self.numbers) - 1)
+        known = self.numbers[own] == columns[0]
+        for (distinct, gain), column in zip(self.levels, columns[1:]):
+            fresh[1:] |= column[1:] != column[:-1]
+            place = np.minimum(np.searchsorted(self.numbers, column), len(self.numbers) - 1)
+            known = known & (self.numbers[place] == column) & (column > 0)
+            codes = own * len(self.numbers) + place
+            own = np.minimum(np.searchsorted(distinct, codes), max(len(distinct) - 1, 0))
+            known = known & (distinct[own] == codes) if len(distinct) else np.zeros(len(codes), dtype=bool)
+            x = np.flatnonzero(fresh & (column > 0))
+            yield np.where(known[x], gain[own[x]], 0.0) if len(distinct) else np.zeros(len(x))
+
+
+def _answered(buckets: int, width: int):
+    """Answers what chunks ask of each bucket, in the order asked, at the chunk's own bucket: which are found, and their gains."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, found = None, {}, None
 
-def _answered(buckets: int):
-    """Answers the keys asked for in each bucket: kinds 0 to 2 at the bucket of the chunk; packets of texts pass through."""
+        def built() -> tuple[Gains, tuple[np.ndarray, np.ndarray]]:
+            whole = [np.concatenate(x) for x in zip(*held.get(0, []))] or [np.zeros(0, np.int64)] * width + [np.zeros(0)]
+            words = [np.concatenate(x) for x in zip(*held.get(1, []))] or [np.zeros(0, np.int64), np.zeros(0)]
+            order = np.argsort(words[0])
+            return Gains(whole[:-1], whole[-1]), (words[0][order], words[1][order])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, tables = None, {}, None
-        for row in _unpacked(batches):
-            bucket, kind, chunk, a, b, _ = row
-            if kind == 4:
-                yield from _packets([row])
-                continue
+        for bucket, kind, chunk, _, a, _ in _rows(batches):
             if bucket != last:
-                last, held, tables = bucket, {}, None
-            if kind < 3:
-                held.setdefault(kind, []).append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float64 if kind else np.int64)))
+                last, held, found = bucket, {}, None
+            columns = unpacked(a)
+            columns[0] = np.cumsum(columns[0])
+            if kind < 2:
+                held.setdefault(kind, []).append(columns)
                 continue
-            if tables is None:
-                tables = {}
-                for k, parts in held.items():
-                    keys, values = (np.concatenate(x) for x in zip(*parts))
-                    order = np.argsort(keys)
-                    tables[k] = Table(keys[order]), values[order]
-                held = {}
-            keys = np.frombuffer(a, np.uint64)
-            for k, (table, values) in tables.items():
-                at = table.find(keys)
-                found = at >= 0
-                if found.any():
-                    yield from _packets([(_home(chunk, buckets), k, chunk, keys[found].tobytes(), values[at[found]].tobytes(), b"")])
+            if found is None:
+                found, held = built(), {}
+            if kind == 2:
+                gains = np.concatenate(list(found[0].find(columns)))
+            else:
+                keys, values = found[1]
+                at = np.minimum(np.searchsorted(keys, columns[0]), max(len(keys) - 1, 0))
+                gains = np.where(keys[at] == columns[0], values[at], 0.0) if len(keys) else np.zeros(len(columns[0]))
+            some = gains != 0
+            yield from _packets([(_home(chunk, buckets), kind, chunk, last, np.packbits(some).tobytes(), packed(gains[some]))])
 
     return run
 
 
-def _finished(tokens: int, scale: float, length: int):
-    """Scores the texts of each chunk; its answers come first."""
+def _gains(answer: tuple[bytes, bytes], n: int) -> np.ndarray:
+    out = np.zeros(n)
+    out[np.unpackbits(np.frombuffer(answer[0], np.uint8), count=n).astype(bool)] = unpacked(answer[1])[0]
+    return out
+
+
+def _finished(buckets: int, width: int, tokens_learnt: int):
+    """Scores the rows of each chunk; its answers come first."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, tables = None, {}, {}
-
-        def values(kind: int, keys: np.ndarray) -> np.ndarray:
-            table, found = tables[kind]
-            at = table.find(keys)
-            return np.where(at >= 0, found[at], 0) if len(found) else np.zeros(len(keys))
-
-        for _, kind, chunk, a, b, _ in _unpacked(batches):
-            if chunk != last:
-                last, held, tables = chunk, {}, {}
-            if kind < 3:
-                held.setdefault(kind, []).append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float64 if kind else np.int64)))
+        answers: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+        for _, kind, chunk, part, a, b in _rows(batches):
+            if kind < 4:
+                answers.setdefault(kind, {})[part] = (a, b)
                 continue
-            if not tables:
-                for k in range(3):
-                    keys, found = (np.concatenate(x) for x in zip(*held[k])) if k in held else (np.zeros(0, np.uint64), np.zeros(0))
-                    order = np.argsort(keys)
-                    tables[k] = Table(keys[order]), found[order]
-                held = {}
-            for batch in pa.ipc.open_stream(a):
-                keys, offsets = padded(Words(batch.column("text")))
-                first = np.zeros(len(keys), dtype=bool)
-                first[offsets[:-1]] = True
-                final = np.zeros(len(keys), dtype=bool)
-                final[offsets[1:] - 1] = True
-                count = np.where(first, 0, values(0, keys))
-                base = np.where(first, 0, np.log10(count + 1) - np.log10(scale))
-                # The last end is no context.
-                gain = np.where(final, 0, values(2, keys))
-                for n, (at, _, _, own) in enumerate(sequences(keys, offsets, length), 2):
-                    gain[at] += values(1, own)
-                    if n < length:
-                        gain[at] += np.where(final[at], 0, values(2, own))
-                base, gain = sum_per_row(base, offsets), sum_per_row(gain, offsets)
-                known = sum_per_row(count > 0, offsets).astype(np.int64)
-                learnt = batch.column("learnt").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(~learnt), pa.array(np.diff(offsets) - 1), pa.array(known), pa.array(np.full(batch.num_rows, tokens, np.int64)), pa.array(base), pa.array(base + gain)],
-                    names=names,
-                )
+            kept, tokens = unpacked(a)
+            table = pa.ipc.open_stream(b).read_all()
+            offsets = np.concatenate([[0], np.cumsum(table.column("n_tokens").to_numpy() + 1)])
+            numbers = np.concatenate([[0], kept])
+            weight = np.zeros(len(numbers))
+            for to, x in _split((kept - 1) % buckets, buckets):
+                weight[x + 1] = _gains(answers[3][to], len(x))
+            gain = weight[tokens]
+            gain[offsets[1:] - 1] = 0  # the last end is no context
+            runs = Runs(tokens, offsets, width)
+            places = runs.buckets(numbers, buckets)
+            values = [np.zeros(len(level[0])) for level in runs.levels]
+            own = [dict(_split(np.where(last > 0, where, buckets), buckets)) for where, (_, last, _) in zip(places, runs.levels)]
+            for to, answer in answers.get(2, {}).items():
+                at = [o.get(to, np.zeros(0, np.int64)) for o in own]
+                whole, k = _gains(answer, sum(map(len, at))), 0
+                for value, x in zip(values, at):
+                    value[x] = whole[k : k + len(x)]
+                    k += len(x)
+            for value, (_, _, which) in zip(values, runs.levels):
+                gain[runs.at] += value[which]
+            answers = {}
+            base = table.column("base_score").to_numpy()
+            some = [table.column(c).combine_chunks() for c in names[:4]]
+            yield pa.RecordBatch.from_arrays([*some, pa.array(np.full(len(base), tokens_learnt, np.int64)), pa.array(base), pa.array(base + np.add.reduceat(gain, offsets[:-1]))], names=names)
 
     return run
 
@@ -516,14 +589,17 @@ def scored(docs: DataFrame, learnt: str = "crc32(coalesce(cast(doc_id as string)
     A null text counts as empty: its one token is the end. A null doc_id counts as an empty string in `learnt`.
     Repeated rows are counted and returned each. Where nothing is learnt, N = V = 0 and the tree is its root.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = Model(source.filter(learnt), depth, least)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(f"coalesce({learnt}, false)").alias("learnt"))
+    model = Model(source, depth, least)
     buckets = model.buckets
-    packets = source.select("doc_id", "text", F.expr(f"coalesce({learnt}, false)").alias("learnt")).mapInArrow(_asked(buckets, depth + 1), _PACKET)
-    none = F.lit(b"")
-    packets = packets.unionByName(model.words.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), F.col("keys").alias("a"), F.col("counts").alias("b"), none.alias("c")))
-    for terms in model.terms:
-        packets = packets.unionByName(terms.mapInArrow(_packed_terms(buckets), _PACKET))
-    asked = packets.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind").mapInArrow(_answered(buckets), _PACKET)
-    final = asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("chunk", "kind")
-    return final.mapInArrow(_finished(model.tokens, model.scale, depth + 1), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    packets = model.coded.mapInArrow(_runs(buckets, model.width, 2, False), _PACKET)
+    for gains in model.gains:
+        packets = packets.unionByName(gains.mapInArrow(_packed_gains(model.width, False, buckets), _PACKET))
+    words = model.weights.select(((F.col("id") - 1) % buckets).cast("int").alias("bucket"), "id", "weight")
+    packets = packets.unionByName(words.mapInArrow(_packed_gains(1, True, buckets), _PACKET))
+    asked = packets.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    answers = written(asked.mapInArrow(_answered(buckets, model.width), _PACKET), "answers")
+    for table in (*model.gains, model.weights, model.lexicon):
+        dropped(table)
+    final = answers.unionByName(model.coded).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("chunk", "kind")
+    return final.mapInArrow(_finished(buckets, model.width, model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

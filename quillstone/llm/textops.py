@@ -6,6 +6,9 @@ shingles are located and hashed with NumPy, and nothing is decoded to Python str
 
 from __future__ import annotations
 
+import copy
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +18,23 @@ import pyarrow.compute as pc
 SHINGLE_WORDS = 5
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-#: Powers of the multiplier and of its inverse by position; grown on demand.
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words up to so many bytes are hashed together in NumPy, eight bytes at a time; longer ones one by one by BLAKE2.
+_LANES = 8
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
+
+
+def fresh_key() -> int:
+    """A random key for word hashes. One call of an operator uses one key throughout; nobody can make words collide under it."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def second_key(key: int) -> int:
+    """The key of an independent second hash, so that both make 128 bits."""
+    return int.from_bytes(hashlib.blake2b(key.to_bytes(8, "little"), digest_size=8).digest(), "little")
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,22 +76,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, p in enumerate((_MULTIPLIER, _INVERSE)):
-            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, p, np.uint64))])
-    return _POWERS[0], _POWERS[1]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """64 bits of each word's bytes and length under a key that the words' writers don't know."""
+    lengths = ends - starts
+    h = mix(np.uint64(key) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    lanes = np.lib.stride_tricks.as_strided(room[:8].view(np.uint64), (len(data) + 1,), (1,))
+    live, at, left = None, starts, lengths
+    for _ in range(_LANES):
+        x = lanes[at] & _MASKS[np.minimum(left, 8)]
+        if live is None:
+            h = mix(h + x)
+        else:
+            h[live] = mix(h[live] + x)
+        on = np.flatnonzero(left > 8)
+        if not len(on):
+            return h
+        live = on if live is None else live[on]
+        at, left = at[on] + 8, left[on] - 8
+    secret, view = key.to_bytes(8, "little"), memoryview(data)
+    for i in live.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8, key=secret).digest(), "little")
+    return h
 
 
 class Words:
     """The words of each row of a column: A-Z lower-cased, split at bytes 0x20 and 0x09 to 0x0D.
 
     data: lower-cased bytes; starts, ends: of each word; first: index of each row's first word (n + 1 entries);
-    hashes: 64 bits of each word's bytes and length.
+    hashes: 64 bits of each word's bytes and length under the key.
     """
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray):
+    def __init__(self, column: pa.Array | pa.ChunkedArray, key: int = 0):
         raw, self.offsets = text_bytes(column)
         self.data = _LOWER[raw]
         size = len(raw)
@@ -97,11 +127,13 @@ class Words:
         else:
             self.starts = self.ends = np.zeros(0, np.int64)
         self.first = np.searchsorted(self.starts, self.offsets)
-        power, inverse = _powers(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
-        x = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        self.hashes = mix(x + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.hashes = word_hashes(self.data, self.starts, self.ends, key)
+
+    def rehashed(self, key: int) -> Words:
+        """The same words, hashed under another key."""
+        other = copy.copy(self)
+        other.hashes = word_hashes(self.data, self.starts, self.ends, key)
+        return other
 
     @property
     def counts(self) -> np.ndarray:
@@ -151,6 +183,18 @@ def distinct_per_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return values[keep], total[offsets]
 
 
+def distinct_wide(first: np.ndarray, second: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct pairs of two hashes, sorted by the first, and their offsets."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((second, first, row))
+    first, second = first[order], second[order]
+    keep = np.ones(len(first), dtype=bool)
+    keep[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (row[1:] != row[:-1])
+    total = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(keep, out=total[1:])
+    return first[keep], second[keep], total[offsets]
+
+
 def sum_per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of each row's values; 0 for an empty row."""
     total = np.zeros(len(values) + 1, np.float64)

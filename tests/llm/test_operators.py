@@ -7,12 +7,11 @@ import re
 import zlib
 from collections import Counter
 
-import pyarrow as pa
 import pytest
 from oracle import DATA, same
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, queries, secret_scan, suffix_tree, textops
+from quillstone.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, queries, secret_scan, suffix_tree
 from quillstone.llm.components import components
 from quillstone.llm.token_rollup import TOKENIZERS, TokenRollup, signed, tokenizer
 
@@ -145,17 +144,28 @@ def test_scores_edges(spark):
     assert suffix_tree.scored(odd_rows(spark, [])).count() == 0
 
 
+def learnt(df, *args):
+    return suffix_tree.Model(df.select("doc_id", "text", F.lit(True).alias("learnt")), *args)
+
+
 def test_every_state_sums_to_one(spark):
-    tree = suffix_tree.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    model = learnt(spark.read.parquet(f"{DATA}/documents.parquet"), 1)
+    root = {r["id"]: (r["count"] + 1) / model.scale for r in model.lexicon.collect()}
+    terms = {}
+    for r in model.gains[0].collect():
+        terms.setdefault(r["w1"], {})[r["w2"]] = r["gain"]
+    weights = {r["id"]: r["weight"] for r in model.weights.collect()}
+    assert len(weights) > 10 and set(terms) == set(weights)
+    for state, weight in sorted(weights.items())[:20]:
+        inside = sum(p * 10 ** (weight + terms[state].get(w, 0)) for w, p in root.items())
+        assert inside + (1 - sum(root.values())) * 10**weight == pytest.approx(1, abs=1e-9)
+
+
+def test_packed_columns_come_back():
     import numpy as np
 
-    assert len(tree.states[0][0].keys) > 10 and len(tree.states[1][0].keys) > 0
-    n = len(tree.lexicon.counts)
-    rare = 1 - float((10**tree.root).sum())
-    for state in tree.states[0][0].keys[:20]:
-        codes = (np.uint64(state) << np.uint64(suffix_tree._BITS)) | np.arange(n, dtype=np.uint64)
-        weight = 10 ** tree.states[0][1][tree.states[0][0].find(np.array([state]))[0]]
-        assert float((10 ** tree.log10(codes, 2)).sum()) + rare * weight == pytest.approx(1, abs=1e-9)
+    columns = [np.array([0, 5, 255]), np.array([1 << 40, 3]), np.array([], np.int64), np.array([-1.5, 2.25])]
+    assert all((a == b).all() for a, b in zip(suffix_tree.unpacked(suffix_tree.packed(*columns)), columns))
 
 
 def brute_scores(texts, depth, least):
@@ -184,7 +194,8 @@ def brute_scores(texts, depth, least):
         shorter = {w: p(context[1:], w) for w in follow}
         rest, other = max(1 - sum(shorter.values()), 1e-12), total - sum(follow.values())
         gain = sum(c * math.log(c / total / shorter[w]) for w, c in follow.items()) + (other * math.log(other / total / rest) if other else 0)
-        if gain >= len(follow) + 3:
+        k = len(follow)
+        if gain >= k * (1 - 2 / (9 * k) + 1.6448536269514722 * math.sqrt(2 / (9 * k))) ** 3 / 2:
             states[context] = {w: c / (total + len(follow)) for w, c in follow.items()}, (other + len(follow)) / (total + len(follow)) / rest
     return [sum(math.log10(p(tuple(r[max(0, i - depth) : i]), r[i])) for i in range(1, len(r))) for r in rows], states
 
@@ -213,20 +224,30 @@ def test_scores_match_brute_force_with_every_sequence(spark, depth):
 def test_triples_of_uncommon_words_are_kept(spark):
     """Each word of the passage has a share of 4e-5, under the 4.6e-4 that a triple's words once needed."""
     rows = [(k, "one rare passage") for k in range(20)] + [(100 + k, " ".join(f"w{(k * 7919 + j * j) % 211}" for j in range(10_000))) for k in range(50)]
-    tree = suffix_tree.train(odd_rows(spark, rows))
-    w = textops.Words(pa.array(["one rare passage"])).hashes
-    assert tree._terms[1][0].find(suffix_tree.joined(suffix_tree.joined(w[:1], w[1:2]), suffix_tree.joined(w[1:2], w[2:])))[0] >= 0
+    assert learnt(odd_rows(spark, rows)).gains[1].count() >= 1
+    with_it, without = (suffix_tree.scored(odd_rows(spark, rows[k:]), "true").filter("doc_id = 19").first()["score"] for k in (0, 19))
+    assert with_it > without + 1
 
 
 def test_a_sequence_is_kept_at_any_size(spark):
     """Two occurrences beside 12 million tokens: a share of 1.7e-7, under the 2e-7 that was once needed."""
     filler = spark.range(1200).select((F.col("id") + 10).alias("doc_id"), F.lit("a b " * 5000).alias("text"))
     rows = spark.createDataFrame([(1, "one rare passage"), (2, "one rare passage")], "doc_id long, text string")
-    model = suffix_tree.Model(rows.unionByName(filler))
-    assert model.tokens > 12_000_000
-    w = textops.Words(pa.array(["one rare passage"])).hashes
-    key = int(suffix_tree.joined(suffix_tree.joined(w[:1], w[1:2]), suffix_tree.joined(w[1:2], w[2:])).view("int64")[0])
-    assert model.terms[1].filter((F.col("kind") == 1) & (F.col("key") == key)).count() == 1
+    model = learnt(rows.unionByName(filler))
+    assert model.tokens > 12_000_000 and model.gains[0].count() >= 4
+    got = {r["doc_id"]: r for r in suffix_tree.scored(rows.unionByName(filler), "true").filter("doc_id < 3").collect()}
+    assert got[1]["score"] == got[2]["score"] > got[1]["base_score"] + 10
+
+
+def test_words_that_collide_without_a_key_are_told_apart(spark):
+    """A Thue-Morse word and its complement, equal under any polynomial modulo a power of two."""
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = odd_rows(spark, [(1, a), (2, b)])
+    assert learnt(rows).distinct == 3
+    assert {r["component_id"] for r in near_dedup.near_duplicates(rows).collect()} == {1, 2}
+    item = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.leaks(rows, item).collect()] == [1]
 
 
 # Near duplicates
