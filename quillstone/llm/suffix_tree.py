@@ -15,8 +15,11 @@ Texts are cut into chunks, which ask for what they need and get answers in the o
 1. A chunk's distinct words go to the word's bucket, by a keyed hash. Words that occur LEAST times get numbers there, the
    frequent ones low, and the chunk keeps its texts as numbers, with 0 for other words: no run that holds one can occur
    often enough. The baseline's sums are made on the way.
-2. A chunk's distinct runs go, sorted and packed, to the bucket of their first two words; sums are made there.
-3. States and their runs' terms are aggregates and joins of the tables of runs, a length after the other.
+2. A chunk's distinct runs go, sorted and packed, to the bucket of their first word, those of a hot word to that of
+   their first two; sums are made there, so all runs of a context meet, but for single hot words' as contexts, whose
+   sums of sums the driver gets (4 a bucket at most).
+3. States and their runs' terms are made in each bucket, a length after the other; a join tells a run the probability
+   of its last word in the shorter state, since its suffix lies in another bucket.
 4. What a run gains over the root is the sum of its terms and of the weights of its contexts, so a chunk asks once for
    each of its distinct runs and words and adds up the answers by row.
 
@@ -32,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spread import dropped, joined, written
+from .spread import dropped, written
 from .textops import Words, fresh_key, mix, pieces
 
 DEPTH = 2
@@ -46,8 +49,11 @@ QUANTILE = 1.6448536269514722
 #: The end token's key among the words.
 _END_WORD = np.uint64(0x2545F4914F6CDD1D)
 #: Bytes of text that ask together.
-_CHUNK = 24 << 20
-_ROWS = 1 << 20
+_CHUNK = 8 << 20
+#: A word is hot above this share of a bucket of even size, so there are at most 4 hot words a bucket.
+_HOT = 4
+#: Numbers of words stay below this, so that two of them fit in 64 bits.
+_MOST = 1 << 31
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -202,7 +208,7 @@ def _numbered(buckets: int, least: int):
 
 
 def _coded(buckets: int, scale: float, key: int):
-    """Kind 4: a chunk as its kept words' numbers and its tokens as places among these, from 1; and its rows' plain figures."""
+    """Kind 4: a chunk as its kept words' numbers, their counts, and its tokens as places among these, from 1; and its rows' plain figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -216,6 +222,8 @@ def _coded(buckets: int, scale: float, key: int):
                 numbers[x], counts[x] = answers[b]
             kept = np.unique(numbers[numbers > 0])
             places = np.where(numbers > 0, np.searchsorted(kept, numbers) + 1, 0)
+            often = np.zeros(len(kept), np.int64)
+            often[places[places > 0] - 1] = counts[places > 0]
             first = np.zeros(len(whole.tokens), dtype=bool)
             first[whole.offsets[:-1]] = True
             count = counts[whole.tokens]
@@ -226,7 +234,7 @@ def _coded(buckets: int, scale: float, key: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 stream.write_batch(table)
-            yield from _packets([(_home(last, buckets), 4, last, 0, packed(kept, places[whole.tokens]), sink.getvalue().to_pybytes())])
+            yield from _packets([(_home(last, buckets), 4, last, 0, packed(kept, often, places[whole.tokens]), sink.getvalue().to_pybytes())])
 
         for _, kind, chunk, part, a, _ in _rows(batches):
             if parts and chunk != last:
@@ -271,10 +279,12 @@ class Runs:
             self.levels.append((codes // most, codes % most, own))
         self.first = self.levels[0][0]
 
-    def buckets(self, numbers: np.ndarray, buckets: int) -> list[np.ndarray]:
-        """The bucket of each run of each length, by the numbers of its first two words."""
+    def buckets(self, numbers: np.ndarray, counts: np.ndarray, buckets: int, hot: float) -> list[np.ndarray]:
+        """The bucket of each run of each length, by the number of its first word, or of its first two where that is hot."""
         first, second, _ = self.levels[0]
-        out = [_bucket(mix(numbers[first].astype(np.uint64)) + numbers[second].astype(np.uint64), buckets)]
+        key = numbers[first].astype(np.uint64)
+        own = np.where(counts[first] > hot, mix(key) + numbers[second].astype(np.uint64), key)
+        out = [_bucket(own, buckets)]
         for before, _, _ in self.levels[1:]:
             out.append(out[-1][before])
         return out
@@ -288,23 +298,26 @@ class Runs:
         return [place, *reversed(out)]
 
 
-def _runs(buckets: int, width: int, kind: int, learnt: bool):
-    """The given kind: a chunk's distinct runs by bucket, sorted, with their counts; and, when all rows ask, kind 3: its words."""
+def _runs(buckets: int, width: int, hot: float, learnt: bool):
+    """Kind 1: the distinct runs in a chunk's rows learnt from, by bucket, sorted, with the counts of their first two words
+    and their own. Or, for all rows, kind 2: the distinct runs; kind 3: the distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, chunk, _, a, b in _rows(batches):
-            kept, tokens = unpacked(a)
+            kept, often, tokens = unpacked(a)
             table = pa.ipc.open_stream(b).read_all()
             offsets = np.concatenate([[0], np.cumsum(table.column("n_tokens").to_numpy() + 1)])
             runs = Runs(tokens, offsets, width, ~table.column("held_out").to_numpy() if learnt else None)
-            numbers = np.concatenate([[0], kept])
-            columns = [numbers[c] for c in runs.columns()]
-            counts = np.bincount(runs.levels[-1][2], minlength=len(columns[0]))
+            numbers, often = np.concatenate([[0], kept]), np.concatenate([[0], often])
+            places = runs.columns()
+            counts = np.bincount(runs.levels[-1][2], minlength=len(places[0]))
             rows = []
-            for to, x in _split(runs.buckets(numbers, buckets)[-1], buckets):
-                own = [c[x] for c in columns]
+            for to, x in _split(runs.buckets(numbers, often, buckets, hot)[-1], buckets):
+                own = [numbers[c[x]] for c in places]
                 own[0] = np.diff(own[0], prepend=0)
-                rows.append((to, kind, chunk, 0, packed(*own, *([counts[x]] if learnt else [])), b""))
+                if learnt:
+                    own += [often[places[0][x]], often[places[1][x]], counts[x]]
+                rows.append((to, 1 if learnt else 2, chunk, 0, packed(*own), b""))
             if not learnt:
                 rows += [(to, 3, chunk, 0, packed(np.diff(kept[x], prepend=0)), b"") for to, x in _split((kept - 1) % buckets, buckets)]
             yield from _packets(rows)
@@ -312,32 +325,62 @@ def _runs(buckets: int, width: int, kind: int, learnt: bool):
     return run
 
 
+def cutoff(kinds: np.ndarray) -> np.ndarray:
+    """The upper 5 % point of half a chi-square with `kinds` degrees of freedom (Wilson and Hilferty)."""
+    part = 2 / (9 * kinds)
+    return kinds * (1 - part + QUANTILE * np.sqrt(part)) ** 3 / 2
+
+
+class Contexts:
+    """Sums over the kept runs of each of some contexts: of which run which context is, and what decides on its state."""
+
+    def __init__(self, which: np.ndarray, counts: np.ndarray, total: np.ndarray, shorter: np.ndarray):
+        """which: each run's context, from 0, in order; total: of each run's context; shorter: log10 of its last word's probability."""
+        self.first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, np.int64)
+        add = lambda x: np.add.reduceat(x, self.first) if len(x) else np.zeros(0)
+        self.which = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(which))))
+        self.sums = [np.diff(np.append(self.first, len(which))).astype(float), add(counts.astype(float)), add(10**shorter), add(counts * (np.log(counts) - shorter * np.log(10)))]
+        self.total = total[self.first].astype(float)
+
+
+def states(kinds: np.ndarray, kept: np.ndarray, mass: np.ndarray, gain: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which contexts are states, log10 of their weights for other words, and what a run's count is divided by in one."""
+    other, rest = total - kept, np.maximum(1 - mass, 1e-12)
+    divergence = gain - kept * np.log(np.maximum(total, 1)) + np.where(other > 0, other * np.log(np.maximum(other, 1) / np.maximum(total, 1) / rest), 0)
+    return divergence >= cutoff(kinds), np.log10((other + kinds) / (total + kinds) / rest), total + kinds
+
+
 def _names(n: int, start: int = 1) -> list[str]:
     return [f"w{k}" for k in range(start, start + n)]
 
 
-def _added(width: int, least: int):
-    """Sums each bucket's runs; for each length those that occur often enough, with the occurrences of their context (0 for length 2)."""
-    names = ["n", "bucket", *_names(width), "count", "total"]
+def _added(width: int, least: int, scale: float, hot: float):
+    """Sums each bucket's runs and keeps those that occur often enough. Kind 5: runs of two words, their counts, those of
+    their first words, and log10 of the last ones' probabilities at the root; kind 6: longer ones of a length (`part`)
+    with the occurrences of their contexts; kind 7: sums over the runs of hot words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         last = None
 
         def out() -> Iterator[pa.RecordBatch]:
-            *columns, counts = (np.concatenate(x) for x in zip(*held))
-            numbers, places = np.unique(np.concatenate(columns), return_inverse=True)
-            places = places.reshape(width, -1)
-            own, length, whole = places[0], sum((c > 0).astype(np.int64) for c in columns), None
+            *columns, first_often, second_often, counts = (np.concatenate(x) for x in zip(*held))
+            base = max(int(c.max(initial=0)) for c in columns) + 1
+            own, length, whole = columns[0], sum((c > 0).astype(np.int64) for c in columns), None
             for n in range(2, width + 1):
-                _, first, own = np.unique(own * len(numbers) + places[n - 1], return_index=True, return_inverse=True)
+                _, first, own = np.unique(own * base + columns[n - 1], return_index=True, return_inverse=True)
                 sums = np.bincount(own, weights=counts).astype(np.int64)
-                before = np.zeros(len(first), np.int64) if whole is None else whole[first]
-                keep = np.flatnonzero((sums >= least) & (length[first] >= n))
-                for k in range(0, len(keep), 1 << 16):
-                    x = keep[k : k + (1 << 16)]
-                    some = [columns[j][first[x]] if j < n else np.zeros(len(x), np.int64) for j in range(width)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), n, np.int32)), pa.array(np.full(len(x), last, np.int32)), *map(pa.array, some), pa.array(sums[x]), pa.array(before[x])], names=names)
+                x = np.flatnonzero((sums >= least) & (length[first] >= n))
+                at = first[x]
+                if n == 2:
+                    total, shorter = first_often[at], np.log10((second_often[at] + 1) / scale)
+                    yield from _packets([(last, 5, 0, 0, packed(columns[0][at], columns[1][at], sums[x], total, shorter), b"")])
+                    some = np.flatnonzero(total > hot)
+                    if len(some):
+                        told = Contexts(columns[0][at][some], sums[x][some], total[some], shorter[some])
+                        yield from _packets([(last, 7, 0, 0, packed(columns[0][at][some][told.first], *told.sums, told.total), b"")])
+                elif len(x):
+                    yield from _packets([(last, 6, 0, n, packed(*(c[at] for c in columns[:n]), sums[x], whole[at]), b"")])
                 whole = sums[own]
 
         for bucket, _, _, _, a, _ in _rows(batches):
@@ -354,131 +397,188 @@ def _added(width: int, least: int):
     return run
 
 
-def cutoff(kinds: Column) -> Column:
-    """The upper 5 % point of half a chi-square with `kinds` degrees of freedom (Wilson and Hilferty)."""
-    part = F.lit(2.0) / (9 * kinds)
-    return kinds * F.pow(1 - part + QUANTILE * F.sqrt(part), 3) / 2
+def _names(n: int, start: int = 1) -> list[str]:
+    return [f"w{k}" for k in range(start, start + n)]
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, _, _, _, a, b in _rows(batches):
+        totals = unpacked(b)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([int(totals[0])]), pa.array([int(totals[1])]), pa.array([len(unpacked(a)[0])])], names=["tokens", "words", "kept"])
+
+
+_SUMS = ["kinds", "kept", "mass", "gain", "total"]
+
+
+def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for *_, a, _ in _rows(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(a)], names=["w1", *_SUMS])
+
 
+def _placed(bucket: int, width: int, columns: list[np.ndarray], gains: np.ndarray) -> tuple:
+    """Kind 0: runs and what is added to their gains."""
+    columns = [np.diff(columns[0], prepend=0), *columns[1:], *[np.zeros(len(gains), np.int64)] * (width - len(columns))]
+    return bucket, 0, 0, 0, packed(*columns, gains), b""
+
+
+def _pair_terms(buckets: int, width: int, hot: float, known: dict[int, tuple[bool, float, float]]):
+    """From kind 5: kind 0, the gains of runs of two words; kind 1: the weights of words that are states, by their bucket;
+    and kind 8: log10 of the runs' probabilities in the longest state."""
 
-def _lexicon(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, _, _, _, a, b in _rows(batches):
-            (counts,), (totals,) = unpacked(a), unpacked(b)
-            ids = np.concatenate([np.arange(len(counts)) * buckets + bucket + 1, [0, -1]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([counts, totals]))], names=["id", "count"])
+        for bucket, _, _, _, a, _ in _rows(batches):
+            first, second, counts, total, shorter = unpacked(a)
+            if not len(first):
+                continue
+            told = Contexts(first, counts, total, shorter)
+            state, weight, whole = states(*told.sums, told.total)
+            names = first[told.first]
+            for k in np.flatnonzero(told.total > hot):
+                state[k], weight[k], whole[k] = known[int(names[k])]
+            inside = state[told.which]
+            value = np.where(inside, np.log10(counts / whole[told.which]), shorter)
+            term = np.where(inside, value - weight[told.which] - shorter, 0.0)
+            some = np.flatnonzero(term != 0)
+            yield from _packets([_placed(bucket, width, [first[some], second[some]], term[some])])
+            words = names[state & (told.total <= hot)]
+            values = weight[state & (told.total <= hot)]
+            yield from _packets([(to, 1, 0, 0, packed(np.diff(words[x], prepend=0), values[x]), b"") for to, x in _split((words - 1) % buckets, buckets)])
+            yield from _packets([(bucket, 8, 0, 0, packed(first, second, value), b"")])
 
     return run
 
 
-class Model:
-    """lexicon (id, count): the kept words' numbers; gains: for each length from 2 a table (bucket, w1, ..., gain) of runs,
-    their term and their weight as a context; weights (id, weight): single words as contexts. coded: the texts as numbers."""
+def _values(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, a, _ in _rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(a)], names=[*_names(n, 2), "shorter"])
 
-    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = LEAST, key: int | None = None):
-        """Learns from the rows of docs (doc_id, text, learnt) that are learnt. The driver receives two totals."""
-        spark = docs.sparkSession
-        self.buckets = buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.width = depth + 1
-        key = fresh_key() if key is None else key
-        asked = written(docs.mapInArrow(_chunked(buckets, key), _PACKET), "chunks")
-        placed = asked.filter("kind = 1").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-        numbered = written(placed.mapInArrow(_numbered(buckets, least), _PACKET), "numbers")
-        lexicon = written(numbered.filter("kind = 2").mapInArrow(_lexicon(buckets), "id long, count long"), "lexicon")
-        totals = {r["id"]: r["n"] for r in lexicon.filter("id < 1").groupBy("id").agg(F.sum("count").alias("n")).collect()}
-        self.tokens, self.distinct = totals.get(0, 0), totals.get(-1, 0)
-        self.scale = float(self.tokens + self.distinct + 1)
-        self.lexicon = lexicon.filter("id > 0")
-        both = asked.filter("kind = 0").unionByName(numbered.filter("kind = 3"))
-        both = both.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("chunk", "kind", "part")
-        self.coded = written(both.mapInArrow(_coded(buckets, self.scale, key), _PACKET), "coded")
-        dropped(asked)
-        dropped(numbered)
-        placed = self.coded.mapInArrow(_runs(buckets, self.width, 1, True), _PACKET).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-        fields = ", ".join(f"{w} long" for w in _names(self.width))
-        counted = written(placed.mapInArrow(_added(self.width, least), f"n int, bucket int, {fields}, count long, total long"), "runs")
-        self._learn(counted)
-        dropped(counted)
+    return run
 
-    def _learn(self, counted: DataFrame) -> None:
-        terms: list[DataFrame] = []
-        weights: list[DataFrame] = []
-        root = self.lexicon.select(F.col("id").alias("w2"), F.log10((F.col("count") + 1) / F.lit(self.scale)).alias("shorter"))
-        for n in range(2, self.width + 1):
-            rows = counted.filter(F.col("n") == n).select("bucket", *_names(n), "count", "total")
-            if n == 2:
-                rows = joined(rows, root, "w2")
-            else:
-                rows = rows.join(terms[-1].select(*(F.col(f"w{k}").alias(f"w{k + 1}") for k in range(1, n)), F.col("value").alias("shorter")), _names(n - 1, 2))
-            rows = written(rows, "shorter")
-            context = _names(n - 1)
-            log = F.col("count") * (F.log("count") - F.col("shorter") * F.log(F.lit(10.0)))
-            sums = rows.groupBy(*context).agg(F.count("*").alias("kinds"), F.sum("count").alias("kept"), F.sum(F.pow(F.lit(10.0), "shorter")).alias("mass"), F.sum(log).alias("gain"), F.max("total").alias("total"))
-            if n == 2:
-                sums = sums.drop("total").join(self.lexicon.select(F.col("id").alias("w1"), F.col("count").alias("total")), "w1")
-            other, rest = F.col("total") - F.col("kept"), F.greatest(1 - F.col("mass"), F.lit(1e-12))
-            divergence = F.col("gain") - F.col("kept") * F.log("total") + F.when(other > 0, other * F.log(F.greatest(other, F.lit(1)) / F.col("total") / rest)).otherwise(0.0)
-            states = sums.filter(divergence >= cutoff(F.col("kinds")))
-            states = written(states.select(*context, F.log10((other + F.col("kinds")) / (F.col("total") + F.col("kinds")) / rest).alias("weight"), (F.col("total") + F.col("kinds")).alias("whole")), "states")
-            rows = joined(rows, states, "w1", "left") if n == 2 else rows.join(states, context, "left")
-            value = F.coalesce(F.log10(F.col("count") / F.col("whole")), "shorter")
-            rows = rows.select("bucket", *_names(n), F.coalesce(value - F.col("weight") - F.col("shorter"), F.lit(0.0)).alias("term"), value.alias("value"))
-            terms.append(written(rows, "terms"))
-            weights.append(states.select(*context, "weight"))
-        self.weights = weights[0].withColumnRenamed("w1", "id")
-        self.gains: list[DataFrame] = []
-        for n, rows in enumerate(terms, 2):
-            if n < self.width:
-                rows = rows.join(weights[n - 1], _names(n), "left").withColumn("term", F.col("term") + F.coalesce("weight", F.lit(0.0)))
-            self.gains.append(written(rows.filter("term <> 0").select("bucket", *_names(n), F.col("term").alias("gain")), "gains"))
-        for table in [*terms, *weights[1:]]:
-            dropped(table)
 
+def _longer(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _, _, _, a, _ in _rows(batches):
+            columns = unpacked(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), bucket, np.int32)), *map(pa.array, columns)], names=["bucket", *_names(n), "count", "total"])
+
+    return run
 
-def _packed_gains(width: int, word: bool, buckets: int):
-    """Kind 0: runs and their gains, by bucket; kind 1: single words and theirs."""
+
+def _longer_terms(n: int, width: int):
+    """From rows (bucket, words, count, total, shorter) sorted by bucket and words: kind 0, the gains of runs of n words and the
+    weights of their contexts that are states; and kind 8 as of runs of two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
 
         def out() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
-            *columns, gains = (table.column(c).to_numpy() for c in range(1, table.num_columns))
-            order = np.lexsort(columns[::-1])
-            columns, gains, where = [c[order] for c in columns], gains[order], table.column(0).to_numpy()[order]
-            rows = []
-            for b, x in _split(where, buckets):
-                own = [c[x] for c in columns]
-                own[0] = np.diff(own[0], prepend=0)
-                own += [np.zeros(len(x), np.int64)] * (0 if word else width - len(own))
-                rows.append((b, int(word), 0, 0, packed(*own, gains[x]), b""))
-            yield from _packets(rows)
+            words = [table.column(w).to_numpy() for w in _names(n)]
+            counts, total, shorter = (table.column(c).to_numpy() for c in ("count", "total", "shorter"))
+            fresh = np.ones(len(counts), dtype=bool)
+            fresh[1:] = np.any([w[1:] != w[:-1] for w in words[:-1]], axis=0)
+            told = Contexts(np.cumsum(fresh), counts, total, shorter)
+            state, weight, whole = states(*told.sums, told.total)
+            inside = state[told.which]
+            value = np.where(inside, np.log10(counts / whole[told.which]), shorter)
+            term = np.where(inside, value - weight[told.which] - shorter, 0.0)
+            some, ones = np.flatnonzero(term != 0), told.first[state]
+            rows = [_placed(last, width, [w[some] for w in words], term[some]), _placed(last, width, [w[ones] for w in words[:-1]], weight[state])]
+            yield from _packets(rows + ([(last, 8, 0, 0, packed(*words, value), b"")] if n < width else []))
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) > _ROWS:
-                yield from out()
-                held = []
+            if not batch.num_rows:
+                continue
+            where = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1), batch.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if held and where[x] != last:
+                    yield from out()
+                    held = []
+                last = int(where[x])
+                held.append(batch.slice(x, y - x))
         if held:
             yield from out()
 
     return run
 
 
+def _told(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, kind, _, _, a, _ in _rows(batches):
+            columns = unpacked(a)
+            columns[0] = np.cumsum(columns[0])
+            none = [np.zeros(len(columns[0]), np.int64)] * (width - 1 if kind else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns[:-1], *none, columns[-1])], names=[*_names(width), "gain"])
+
+    return run
+
+
+class Model:
+    """numbers: packets of the kept words' counts; gains: packets of runs' gains (kind 0) and of single words' weights as
+    contexts (kind 1); coded: the texts as numbers; tokens, distinct: N and V."""
+
+    def __init__(self, docs: DataFrame, depth: int = DEPTH, least: int = LEAST, key: int | None = None):
+        """Learns from the rows of docs (doc_id, text, learnt) that are learnt."""
+        spark = docs.sparkSession
+        self.buckets = buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.width = width = depth + 1
+        key = fresh_key() if key is None else key
+        together = lambda df, *by: df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions(*by)
+        asked = written(docs.mapInArrow(_chunked(buckets, key), _PACKET), "chunks")
+        numbered = written(together(asked.filter("kind = 1"), "bucket").mapInArrow(_numbered(buckets, least), _PACKET), "numbers")
+        totals = numbered.filter("kind = 2").mapInArrow(_totals, "tokens long, words long, kept long").agg(F.sum("tokens"), F.sum("words"), F.max("kept")).first()
+        self.tokens, self.distinct, kept = (x or 0 for x in totals)
+        if (kept + 1) * buckets >= _MOST:
+            raise ValueError(f"more than {_MOST} numbers of words")
+        self.scale, self.hot = float(self.tokens + self.distinct + 1), self.tokens / (_HOT * buckets)
+        both = asked.filter("kind = 0").unionByName(numbered.filter("kind = 3"))
+        self.coded = written(together(both, "chunk", "kind", "part").mapInArrow(_coded(buckets, self.scale, key), _PACKET), "coded")
+        dropped(asked)
+        dropped(numbered)
+        runs = self.coded.mapInArrow(_runs(buckets, width, self.hot, True), _PACKET)
+        counted = written(together(runs, "bucket").mapInArrow(_added(width, least, self.scale, self.hot), _PACKET), "runs")
+        sums = counted.filter("kind = 7").mapInArrow(_hot_sums, ", ".join(["w1 long", *(f"{c} double" for c in _SUMS)]))
+        sums = sums.groupBy("w1").agg(*(F.sum(c).alias(c) for c in _SUMS[:-1]), F.max("total").alias("total")).toArrow()
+        names = sums.column("w1").to_numpy()
+        state, weight, whole = states(*(sums.column(c).to_numpy() for c in _SUMS))
+        hot = {int(w): (bool(s), float(x), float(t)) for w, s, x, t in zip(names, state, weight, whole)}
+        terms = [written(counted.filter("kind = 5").mapInArrow(_pair_terms(buckets, width, self.hot, hot), _PACKET), "terms")]
+        for n in range(3, width + 1):
+            fields = ", ".join(f"{w} long" for w in _names(n))
+            shorter = terms[-1].filter("kind = 8").mapInArrow(_values(n - 1), ", ".join([*(f"{w} long" for w in _names(n - 1, 2)), "shorter double"]))
+            rows = counted.filter(f"kind = 6 and part = {n}").mapInArrow(_longer(n), f"bucket int, {fields}, count long, total long").join(shorter, _names(n - 1, 2))
+            terms.append(written(together(rows, "bucket", *_names(n)).mapInArrow(_longer_terms(n, width), _PACKET), "terms"))
+        dropped(counted)
+        first = [(w, x) for w, (s, x, _) in sorted(hot.items()) if s]
+        packets = list(_packets([((w - 1) % buckets, 1, 0, 0, packed(np.array([w]), np.array([x])), b"") for w, x in first]))
+        self._terms = terms
+        self.gains = spark.createDataFrame(pa.Table.from_batches(packets)) if packets else spark.createDataFrame([], _PACKET)
+        for table in terms:
+            self.gains = self.gains.unionByName(table.filter("kind < 2"))
+
+    def told(self) -> DataFrame:
+        """(w1, ..., gain): what each run adds, 0 beyond its end; a run may have several rows."""
+        return self.gains.mapInArrow(_told(self.width), ", ".join([*(f"{w} long" for w in _names(self.width)), "gain double"]))
+
+    def drop(self) -> None:
+        for table in self._terms:
+            dropped(table)
+
+
 class Gains:
     """The runs of a bucket with their gains, found by their words' numbers."""
 
-    def __init__(self, columns: list[np.ndarray], gains: np.ndarray):
-        self.numbers = np.unique(np.concatenate([[0], *columns]))
-        places = [np.searchsorted(self.numbers, c) for c in columns]
+    def __init__(self, columns: list[np.ndarray], gains: np.ndarray, base: int):
         length = sum((c > 0).astype(np.int64) for c in columns)
-        own, self.levels = places[0], []
+        own, self.levels, self.base = columns[0], [], base
         for n in range(2, len(columns) + 1):
-            codes, some = own * len(self.numbers) + places[n - 1], length >= n
+            codes, some = own * base + columns[n - 1], length >= n
             distinct = np.unique(codes[some])
             own = np.searchsorted(distinct, codes)
-            gain = np.zeros(len(distinct))
-            gain[own[length == n]] = gains[length == n]
+            gain = np.bincount(own[length == n], weights=gains[length == n], minlength=len(distinct))
             self.levels.append((distinct, gain))
 
     def find(self, columns: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -486,20 +586,21 @@ class Gains:
         fresh = np.zeros(len(columns[0]), dtype=bool)
         fresh[:1] = True
         fresh[1:] = columns[0][1:] != columns[0][:-1]
-        own = np.minimum(np.searchsorted(self.numbers, columns[0]), len(self.numbers) - 1)
-        known = self.numbers[own] == columns[0]
+        own, known = columns[0], np.ones(len(fresh), dtype=bool)
         for (distinct, gain), column in zip(self.levels, columns[1:]):
             fresh[1:] |= column[1:] != column[:-1]
-            place = np.minimum(np.searchsorted(self.numbers, column), len(self.numbers) - 1)
-            known = known & (self.numbers[place] == column) & (column > 0)
-            codes = own * len(self.numbers) + place
-            own = np.minimum(np.searchsorted(distinct, codes), max(len(distinct) - 1, 0))
-            known = known & (distinct[own] == codes) if len(distinct) else np.zeros(len(codes), dtype=bool)
             x = np.flatnonzero(fresh & (column > 0))
-            yield np.where(known[x], gain[own[x]], 0.0) if len(distinct) else np.zeros(len(x))
+            if not len(distinct):
+                known = np.zeros(len(fresh), dtype=bool)
+                yield np.zeros(len(x))
+                continue
+            codes = own * self.base + column
+            own = np.minimum(np.searchsorted(distinct, codes), len(distinct) - 1)
+            known = known & (distinct[own] == codes) & (column > 0)
+            yield np.where(known[x], gain[own[x]], 0.0)
 
 
-def _answered(buckets: int, width: int):
+def _answered(buckets: int, width: int, base: int):
     """Answers what chunks ask of each bucket, in the order asked, at the chunk's own bucket: which are found, and their gains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,7 +610,7 @@ def _answered(buckets: int, width: int):
             whole = [np.concatenate(x) for x in zip(*held.get(0, []))] or [np.zeros(0, np.int64)] * width + [np.zeros(0)]
             words = [np.concatenate(x) for x in zip(*held.get(1, []))] or [np.zeros(0, np.int64), np.zeros(0)]
             order = np.argsort(words[0])
-            return Gains(whole[:-1], whole[-1]), (words[0][order], words[1][order])
+            return Gains(whole[:-1], whole[-1], base), (words[0][order], words[1][order])
 
         for bucket, kind, chunk, _, a, _ in _rows(batches):
             if bucket != last:
@@ -539,7 +640,7 @@ def _gains(answer: tuple[bytes, bytes], n: int) -> np.ndarray:
     return out
 
 
-def _finished(buckets: int, width: int, tokens_learnt: int):
+def _finished(buckets: int, width: int, hot: float, tokens_learnt: int):
     """Scores the rows of each chunk; its answers come first."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -549,17 +650,17 @@ def _finished(buckets: int, width: int, tokens_learnt: int):
             if kind < 4:
                 answers.setdefault(kind, {})[part] = (a, b)
                 continue
-            kept, tokens = unpacked(a)
+            kept, often, tokens = unpacked(a)
             table = pa.ipc.open_stream(b).read_all()
             offsets = np.concatenate([[0], np.cumsum(table.column("n_tokens").to_numpy() + 1)])
-            numbers = np.concatenate([[0], kept])
+            numbers, often = np.concatenate([[0], kept]), np.concatenate([[0], often])
             weight = np.zeros(len(numbers))
             for to, x in _split((kept - 1) % buckets, buckets):
                 weight[x + 1] = _gains(answers[3][to], len(x))
             gain = weight[tokens]
             gain[offsets[1:] - 1] = 0  # the last end is no context
             runs = Runs(tokens, offsets, width)
-            places = runs.buckets(numbers, buckets)
+            places = runs.buckets(numbers, often, buckets, hot)
             values = [np.zeros(len(level[0])) for level in runs.levels]
             own = [dict(_split(np.where(last > 0, where, buckets), buckets)) for where, (_, last, _) in zip(places, runs.levels)]
             for to, answer in answers.get(2, {}).items():
@@ -591,15 +692,10 @@ def scored(docs: DataFrame, learnt: str = "crc32(coalesce(cast(doc_id as string)
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(f"coalesce({learnt}, false)").alias("learnt"))
     model = Model(source, depth, least)
-    buckets = model.buckets
-    packets = model.coded.mapInArrow(_runs(buckets, model.width, 2, False), _PACKET)
-    for gains in model.gains:
-        packets = packets.unionByName(gains.mapInArrow(_packed_gains(model.width, False, buckets), _PACKET))
-    words = model.weights.select(((F.col("id") - 1) % buckets).cast("int").alias("bucket"), "id", "weight")
-    packets = packets.unionByName(words.mapInArrow(_packed_gains(1, True, buckets), _PACKET))
+    buckets, width = model.buckets, model.width
+    packets = model.gains.unionByName(model.coded.mapInArrow(_runs(buckets, width, model.hot, False), _PACKET))
     asked = packets.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    answers = written(asked.mapInArrow(_answered(buckets, model.width), _PACKET), "answers")
-    for table in (*model.gains, model.weights, model.lexicon):
-        dropped(table)
+    answers = written(asked.mapInArrow(_answered(buckets, width, _MOST), _PACKET), "answers")
+    model.drop()
     final = answers.unionByName(model.coded).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("chunk", "kind")
-    return final.mapInArrow(_finished(buckets, model.width, model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return final.mapInArrow(_finished(buckets, width, model.hot, model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -149,16 +149,30 @@ def learnt(df, *args):
 
 
 def test_every_state_sums_to_one(spark):
-    model = learnt(spark.read.parquet(f"{DATA}/documents.parquet"), 1)
-    root = {r["id"]: (r["count"] + 1) / model.scale for r in model.lexicon.collect()}
-    terms = {}
-    for r in model.gains[0].collect():
-        terms.setdefault(r["w1"], {})[r["w2"]] = r["gain"]
-    weights = {r["id"]: r["weight"] for r in model.weights.collect()}
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    model = learnt(spark.createDataFrame(rows, "doc_id long, text string"), 1)
+    counts = sorted(c for c in Counter(w for _, t in rows for w in [*words(t), None]).values() if c > 1)
+    root = 1 - sum((c + 1) / model.scale for c in counts)
+    told = model.told().collect()
+    terms, weights = {}, {r["w1"]: r["gain"] for r in told if not r["w2"]}
+    for r in told:
+        if r["w2"]:
+            terms.setdefault(r["w1"], {})[r["w2"]] = r["gain"]
     assert len(weights) > 10 and set(terms) == set(weights)
+    # The words' own root probabilities: a state's probability of w is root(w) times 10 ** (weight + term).
+    shares = {r["id"]: (r["count"] + 1) / model.scale for r in numbers_of(model, rows)}
     for state, weight in sorted(weights.items())[:20]:
-        inside = sum(p * 10 ** (weight + terms[state].get(w, 0)) for w, p in root.items())
-        assert inside + (1 - sum(root.values())) * 10**weight == pytest.approx(1, abs=1e-9)
+        inside = sum(p * 10 ** (weight + terms[state].get(w, 0)) for w, p in shares.items())
+        assert inside + root * 10**weight == pytest.approx(1, abs=1e-9)
+
+
+def numbers_of(model, rows):
+    """(id, count) of the kept words, read off the coded texts."""
+    found = {}
+    for r in model.coded.collect():
+        kept, often, _ = suffix_tree.unpacked(bytes(r["a"]))
+        found |= dict(zip(kept.tolist(), often.tolist()))
+    return [{"id": k, "count": c} for k, c in found.items()]
 
 
 def test_packed_columns_come_back():
@@ -212,8 +226,9 @@ def passages(draw):
     return texts
 
 
-@pytest.mark.parametrize("depth", [2, 3])
-def test_scores_match_brute_force_with_every_sequence(spark, depth):
+@pytest.mark.parametrize("depth, hot", [(2, 4), (3, 4), (2, 10**9)])
+def test_scores_match_brute_force_with_every_sequence(spark, monkeypatch, depth, hot):
+    monkeypatch.setattr(suffix_tree, "_HOT", hot)  # with the last, every word is hot
     texts = passages(random.Random(4)) + ["", "c1 " * 30]
     want, states = brute_scores(texts, depth, 2)
     assert sum(len(s) == depth for s in states) > 0 and any(s[-1] and s[-1].startswith("p") for s in states)
@@ -224,7 +239,7 @@ def test_scores_match_brute_force_with_every_sequence(spark, depth):
 def test_triples_of_uncommon_words_are_kept(spark):
     """Each word of the passage has a share of 4e-5, under the 4.6e-4 that a triple's words once needed."""
     rows = [(k, "one rare passage") for k in range(20)] + [(100 + k, " ".join(f"w{(k * 7919 + j * j) % 211}" for j in range(10_000))) for k in range(50)]
-    assert learnt(odd_rows(spark, rows)).gains[1].count() >= 1
+    assert learnt(odd_rows(spark, rows)).told().filter("w3 > 0").count() >= 1
     with_it, without = (suffix_tree.scored(odd_rows(spark, rows[k:]), "true").filter("doc_id = 19").first()["score"] for k in (0, 19))
     assert with_it > without + 1
 
@@ -234,7 +249,7 @@ def test_a_sequence_is_kept_at_any_size(spark):
     filler = spark.range(1200).select((F.col("id") + 10).alias("doc_id"), F.lit("a b " * 5000).alias("text"))
     rows = spark.createDataFrame([(1, "one rare passage"), (2, "one rare passage")], "doc_id long, text string")
     model = learnt(rows.unionByName(filler))
-    assert model.tokens > 12_000_000 and model.gains[0].count() >= 4
+    assert model.tokens > 12_000_000 and model.told().filter("w2 > 0").count() >= 4
     got = {r["doc_id"]: r for r in suffix_tree.scored(rows.unionByName(filler), "true").filter("doc_id < 3").collect()}
     assert got[1]["score"] == got[2]["score"] > got[1]["base_score"] + 10
 
