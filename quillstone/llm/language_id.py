@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
-Letters are lower-cased, runs of other characters become one border. A model keeps its counts of up to ORDER letters
+Letters are lower-cased, runs of other characters become one border. A model keeps its counts of up to ORDER symbols
 in sorted arrays of 64-bit hashes. A text gets the language of the lowest cross-entropy per symbol; a logistic
 function, fitted on rows no model has seen, turns that entropy and its margin into a confidence, below which a text
 can be rejected.
@@ -9,6 +9,7 @@ can be rejected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,15 @@ from pyspark.sql import functions as F
 from .quality import logistic
 from .textops import Table, mix, pieces, text_bytes
 
-ORDER, _BITS = 5, 12
+ORDER = 5
 #: Rows of each language that train its model, and that calibrate, about (chosen by hash).
 TRAIN_ROWS, CALIBRATION_ROWS = 400, 400
+#: Models are broadcast, some 5 MB a language at TRAIN_ROWS, so there may be this many.
+MOST_LANGUAGES = 500
+#: Probabilities of seen runs that a model keeps at hand, languages times runs; beyond it they are worked out anew.
+_AT_HAND = 1 << 24
 UNKNOWN = "und"
-_OTHER, _BORDER = 0, 1
+_BORDER = 0
 
 
 def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,146 +38,125 @@ def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32), starts[offsets]
 
 
-class Letters:
-    """Numbers of the letters: 0 for letters not learnt, 1 for everything that is no letter."""
+@lru_cache
+def letters() -> np.ndarray:
+    """The symbol of each code point: its lower-case letter's (the first where that is several), or the border for what is no letter."""
+    table = np.zeros(0x110000, np.uint32)
+    for p in range(0x110000):
+        c = chr(p)
+        if c.isalpha():
+            table[p] = ord(c.lower()[0])
+    return table
 
-    def __init__(self, points: np.ndarray):
-        self.size = len(points) + 2
-        self.table = np.full(0x110000, _BORDER, np.uint16)
-        numbers = {int(p): k + 2 for k, p in enumerate(points)}
-        for p in range(0x110000):
-            c = chr(p)
-            if c.isalpha():
-                low = c.lower()
-                self.table[p] = numbers.get(ord(low), _OTHER) if len(low) == 1 else _OTHER
-
-    @staticmethod
-    def learn(points: np.ndarray) -> np.ndarray:
-        """The most frequent lower-case letters among code points, 4,000 at most."""
-        kinds, counts = np.unique(points, return_counts=True)
-        total: dict[int, int] = {}
-        for p, n in zip(kinds.tolist(), counts.tolist()):
-            if chr(p).isalpha() and len(low := chr(p).lower()) == 1:
-                total[ord(low)] = total.get(ord(low), 0) + n
-        return np.array(sorted(sorted(total), key=lambda p: -total[p])[:4000], np.int64)
 
+class Grams:
+    """Keys of the last 1 to ORDER symbols at each symbol of each row, and of all but the last of these.
 
-def grams(points: np.ndarray, offsets: np.ndarray, letters: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the last ORDER symbols at each symbol of each row, the rows' offsets, and which rows have a letter.
-
-    A row begins and ends with a border; borders in a row collapse into one.
+    A row begins and ends with a border; borders in a row collapse into one. What lies before a row is borders.
     """
-    rows = len(offsets) - 1
-    numbers = letters.table[points]
-    keep = np.ones(len(points), dtype=bool)
-    keep[1:] = (numbers[1:] != _BORDER) | (numbers[:-1] != _BORDER)
-    inner = offsets[:-1][offsets[:-1] < len(points)]
-    keep[inner] = True
-    keep[inner] &= numbers[inner] != _BORDER  # the border that every row begins with is added below
-    total = np.zeros(len(points) + 1, np.int64)
-    np.cumsum(keep, out=total[1:])
-    lengths = np.diff(total[offsets])
-    starts = np.zeros(rows + 1, np.int64)
-    np.cumsum(lengths + 1, out=starts[1:])
-    stream = np.full(starts[-1] + ORDER - 1, _BORDER, np.uint64)
-    at = np.arange(int(lengths.sum())) + np.repeat(np.arange(rows), lengths) + ORDER - 1
-    stream[at] = numbers[keep]
-    n = int(starts[-1])
-    own = np.arange(n) - np.repeat(starts[:-1], lengths + 1)  # symbols of the row before this one
-    codes = np.zeros(n, np.uint64)
-    for k in range(ORDER):
-        part = stream[ORDER - 1 - k : ORDER - 1 - k + n]
-        codes |= np.where(own >= k, part, np.uint64(_BORDER)) << np.uint64(_BITS * k)
-    has = np.zeros(len(points) + 1, np.int64)
-    np.cumsum(numbers != _BORDER, out=has[1:])
-    return codes, starts, np.diff(has[offsets]) > 0
-
-
-def _mask(k: int) -> np.uint64:
-    return np.uint64((1 << (_BITS * k)) - 1)
-
-
-def _key(codes: np.ndarray, k: int) -> np.ndarray:
-    return mix(codes ^ np.uint64(k << 60))
+
+    def __init__(self, points: np.ndarray, offsets: np.ndarray):
+        rows = len(offsets) - 1
+        numbers = letters()[points]
+        keep = np.ones(len(points), dtype=bool)
+        keep[1:] = (numbers[1:] != _BORDER) | (numbers[:-1] != _BORDER)
+        inner = offsets[:-1][offsets[:-1] < len(points)]
+        keep[inner] = numbers[inner] != _BORDER  # the border that every row begins with is added below
+        total = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(keep, out=total[1:])
+        lengths = np.diff(total[offsets])
+        self.starts = np.zeros(rows + 1, np.int64)
+        np.cumsum(lengths + 1, out=self.starts[1:])
+        symbols = np.full(self.starts[-1], _BORDER, np.uint64)
+        symbols[np.arange(int(lengths.sum())) + np.repeat(np.arange(rows), lengths) + 1] = numbers[keep]
+        self.keys, self.contexts = (np.zeros((ORDER, len(symbols)), np.uint64) for _ in range(2))
+        before, outside = np.zeros(len(symbols), np.uint64), np.zeros(1, np.uint64)
+        for k in range(ORDER):
+            self.contexts[k] = before
+            own = extended(before, symbols, k)
+            outside = extended(outside, np.zeros(1, np.uint64), k)
+            self.keys[k] = own
+            before = np.concatenate([outside, own[:-1]]) if len(own) else own
+            before[self.starts[:-1]] = outside[0]
+        has = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(numbers != _BORDER, out=has[1:])
+        self.has = np.diff(has[offsets]) > 0
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct runs of ORDER symbols, a row of all keys and contexts each, and their counts."""
+        _, first, counts = np.unique(self.keys[-1], return_index=True, return_counts=True)
+        return np.concatenate([self.keys[:, first], self.contexts[:, first]]).T, counts
+
+
+def extended(context: np.ndarray, symbols: np.ndarray, k: int) -> np.ndarray:
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + symbols + (np.uint64(k + 1) << np.uint64(32)))
 
 
 class KneserNey:
-    """One language's model: counts by length in sorted hash arrays. Lower orders count distinct letters before."""
+    """One language's model: counts by length in sorted hash arrays. Lower orders count distinct symbols before."""
 
-    def __init__(self, codes: np.ndarray, size: int):
-        self.size = size
-        self.orders = []
-        codes, counts = np.unique(codes, return_counts=True)
+    def __init__(self, runs: np.ndarray, counts: np.ndarray, size: int):
+        """runs: the distinct runs as `Grams.distinct` gives them; size: of the alphabet."""
+        self.size, self.orders = size, []
         for k in range(ORDER, 0, -1):
+            keys, contexts = runs[:, k - 1], runs[:, ORDER + k - 1]
             ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
             discount = ones / (ones + 2 * twos) if ones and twos else 0.75
-            context = codes >> np.uint64(_BITS)
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(codes) else np.zeros(0, np.int64)
-            totals = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-            kinds = np.diff(np.append(first, len(codes)))
-            self.orders.append((self._sorted(_key(codes, k), counts), self._sorted(_key(context[first], k - 1), totals, kinds), discount))
-            codes, counts = np.unique(codes & _mask(k - 1), return_counts=True)
+            known, which = np.unique(contexts, return_inverse=True)
+            totals, kinds = np.bincount(which, weights=counts, minlength=len(known)), np.bincount(which, minlength=len(known))
+            order = np.argsort(keys)
+            self.orders.append(((keys[order], counts[order].astype(float)), (known, totals, kinds.astype(float)), discount))
+            if k > 1:
+                _, first, counts = np.unique(runs[:, k - 2], return_index=True, return_counts=True)
+                runs = runs[first]
         self.orders.reverse()
 
-    @staticmethod
-    def _sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(keys)
-        return keys[order], *(v[order].astype(np.float64) for v in values)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each code after the others."""
-        p = np.full(len(codes), 1 / self.size)
-        for k, ((keys, counts), (contexts, totals, kinds), discount) in enumerate(self.orders, 1):
-            if not len(keys):
+    def log10(self, keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol after the others; keys and contexts by length."""
+        p = np.full(keys.shape[1], 1 / self.size)
+        for (runs, counts), (known, totals, kinds), discount, want, context in zip(*zip(*self.orders), keys, contexts):
+            if not len(runs):
                 continue
-            code = codes & _mask(k)
-            want = _key(code >> np.uint64(_BITS), k - 1)
-            at = np.minimum(np.searchsorted(contexts, want), len(contexts) - 1)
-            known = contexts[at] == want
-            want = _key(code, k)
-            own = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            count = np.where(keys[own] == want, counts[own], 0)
-            p = np.where(known, (np.maximum(count - discount, 0) + discount * kinds[at] * p) / totals[at], p)
+            at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+            own = np.minimum(np.searchsorted(runs, want), len(runs) - 1)
+            count = np.where(runs[own] == want, counts[own], 0)
+            p = np.where(known[at] == context, (np.maximum(count - discount, 0) + discount * kinds[at] * p) / totals[at], p)
         return np.log10(p)
 
 
 class Model:
-    """All languages' models, with a table of the sequences seen; and the logistic weights of the confidence."""
-
-    def __init__(self, points: np.ndarray, samples: dict[str, np.ndarray]):
-        self.points, self.languages = points, sorted(samples)
-        self.models = [KneserNey(samples[name], len(points) + 2) for name in self.languages]
-        seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *samples.values()]))
+    """All languages' models, with a table of the runs seen; and the logistic weights of the confidence."""
+
+    def __init__(self, samples: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """samples: each language's distinct runs and their counts."""
+        self.languages = sorted(samples)
+        every = np.concatenate([np.zeros((0, 2 * ORDER), np.uint64), *(runs for runs, _ in samples.values())])
+        size = len(np.unique(every[:, 0])) + 1
+        self.models = [KneserNey(*samples[name], size) for name in self.languages]
+        seen, first = np.unique(every[:, ORDER - 1], return_index=True)
+        if len(seen) * len(samples) > _AT_HAND:
+            seen, first = seen[:0], first[:0]
         self.table = Table(seen)
-        self.values = self._all(seen)
+        self.values = self._all(every[first, :ORDER].T, every[first, ORDER:].T)
         self.weights: np.ndarray | None = None
-        self._letters: Letters | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_letters": None}
-
-    def letters(self) -> Letters:
-        if self._letters is None:
-            self._letters = Letters(self.points)
-        return self._letters
 
-    def _all(self, codes: np.ndarray) -> np.ndarray:
-        return np.stack([m.log10(codes) for m in self.models], axis=0) if self.models else np.zeros((0, len(codes)))
+    def _all(self, keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        return np.stack([m.log10(keys, contexts) for m in self.models], axis=0) if self.models else np.zeros((0, keys.shape[1]))
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per symbol (rows by languages), symbols, and whether there is a letter, of each row."""
-        codes, starts, has = grams(*decoded(column), self.letters())
-        at = self.table.find(codes)
+        grams = Grams(*decoded(column))
+        at = self.table.find(grams.keys[-1])
         missed = np.flatnonzero(at < 0)
-        kinds, which = np.unique(codes[missed], return_inverse=True)
-        rare = self._all(kinds)
-        n = np.diff(starts)
+        _, first, which = np.unique(grams.keys[-1][missed], return_index=True, return_inverse=True)
+        rare = self._all(grams.keys[:, missed[first]], grams.contexts[:, missed[first]])
+        n = np.diff(grams.starts)
         out = np.zeros((len(n), len(self.languages)))
         for j in range(len(self.languages)):
             value = self.values[j][at] if len(self.table.keys) else np.zeros(len(at))
             value[missed] = rare[j][which]
-            out[:, j] = -np.add.reduceat(value, starts[:-1]) / n if len(n) else 0
-        return out, n, has
+            out[:, j] = -np.add.reduceat(value, grams.starts[:-1]) / n if len(n) else 0
+        return out, n, grams.has
 
     @staticmethod
     def evidence(entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -193,21 +177,23 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, has & (score >= reject))], score
 
 
-def _coded(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Letters(shared.value)
-        for batch in pieces(batches):
-            codes, starts, _ = grams(*decoded(batch.column("text")), letters)
-            packed = [codes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], names=["lang", "codes"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of a task's texts by language, and their counts."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in pieces(batches):
+        langs = batch.column("lang").to_numpy(zero_copy_only=False)
+        for lang in dict.fromkeys(langs.tolist()):
+            runs, counts = Grams(*decoded(batch.column("text").filter(pa.array(langs == lang)))).distinct()
+            held[lang] = added([held[lang], (runs, counts)]) if lang in held else (runs, counts)
+    for lang, (runs, counts) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([runs.tobytes()], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())], names=["lang", "runs", "counts"])
 
 
-def _pointed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        kinds, counts = np.unique(decoded(batch.column("text"))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["point", "n"])
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of several samples and the sums of their counts."""
+    runs, counts = (np.concatenate(x) for x in zip(*parts))
+    _, first, which = np.unique(runs[:, ORDER - 1], return_index=True, return_inverse=True)
+    return runs[first], np.bincount(which, weights=counts).astype(np.int64)
 
 
 def _measured(shared):
@@ -238,25 +224,28 @@ def _named(shared, reject: float):
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Fits a model for each non-null lang of docs (text, lang) on about train_rows whole texts of it, chosen by hash.
 
-    As many others calibrate. A language of fewer rows gives two thirds of them to its model. A language whose texts
-    are all null or empty is learnt as one border. Without languages every prediction is UNKNOWN.
+    As many others calibrate. A language of fewer rows gives two thirds of them to its model, and the text whose hash
+    is the least in any case, so each has a model. A language whose texts are all null or empty is learnt as one
+    border. Without languages every prediction is UNKNOWN; over MOST_LANGUAGES are refused. Runs are counted on the
+    executors; the driver gets the distinct ones of a task's texts.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null")
-    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
-    if not sizes:
-        return Model(np.zeros(0, np.int64), {})
-    shares = [(lang, min(2 / 3, train_rows / n), min(1 / 3, calibration_rows / n)) for lang, n in sorted(sizes.items())]
-    table = spark.createDataFrame(shares, "lang string, fit double, check double")
     draw = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("language")), F.lit(1_000_000)) / 1e6
-    drawn = texts.join(F.broadcast(table), "lang").withColumn("draw", draw).filter("draw < fit + check")
-    fit, check = drawn.filter("draw < fit").select("lang", "text"), drawn.filter("draw >= fit").select("lang", "text")
-    counted = fit.mapInArrow(_pointed, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).collect()
-    points = Letters.learn(np.repeat([r["point"] for r in counted], [min(r["n"], 1 << 16) for r in counted]).astype(np.int64)) if counted else np.zeros(0, np.int64)
-    samples: dict[str, list[np.ndarray]] = {lang: [] for lang in sizes}
-    for row in fit.mapInArrow(_coded(spark.sparkContext.broadcast(points)), "lang string, codes binary").toLocalIterator():
-        samples[row["lang"]].append(np.frombuffer(row["codes"], np.uint64))
-    model = Model(points, {lang: np.concatenate([np.zeros(0, np.uint64), *parts]) for lang, parts in samples.items()})
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null").withColumn("draw", draw)
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    if not sizes:
+        return Model({})
+    shares = [(r["lang"], min(2 / 3, train_rows / r["n"]), min(1 / 3, calibration_rows / r["n"]), r["least"]) for r in sorted(sizes)]
+    table = spark.createDataFrame(shares, "lang string, fit double, check double, least double")
+    drawn = texts.join(F.broadcast(table), "lang").filter("draw < fit + check or draw = least")
+    fits = "draw < fit or draw = least"
+    fit, check = drawn.filter(fits).select("lang", "text"), drawn.filter(f"not ({fits})").select("lang", "text")
+    samples: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for row in fit.mapInArrow(_counted, "lang string, runs binary, counts binary").toLocalIterator():
+        samples.setdefault(row["lang"], []).append((np.frombuffer(row["runs"], np.uint64).reshape(-1, 2 * ORDER), np.frombuffer(row["counts"], np.int64)))
+    model = Model({lang: added(parts) for lang, parts in samples.items()})
     seen = check.mapInArrow(_measured(spark.sparkContext.broadcast(model)), "right boolean, x array<double>").collect()
     if seen:
         x, y = np.array([r["x"] for r in seen]), np.array([float(r["right"]) for r in seen])
