@@ -92,13 +92,17 @@ WITH c AS (
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     "op3_decontamination": f"""
-WITH d AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
-w AS (SELECT kind, id, {_WORDS} AS ws FROM d),
-s AS (SELECT kind, id, unnest({_SHINGLES}) AS g FROM w),
-n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id)
-SELECT x.id AS doc_id, y.id AS item_id, n_item, count(*) AS n_common
-FROM s x JOIN s y ON x.g = y.g AND x.kind = 0 AND y.kind = 1 JOIN n ON n.id = y.id
-GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 80 * n_item""",
+WITH i AS (SELECT item_id AS id, {_WORDS} AS ws FROM benchmark),
+d AS (SELECT doc_id AS id, {_WORDS} AS ws FROM documents),
+k AS (SELECT DISTINCT least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
+x AS (SELECT row_number() OVER () AS r, id, least(len(ws), 5) AS k, ws FROM i WHERE len(ws) > 0),
+s AS (SELECT r, id, k, unnest(list_distinct([array_to_string(ws[j:j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)])) AS g FROM x),
+n AS (SELECT r, count(*) AS n_item FROM s GROUP BY r),
+e AS (SELECT row_number() OVER () AS r, id, ws FROM d),
+t AS (SELECT r, id, k, unnest(list_distinct([array_to_string(ws[j:j + k - 1], ' ') FOR j IN range(1, len(ws) - k + 2)])) AS g FROM e, k WHERE len(ws) >= k)
+SELECT t.id AS doc_id, s.id AS item_id, n_item, count(*) AS n_common
+FROM t JOIN s ON t.g = s.g AND t.k = s.k JOIN n ON n.r = s.r
+GROUP BY t.r, s.r, 1, 2, 3 HAVING 100 * count(*) >= 80 * n_item""",
     "op5_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (SELECT doc_id, {_SHINGLES} AS sh FROM w),
@@ -117,8 +121,8 @@ p AS (SELECT source, greatest(ceil(rate / 64), 1)::INT AS parts, rate / greatest
 k AS (SELECT source, parts, mean, unnest(range(0, ceil(mean + 12 * sqrt(mean) + 30)::BIGINT + 1)) AS k FROM p),
 c AS (SELECT source, parts, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM k),
 d AS (SELECT d.*, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key FROM documents d),
-u AS (SELECT d.source, d.key, ('0x' || substr(md5('mix:' || key || ':' || j), 1, 13))::UBIGINT::DOUBLE / 4503599627370496 AS u
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source, range(0, 64) r(j) WHERE j < parts),
+u AS (SELECT source, key, ('0x' || substr(md5('mix:' || key || ':' || j), 1, 13))::UBIGINT::DOUBLE / 4503599627370496 AS u
+  FROM (SELECT d.source, d.key, unnest(range(0, parts)) AS j FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)),
 m AS (SELECT u.key, count(c.c) AS copies FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u GROUP BY u.key),
 e AS (SELECT d.*, unnest(range(0, copies))::INT AS copy FROM d JOIN m USING (key))
 SELECT doc_id, text, lang, source, n_chars, copy, substr(md5('mix:place:' || key || ':' || copy), 1, 16) AS place FROM e""",

@@ -104,7 +104,18 @@ def test_leaks_match_brute_force(spark):
             w[draw.randrange(len(w))] = "changed"
         docs.append((100 + k, " ".join(["pre"] * draw.randrange(20) + w + ["post"] * draw.randrange(2000))))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    want = sorted(((d, i, len(shingles(t)), len(shingles(t) & shingles(x))) for d, x in docs for i, t in items if shingles(t) and 100 * len(shingles(t) & shingles(x)) >= 80 * len(shingles(t))), key=str)
+    def runs(w, n):
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    want = []
+    for i, t in items:
+        n = min(len(words(t)), 5)
+        for d, x in docs if n else []:
+            item, common = runs(words(t), n), runs(words(t), n) & runs(words(x), n)
+            if 100 * len(common) >= 80 * len(item):
+                want.append((d, i, len(item), len(common)))
+    want = sorted(want, key=str)
+    assert any(n == 1 and d != 5 and d is not None and d >= 100 for d, _, n, _ in want)  # short items inside longer documents
     for block in (decontaminate.BLOCK_SHINGLES, 40):
         got = sorted((tuple(r) for r in decontaminate.leaks(odd_rows(spark, docs), bench, block_shingles=block).collect()), key=str)
         assert got == want and len(want) > 10
@@ -412,16 +423,56 @@ def test_language_edges(spark):
     assert all(r["lang_pred"] == "und" for r in language_id.identified(odd_rows(spark, CASES), model, reject=1.1).collect())
 
 
-def test_kneser_ney_sums_to_one():
-    import numpy as np
+def brute_kneser_ney(texts, size, order=language_id.ORDER):
+    """A function of (context, symbol) to its probability under interpolated Kneser-Ney learnt from texts of letters and spaces."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        row = (" " + t).replace("  ", " ")
+        for i in range(len(row)):
+            counts[order][tuple((" " * order + row)[i + 1 : i + 1 + order])] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def p(context, symbol):
+        k = len(context) + 1
+        c = counts[k]
+        inside = {g[-1]: n for g, n in c.items() if g[:-1] == tuple(context)}
+        shorter = p(context[1:], symbol) if k > 1 else 1 / size
+        if not inside:
+            return shorter
+        ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.75
+        return (max(inside.get(symbol, 0) - d, 0) + d * len(inside) * shorter) / sum(inside.values())
+
+    return p
 
-    letters = language_id.Letters(np.array([97, 98, 99]))
-    points = np.frombuffer("abcabcaabbc".encode("utf-32-le"), np.uint32)
-    codes, _, _ = language_id.grams(points, np.array([0, len(points)]), letters)
-    model = language_id.KneserNey(codes, letters.size)
-    for code in codes:
-        context = code >> np.uint64(12) << np.uint64(12)
-        assert float((10 ** model.log10(context | np.arange(letters.size, dtype=np.uint64))).sum()) == pytest.approx(1)
+
+def test_kneser_ney_matches_brute_force_and_sums_to_one():
+    import numpy as np
+    import pyarrow as pa
+
+    texts, tried = ["abcabcaabbc cab", "bca", "aab ccb"], "abca bxb caab "
+    grams = language_id.Grams(*language_id.decoded(pa.array(texts)))
+    model = language_id.Model({"x": grams.distinct()})
+    p = brute_kneser_ney(texts, 5)  # a, b, c, the border, and all others
+    want = sum(-math.log10(p(tuple((" " * 5 + " " + tried)[i + 1 : i + 5]), c)) for i, c in enumerate(" " + tried)) / (len(tried) + 1)
+    assert model.entropies(pa.array([tried]))[0][0, 0] == pytest.approx(want, rel=1e-12)
+    for context in (" abc", "bcab", "zzzz"):
+        assert sum(p(tuple(context), c) for c in "abc x") == pytest.approx(1)
+    assert [float(x) for x in model.values[0]] == pytest.approx([float(x) for x in model._all(*np.split(grams.distinct()[0].T, 2))[0]])
+
+
+def test_letters_beyond_any_table_and_languages_of_one_row(spark):
+    """Eleven thousand kinds of letters in one language, and a language with one row alone."""
+    syllables = "".join(chr(0xAC00 + k) for k in range(11_000))
+    rows = [(f"und {k} ist nicht das", "de") for k in range(30)] + [("unus solus textus", "la"), (syllables, "ko")]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "ko", "la"]
+    asked = odd_rows(spark, [(1, "".join(reversed(syllables[-40:]))), (2, "solus textus"), (3, "das ist")])
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identified(asked, model, "doc_id").collect()} == {1: "ko", 2: "la", 3: "de"}
+    assert language_id.identified(odd_rows(spark, []), model, "doc_id").count() == 0
+    twins = language_id.train(spark.createDataFrame([("same words", "b"), ("same words", "a")], "text string, lang string"))
+    assert language_id.identified(odd_rows(spark, [(1, "same")]), twins).first()["lang_pred"] == "a"
 
 
 # Mixing
