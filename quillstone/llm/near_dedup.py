@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .spread import HOT_ROWS, dropped, hot_keys, joined, written
-from .textops import SHINGLE_WORDS, Words, distinct_per_row, mix, pieces
+from .textops import SHINGLE_WORDS, Words, distinct_per_row, distinct_wide, fresh_key, mix, pieces, second_key
 
 #: 25 bands of 5 coordinates: a pair of similarity 0.85 misses all of them with probability 4e-7, one of 0.8 with 5e-5.
 BANDS, ROWS = 25, 5
@@ -75,10 +75,10 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketched(bands: int, rows: int, width: int):
+def _sketched(bands: int, rows: int, width: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            values, offsets = distinct_per_row(*Words(batch.column("text")).shingles(width))
+            values, offsets = distinct_per_row(*Words(batch.column("text"), key).shingles(width))
             counts = np.diff(offsets)
             step = max(SKETCH, bands * rows)
             signature = signatures(values, offsets, step)
@@ -110,8 +110,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(width: int, shared):
-    """Full shingle sets of the rows whose id the bitmap may hold."""
+def _sets(width: int, shared, key: int):
+    """Full shingle sets of the rows whose id the bitmap may hold, 128 bits a shingle under keys that no writer of texts knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
@@ -119,9 +119,10 @@ def _sets(width: int, shared):
             at = mix(batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)
             held = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
             batch = batch.filter(pa.array(held))
-            values, offsets = distinct_per_row(*Words(batch.column("text")).shingles(width))
-            whole = values.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([whole[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "shingles"])
+            words = Words(batch.column("text"), key)
+            first, second, offsets = distinct_wide(words.shingles(width)[0], *words.rehashed(second_key(key)).shingles(width))
+            whole = np.stack([first, second], axis=1).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([whole[16 * a : 16 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -131,17 +132,21 @@ def _linked(percent: int):
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("of_a"), batch.column("of_b"))):
-                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                n = len(u) + len(v)
-                both = np.sort(np.concatenate([u, v]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+                both = np.concatenate([np.frombuffer(z.as_buffer(), np.uint64).reshape(-1, 2) for z in (x, y)])
+                n = len(both)
+                rows = both[np.argsort(both[:, 0], kind="stable")]
+                halves = rows[1:] == rows[:-1]
+                if (halves[:, 0] & ~halves[:, 1]).any():  # one 64-bit hash for two shingles
+                    rows = both[np.lexsort((both[:, 1], both[:, 0]))]
+                    halves = rows[1:] == rows[:-1]
+                common = int(halves.all(axis=1).sum())
                 keep[i] = 100 * common >= percent * (n - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = SHINGLE_WORDS) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, key: int, width: int = SHINGLE_WORDS) -> DataFrame:
     """Those pairs (a, b) of document ids whose full shingle sets have 100 * intersection >= percent * union.
 
     No text is shuffled: a bitmap of fixed size tells the scan which documents may be on a pair, and only their sets
@@ -151,24 +156,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = SHIN
     total = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    sets = written(docs.select("doc_id", "text").mapInArrow(_sets(width, shared), "id long, shingles binary"), "sets")
-
-    def salted(rows: DataFrame, key: str, other: str) -> DataFrame:
-        hot = hot_keys(rows, key, total).select(key, F.ceil(F.col("count") / HOT_ROWS).alias("salts"))
-        return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), F.lit(0))).drop("salts")
-
-    def with_sets(rows: DataFrame, key: str, other: str) -> DataFrame:
-        rows = salted(rows, key, other)
-        wanted = rows.select(F.col(key).alias("id"), "salt").distinct().join(sets, "id")
-        return rows.join(wanted.withColumnsRenamed({"id": key, "shingles": f"of_{key}"}), [key, "salt"]).drop("salt")
-
-    both = with_sets(with_sets(pairs, "b", "a"), "a", "b").select("a", "b", "of_a", "of_b")
-    links = written(both.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    sets = written(docs.select("doc_id", "text").mapInArrow(_sets(width, shared, key), "id long, shingles binary"), "sets")
+
+    def salted(rows: DataFrame, one: str, other: str) -> DataFrame:
+        hot = hot_keys(pairs, one, total).select(one, F.ceil(F.col("count") / HOT_ROWS).alias("salts"))
+        return rows.join(F.broadcast(hot), one, "left").withColumn(f"salt_{one}", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), F.lit(0))).drop("salts")
+
+    both = rows = written(salted(salted(pairs.select("a", "b"), "a", "b"), "b", "a"), "salted")
+    for one in ("b", "a"):
+        wanted = rows.select(F.col(one).alias("id"), f"salt_{one}").distinct().join(sets, "id")
+        both = both.join(wanted.withColumnsRenamed({"id": one, "shingles": f"of_{one}"}), [one, f"salt_{one}"])
+    links = written(both.select("a", "b", "of_a", "of_b").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    dropped(rows)
     dropped(sets)
+    shared.destroy()
     return links
 
 
-
 def _close(percent: int, coordinates: int):
     """Pairs of one block, or of two blocks of one bucket, whose one-byte signatures agree often enough.
 
@@ -216,17 +220,17 @@ def _close(percent: int, coordinates: int):
 
 
 def _finer(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Buckets of over _MEMBERS rows cut into finer ones, by bands of FINE_ROWS coordinates of the one-byte signatures.
+    """Mixed buckets cut into finer ones, by bands of FINE_ROWS coordinates of the one-byte signatures; one rule for every size.
 
     With 64 bands of 8 a pair of similarity 0.85 misses all of them with probability 1e-9, one of 0.8 with 8e-6, while
     one of 0.5, as passages that many documents share make it, meets in a fifth of cases and one of 0.3 hardly ever.
     """
-    large = members.filter(F.col("size") > _MEMBERS).join(sketches, "node")
+    told = members.join(sketches, "node")
     bands = F.sequence(F.lit(0), F.floor(F.octet_length("sketch") / FINE_ROWS).cast("int") - 1)
     keys = F.transform(bands, lambda j: F.xxhash64("bucket", j, F.substring("sketch", j * FINE_ROWS + 1, F.lit(FINE_ROWS))))
-    fine = large.select(F.explode(keys).alias("bucket"), "node", "n_shingles", "component")
+    fine = told.select(F.explode(keys).alias("bucket"), "node", "n_shingles", "component")
     sizes = fine.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
-    return members.filter(F.col("size") <= _MEMBERS).unionByName(joined(fine, sizes, "bucket").select(*members.columns))
+    return joined(fine, sizes, "bucket").select("bucket", "size", "node", "n_shingles", "component")
 
 
 def _apart(members: DataFrame, sketches: DataFrame, percent: int, coordinates: int) -> DataFrame:
@@ -259,11 +263,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     1. Equal sets become one node, by 128 bits of the whole set: groups of copies of any size cost one row a copy.
     2. In every bucket (documents that share a band) each node is paired with the bucket's first; confirmed links
        give components. A bucket that lies in one component is done, which ends most buckets of near copies.
-    3. In the other buckets, cut finer where they are large, every two nodes of different components are compared by
+    3. In the other buckets, all cut finer by one rule, every two nodes of different components are compared by
        their signatures, in blocks, and those that come near the threshold are confirmed in the same way.
     """
+    key = fresh_key()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = written(source.mapInArrow(_sketched(bands, rows, width), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "sketch")
+    sketch = written(source.mapInArrow(_sketched(bands, rows, width, key), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "sketch")
     some = sketch.filter("doc_id is not null and digest is not null")
     first = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
     base = written(joined(some.select("doc_id", "n_shingles", "digest"), first, "digest").drop("digest"), "base")
@@ -275,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     sizes = shared.filter("node = head").select("bucket", F.col("n_shingles").alias("of_head"))
     tried = shared.filter("node <> head").join(sizes.groupBy("bucket").agg(F.max("of_head").alias("of_head")), "bucket").filter(fits)
     tried = written(tried.select(F.col("node").alias("b"), F.col("head").alias("a")).distinct(), "tried")
-    links = confirmed(tried, source, percent, width)
+    links = confirmed(tried, source, percent, key, width)
     found = components(links)
     placed = joined(shared.select("bucket", "node", "n_shingles"), found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "placed")
@@ -288,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     dropped(placed)
     dropped(members)
     dropped(sketches)
-    labels = components(links.unionByName(confirmed(apart, source, percent, width)))
+    labels = components(links.unionByName(confirmed(apart, source, percent, key, width)))
     told = joined(base, labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = sketch.filter("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return told.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
