@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .textops import pieces, text_bytes
 
 BLOCK, DICTIONARY_BYTES, LEVEL = 2048, 64 << 10, 3
-#: Labelled rows for each dictionary, blocks of each (evenly spaced through its whole text), and rows for calibration.
-DICTIONARY_ROWS, ROW_BLOCKS, CALIBRATION_ROWS = 2_000, 8, 8_000
+#: Labelled rows for each dictionary, whose whole texts are read, and rows for calibration.
+DICTIONARY_ROWS, CALIBRATION_ROWS = 2_000, 8_000
 
 
 @dataclass
@@ -36,12 +36,12 @@ class Model:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; the samples themselves where there are too few to train one."""
+    """A trained dictionary; the samples themselves, all of them, where there are too few to train one."""
     samples = [s for s in samples if len(s) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(samples)[-DICTIONARY_BYTES:]
+        return b"\n".join(samples)
 
 
 def features(column: pa.Array, compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
@@ -77,9 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column("text"))
         rows = []
         for a, b, label in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("label").to_pylist()):
-            starts = range(a, b, BLOCK)
-            for k in sorted({round(j) for j in np.linspace(0, len(starts) - 1, min(ROW_BLOCKS, len(starts)))}) if len(starts) else ():
-                rows.append((label, data[starts[k] : min(starts[k] + BLOCK, b)].tobytes()))
+            rows += [(label, data[k : min(k + BLOCK, b)].tobytes()) for k in range(a, b, BLOCK)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "block"])
 
