@@ -42,7 +42,9 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, mean_rate: float =
     else:
         given = weights.groupBy(F.col("source").alias("of")).agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
         sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()
+    # Decimals add up to the same in any order, so a rerun has the same rates.
+    whole = F.sum(F.col("weight").cast("decimal(38,12)")).cast("double")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(whole, F.lit(0.0)).alias("w")).first()
     share = F.col("weight") / F.lit(float(total["w"]) or 1.0)
     return sizes.select("source", (share * F.lit(mean_rate * total["n"]) / F.col("n")).alias("rate"))
 
@@ -67,21 +69,23 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, mean_rate: float =
     An empty table gives an empty mix.
     """
     docs = docs.drop("copy", "place")
+    row, rate = "document", "rated"
     table = rates(docs, weights, mean_rate, temperature)
     parts = F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1))
-    table = table.select(F.col("source").alias("_of"), parts.alias("_parts"), cumulative(F.col("rate") / parts).alias("_steps")).filter("_steps is not null")
-    keyed = docs.withColumn("_key", document_key(docs))
+    table = table.select(F.struct(F.col("source").alias("of"), parts.alias("parts"), cumulative(F.col("rate") / parts).alias("steps")).alias(rate)).filter(F.col(f"{rate}.steps").isNotNull())
+    # All columns of docs travel in one, so that no name of theirs can clash with one of ours.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), document_key(docs).alias("key"), F.col("source").alias("of"))
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rated = keyed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_of")), "left")
+        rated = whole.join(F.broadcast(table), F.col("of").eqNullSafe(F.col(f"{rate}.of")), "left")
     else:
-        named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-        hashed = table.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("_of").cast("string")), F.lit("")))
-        rated = joined(keyed.withColumn("_name", named), hashed, "_name", "left").drop("_name")
-    draws = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: uniform(F.lit(seed), F.col("_key"), j.cast("string")))
-    copies = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_steps", lambda c: c <= u)))
-    counted = rated.withColumn("_copies", copies).drop("_of", "_parts", "_steps").filter("_copies > 0")
-    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    each = each.withColumn("place", F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.col("_key"), F.col("copy").cast("string"))), 1, 16)).drop("_key")
+        name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+        rated = joined(whole.withColumn("name", name(F.col("of"))), table.withColumn("name", name(F.col(f"{rate}.of"))), "name", "left")
+    draws = F.transform(F.sequence(F.lit(0), F.col(f"{rate}.parts") - 1), lambda j: uniform(F.lit(seed), F.col("key"), j.cast("string")))
+    copies = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(f"{rate}.steps"), lambda c: c <= u)))
+    counted = rated.select(row, "key", copies.alias("copies")).filter("copies > 0")
+    each = counted.select(row, "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    place = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.col("key"), F.col("copy").cast("string"))), 1, 16)
+    each = each.select(*(F.col(row).getField(c).alias(c) for c in docs.columns), "copy", place.alias("place"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / float(1 << 32) * tasks).cast("int")
     return each.repartitionById(tasks, at).sortWithinPartitions("place", "doc_id", "copy")

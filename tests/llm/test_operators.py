@@ -406,6 +406,33 @@ def test_quality(spark):
     assert quality.judged(docs.limit(0), quality.Model([b"", b""]), "doc_id").count() == 0
 
 
+def test_quality_matches_brute_force(spark):
+    import zstandard
+
+    texts = ["plain words that say something " * 300, "aaa aaa aaa zzz", "", "x"]
+    model = quality.Model([b"aaa zzz " * 40, b"plain words that say something " * 20], [0.3, 5.0, -2.0, 0.5, 0.1, 4.0])
+    want = []
+    for t in texts:
+        data, sizes = t.encode(), []
+        for d in model.dictionaries:
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[k : k + 2048])) for k in range(0, len(data), 2048)))
+        n, (bad, good) = len(data), sizes
+        x = [1, (bad - good) / n, (bad - good) / (bad + good), good / n, 1 / (1 + n / 100), (bad - good) / n / (1 + n / 100)] if n else [1, 0, 0, 0, 0, 0]
+        want.append(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))))
+    got = {r["doc_id"]: r["score"] for r in quality.judged(odd_rows(spark, list(enumerate(texts))), model, "doc_id").collect()}
+    assert [got[k] for k in range(4)] == pytest.approx(want, rel=1e-12)
+
+
+def test_quality_reads_the_whole_of_a_labelled_text(spark):
+    """What tells good from bad stands once, in the middle of long texts, between the blocks that were once drawn."""
+    draw = random.Random(8)
+    rows = [(k, " ".join(f"n{draw.randrange(10**6)}" for _ in range(4000)) + f" {'fine prose indeed ' * 60 if k % 2 else 'spam spam buy now ' * 60} " + " ".join(f"n{draw.randrange(10**6)}" for _ in range(3000))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = quality.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("label")))
+    assert b"spam spam buy" in found.dictionaries[0] and b"fine prose" in found.dictionaries[1]
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.col("lang").alias("true"))
     rows = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out").collect()
@@ -478,6 +505,14 @@ def test_letters_beyond_any_table_and_languages_of_one_row(spark):
 # Mixing
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["key", "_key", "_of", "_parts", "_steps", "_copies", "_name", "of", "name", "document", "rated", "rate", "copies", "a.b"]
+    docs = odd_rows(spark, CASES).select("doc_id", "text", "source", *(F.lit(n).alias(n) for n in names))
+    got = mixing.mixed(docs, mean_rate=3.0)
+    rows = got.collect()
+    assert got.columns == [*docs.columns, "copy", "place"] and len(rows) > 10 and all(r[n] == n for r in rows for n in names)
+
+
 def test_mix(spark):
     docs = odd_rows(spark, CASES)
     weights = spark.createDataFrame([(None, 1.0), ("x", 5.0)], "source string, weight double")
