@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,9 @@ QUANTILE = 1.6448536269514722
 #: The end token's key among the words.
 _END_WORD = np.uint64(0x2545F4914F6CDD1D)
 #: Bytes of text that ask together.
-_CHUNK = 8 << 20
+_CHUNK = 4 << 20
+#: Shares of the chunks that ask one after the other, so that answers and what they meet lie on disk a share at a time.
+PASSES = 2
 #: A word is hot above this share of a bucket of even size, so there are at most 4 hot words a bucket.
 _HOT = 4
 #: Numbers of words stay below this, so that two of them fit in 64 bits.
@@ -68,16 +71,19 @@ def packed(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *planes]))
 
 
-def unpacked(data: bytes) -> list[np.ndarray]:
+def unpacked(data: bytes, only: int | None = None) -> list[np.ndarray]:
+    """The columns, or one of them."""
     data = zstandard.ZstdDecompressor().decompress(data)
     (n,) = struct.unpack_from("<I", data)
     at, out = 4 + 10 * n, []
     for k in range(n):
         kind, size, rows = struct.unpack_from("<cBQ", data, 4 + 10 * k)
         planes = np.frombuffer(data, np.uint8, rows * size, at).reshape(size, rows)
+        at += rows * size
+        if only is not None and k != only:
+            continue
         x = np.ascontiguousarray(planes.T).reshape(-1).view(f"{kind.decode()}{size}")
         out.append(x.astype(np.int64) if kind == b"u" else x)
-        at += rows * size
     return out
 
 
@@ -98,7 +104,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _home(chunk: int, buckets: int) -> int:
-    return ((chunk >> 32) + (chunk & 0xFFFFFFFF)) % buckets
+    return int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -266,7 +272,7 @@ class Runs:
             ok &= np.repeat(chosen, np.diff(offsets))
         self.at = np.flatnonzero(ok)
         most = int(tokens.max(initial=0)) + 1
-        own, end = tokens[self.at], ends[self.at]
+        own, end = tokens[self.at].astype(np.int64), ends[self.at]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.first = np.zeros(0, np.int64)
         alive = np.ones(len(own), dtype=bool)
@@ -275,8 +281,10 @@ class Runs:
             alive = alive & (place < end)
             more = np.where(alive, tokens[np.minimum(place, len(tokens) - 1)], 0)
             alive = more > 0
+            own = own.astype(np.int64)
             codes, own = np.unique(own * most + more, return_inverse=True)
-            self.levels.append((codes // most, codes % most, own))
+            own = own.astype(np.int32 if len(codes) < 1 << 31 else np.int64)
+            self.levels.append((codes // most, (codes % most).astype(tokens.dtype), own))
         self.first = self.levels[0][0]
 
     def buckets(self, numbers: np.ndarray, counts: np.ndarray, buckets: int, hot: float) -> list[np.ndarray]:
@@ -360,15 +368,22 @@ def _added(width: int, least: int, scale: float, hot: float):
     with the occurrences of their contexts; kind 7: sums over the runs of hot words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[bytes] = []
         last = None
 
+        def column(a: bytes, k: int, kind: type) -> np.ndarray:
+            x = unpacked(a, k)[0]
+            return (np.cumsum(x) if k == 0 else x).astype(kind)
+
         def out() -> Iterator[pa.RecordBatch]:
-            *columns, first_often, second_often, counts = (np.concatenate(x) for x in zip(*held))
-            base = max(int(c.max(initial=0)) for c in columns) + 1
-            own, length, whole = columns[0], sum((c > 0).astype(np.int64) for c in columns), None
+            # Packets are opened a column at a time and numbers kept in 32 bits, so that a bucket stays small.
+            *columns, first_often, second_often, counts = (np.concatenate([column(a, k, np.int64 if k > width else np.uint32) for a in held]) for k in range(width + 3))
+            own, length, whole = columns[0], sum((c > 0).astype(np.uint8) for c in columns), None
             for n in range(2, width + 1):
-                _, first, own = np.unique(own * base + columns[n - 1], return_index=True, return_inverse=True)
+                codes = own.astype(np.int64)
+                codes *= _MOST
+                codes += columns[n - 1]
+                _, first, own = np.unique(codes, return_index=True, return_inverse=True)
                 sums = np.bincount(own, weights=counts).astype(np.int64)
                 x = np.flatnonzero((sums >= least) & (length[first] >= n))
                 at = first[x]
@@ -388,9 +403,7 @@ def _added(width: int, least: int, scale: float, hot: float):
                 yield from out()
                 held = []
             last = bucket
-            columns = unpacked(a)
-            columns[0] = np.cumsum(columns[0])
-            held.append(columns)
+            held.append(a)
         if held:
             yield from out()
 
@@ -564,7 +577,7 @@ class Model:
         return self.gains.mapInArrow(_told(self.width), ", ".join([*(f"{w} long" for w in _names(self.width)), "gain double"]))
 
     def drop(self) -> None:
-        for table in self._terms:
+        for table in (*self._terms, self.coded):
             dropped(table)
 
 
@@ -693,9 +706,15 @@ def scored(docs: DataFrame, learnt: str = "crc32(coalesce(cast(doc_id as string)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(f"coalesce({learnt}, false)").alias("learnt"))
     model = Model(source, depth, least)
     buckets, width = model.buckets, model.width
-    packets = model.gains.unionByName(model.coded.mapInArrow(_runs(buckets, width, model.hot, False), _PACKET))
-    asked = packets.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    answers = written(asked.mapInArrow(_answered(buckets, width, _MOST), _PACKET), "answers")
+    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    results: list[DataFrame] = []
+    for k in range(PASSES):
+        coded = model.coded.filter(F.pmod(F.xxhash64("chunk"), F.lit(PASSES)) == k)
+        packets = model.gains.unionByName(coded.mapInArrow(_runs(buckets, width, model.hot, False), _PACKET))
+        asked = packets.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+        answers = written(asked.mapInArrow(_answered(buckets, width, _MOST), _PACKET), "answers")
+        final = answers.unionByName(coded).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("chunk", "kind")
+        results.append(written(final.mapInArrow(_finished(buckets, width, model.hot, model.tokens), fields), "scores"))
+        dropped(answers)
     model.drop()
-    final = answers.unionByName(model.coded).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("chunk", "kind")
-    return final.mapInArrow(_finished(buckets, width, model.hot, model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return reduce(DataFrame.unionByName, results)
