@@ -29,9 +29,21 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The table comes in two batches, the first of which is sent again; then a share of it is revised, deleted, and inserted as it was."""
     docs = _table(spark, folder, "documents")
-    rollup = TokenRollup(spark, f"{shared_folder(spark)}/quillstone-tokens-{uuid.uuid4().hex}")
-    rollup.apply("load", signed(inserts=docs))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where := f"{shared_folder(spark)}/quillstone-tokens-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    rollup = TokenRollup(spark, where)
+    share = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(16))
+    first, second, some = docs.filter(share < 8), docs.filter(share >= 8), docs.filter(share == 3)
+    revised = some.withColumn("text", F.reverse("text"))
+    rollup.apply("first", signed(inserts=first))
+    rollup.apply("second", signed(inserts=second))
+    rollup.apply("first", signed(inserts=first))
+    rollup.apply("revised", signed(inserts=revised, deletes=some))
+    rollup.compact()
+    rollup.apply("deleted", signed(deletes=revised))
+    rollup.apply("restored", signed(inserts=some))
     return rollup.totals()
 
 

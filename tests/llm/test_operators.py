@@ -78,17 +78,34 @@ def test_rollup(spark, tmp_path):
     assert rollup.apply("2", signed(inserts=df([row("b", "de", "eins zwei drei")]), deletes=df([old[3], old[2]])))
     assert rollup.apply("3", signed(inserts=df([]).limit(0)))
     encode = tokenizer(TOKENIZERS["byte_bpe_50k"]).encode_ordinary
-    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_bytes"]) for r in TokenRollup(spark, rollup.folder).totals().collect()}
+    told = lambda: {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_bytes"]) for r in TokenRollup(spark, rollup.folder).totals().filter("tokenizer = 'byte_bpe_50k'").collect()}
+    got = told()
+    assert rollup.compact() and not rollup.compact() and told() == got and len(rollup.deltas()) == 1
+    for name in ("", "n" * 300):
+        assert not rollup.committed(name) and rollup.apply(name, signed(inserts=df([row("z", "en", name)]))) and not rollup.apply(name, signed(inserts=df(old)))
+    assert not rollup.apply("1", signed(inserts=df(old))) and len(rollup.deltas()) == 3
+    assert rollup.compact() and rollup.apply("gone", signed(deletes=df([row("z", "en", ""), row("z", "en", "n" * 300)]))) and rollup.compact() and told() == got
     assert got == {("a", "en"): (2, len(encode("hello there")), 11), ("b", "de"): (1, len(encode("eins zwei drei")), 14)}
 
 
 def test_token_query_counts_all_documents(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("source", "lang", "text").collect()
+    want = {}
+    for version, path in TOKENIZERS.items():
+        encode = tokenizer(path).encode_ordinary
+        for r in rows:
+            text = r["text"] or ""
+            old = want.get((r["source"], r["lang"], version), (0, 0, 0))
+            want[r["source"], r["lang"], version] = tuple(a + b for a, b in zip(old, (1, len(encode(text)), len(text.encode()))))
+    got = queries.op2_token_counts(spark, DATA).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want and len(got) == len(want)
+
+
+def test_rollup_of_a_very_long_text(spark, tmp_path):
+    rollup = TokenRollup(spark, f"file://{tmp_path}/totals")
+    assert rollup.apply("1", signed(inserts=odd_rows(spark, [(1, "word " * 400_000), (1, LONG)])))
     encode = tokenizer(TOKENIZERS["byte_bpe_50k"]).encode_ordinary
-    want = Counter()
-    for r in rows:
-        want[r["source"], r["lang"]] += len(encode(r["text"]))
-    assert {(r["source"], r["lang"]): r["n_tokens"] for r in queries.op2_token_counts(spark, DATA).collect()} == want
+    assert rollup.totals().filter("tokenizer = 'byte_bpe_50k'").first()["n_tokens"] == len(encode("word " * 400_000)) + len(encode(LONG))
 
 
 # Decontamination
