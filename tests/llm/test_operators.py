@@ -385,10 +385,55 @@ def brute_spans(text):
     return sorted(found)
 
 
+def brute_model(samples):
+    """Ratios by pair and the threshold, from (value, label, held_out)."""
+    alphabet = secret_scan.ALPHABET
+    seen = {0: Counter(), 1: Counter()}
+    for value, label, held in samples:
+        if not held:
+            seen[label].update(value[k : k + 2] for k in range(len(value) - 1))
+    after = {k: Counter() for k in seen}
+    for k, c in seen.items():
+        for pair, n in c.items():
+            if set(pair) <= set(alphabet):
+                after[k][pair[0]] += n
+    p = lambda k, pair: (seen[k][pair] + 0.5) / (after[k][pair[0]] + 0.5 * len(alphabet))
+    ratio = lambda v: sum(math.log(p(1, v[k : k + 2]) / p(0, v[k : k + 2])) for k in range(len(v) - 1))
+    plain = sorted(ratio(v) for v, label, held in samples if held and label == 0 and len(v) >= 8 and set(v) <= set(alphabet))
+    at = (1 - secret_scan.WRONG) * (len(plain) - 1)
+    low = plain[int(at)]
+    return ratio, max(0.0, low + (plain[min(int(at) + 1, len(plain) - 1)] - low) * (at - int(at)))
+
+
+def brute_secrets(text, ratio, least):
+    base = brute_spans(text)
+    tokens = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.TOKEN, text or "") if ratio(m[0]) > least]
+    return sorted(base + [t for t in tokens if not any(a < t[2] and t[0] < b for a, _, b in base)])
+
+
+def test_secret_query_matches_a_transcription(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    samples = [tuple(r) for r in secret_scan.labelled_samples(docs).collect()]
+    ratio, least = brute_model(samples)
+    model, found = secret_scan.fitted(docs)
+    assert found == pytest.approx(least, rel=1e-9)
+    held = [(ratio(v) > least, label) for v, label, h in samples if h and len(v) >= 12]
+    right = [x for x, label in held if label]
+    assert sum(right) / len(right) > 0.95 and sum(x for x, label in held if not label) / sum(not label for _, label in held) < 0.005
+    strings = [r["value"] for r in secret_scan.random_strings(spark, 12).collect()]
+    planted = [(10**6 + k, f"we wrote {s[: 12 + 2 * k // 2]} down, and {s.lower()}") for k, s in enumerate(strings)]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()] + planted
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string"), (model, found))).collect()}
+    for i, t in rows:
+        assert got[i] == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in brute_secrets(t, ratio, least))
+    assert sum("random" in got[i] for i, _ in planted) >= 11
+    assert {r["doc_id"]: r["spans"] for r in queries.op6_secret_scan(spark, DATA).collect()} == {i: got[i] for i, _ in rows if i < 10**6}
+
+
 def test_secrets(spark):
     random_token = "Zx9QpL2mKv8RtYw3BnHs7Jd0"
     rows = [*CASES, (20, "🙂 PassWord = 'abcdefgh' token:short password: token =\"abcdefgh1\""), (21, "AKIA" + "B2" * 8 + " AKIAshort " + "ab" * 20 + " secret=" + "0f" * 16), (22, "see the_ordinary_identifier_name and " + random_token + " ok"), (23, "api_key==12345678")]
-    model = secret_scan.train(secret_scan.labelled_samples(spark.read.parquet(f"{DATA}/documents.parquet")))
+    model = secret_scan.fitted(spark.read.parquet(f"{DATA}/documents.parquet"))
     got = secret_scan.digest(secret_scan.secrets(odd_rows(spark, rows), model)).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
@@ -402,8 +447,9 @@ def test_secrets(spark):
     start = rows[-2][1].index(random_token)
     assert by[22]["spans"] == f"random:{start}:{start + len(random_token)}"
     assert secret_scan.secrets(odd_rows(spark, []), model).count() == 0
-    tried = secret_scan.random_strings(spark, 300).select(secret_scan.ratio(F.col("value"), model).alias("r"))
-    assert tried.filter(f"r > {secret_scan.THRESHOLD}").count() >= 297
+    assert secret_scan.secrets(odd_rows(spark, [])).count() == 0
+    tried = secret_scan.random_strings(spark, 300).select(secret_scan.ratio(F.col("value"), model[0]).alias("r"))
+    assert tried.filter(F.col("r") > model[1]).count() >= 297
 
 
 # Quality, language
