@@ -219,29 +219,30 @@ def _close(percent: int, coordinates: int):
     return run
 
 
-def _finer(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Mixed buckets cut into finer ones, by bands of FINE_ROWS coordinates of the one-byte signatures; one rule for every size.
+def _finer(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Finer buckets of the nodes (node, n_shingles, component) of mixed ones, by bands of FINE_ROWS coordinates of the one-byte
+    signatures: one rule for every size. Buckets that lie in one component are left out.
 
     With 64 bands of 8 a pair of similarity 0.85 misses all of them with probability 1e-9, one of 0.8 with 8e-6, while
     one of 0.5, as passages that many documents share make it, meets in a fifth of cases and one of 0.3 hardly ever.
     """
-    told = members.join(sketches, "node")
+    told = nodes.join(sketches, "node")
     bands = F.sequence(F.lit(0), F.floor(F.octet_length("sketch") / FINE_ROWS).cast("int") - 1)
-    keys = F.transform(bands, lambda j: F.xxhash64("bucket", j, F.substring("sketch", j * FINE_ROWS + 1, F.lit(FINE_ROWS))))
+    keys = F.transform(bands, lambda j: F.xxhash64(j, F.substring("sketch", j * FINE_ROWS + 1, F.lit(FINE_ROWS))))
     fine = told.select(F.explode(keys).alias("bucket"), "node", "n_shingles", "component")
     sizes = fine.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
     return joined(fine, sizes, "bucket").select("bucket", "size", "node", "n_shingles", "component")
 
 
-def _apart(members: DataFrame, sketches: DataFrame, percent: int, coordinates: int) -> DataFrame:
-    """Candidate pairs (a, b) among the members of each bucket that lie in different components.
+def _apart(nodes: DataFrame, sketches: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """Candidate pairs (a, b) among the nodes that meet in a finer bucket and lie in different components.
 
-    members: bucket, size, node, n_shingles, component; sketches: node, sketch. A bucket is cut into blocks of about
+    nodes: node, n_shingles, component; sketches: node, sketch. A bucket is cut into blocks of about
     _MEMBERS rows and each pair of blocks is one small unit of work, so a bucket of any size is spread over many tasks;
     only pairs that agree in enough of their signatures leave a task.
     """
     blocks = F.ceil(F.col("size") / _MEMBERS).cast("long")
-    placed = _finer(members, sketches).join(sketches, "node")
+    placed = _finer(nodes, sketches).join(sketches, "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     placed = placed.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
     placed = placed.select("bucket", "low", "high", "block", "node", "n_shingles", "component", "sketch")
@@ -284,10 +285,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     found = components(links)
     placed = joined(shared.select("bucket", "node", "n_shingles"), found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket", "size")
-    members = written(joined(placed, mixed, "bucket").select("bucket", "size", "node", "n_shingles", "component"), "members")
-    sketches = nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
-    sketches = written(sketches.distinct(), "sketches")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high").select("bucket")
+    members = written(joined(placed, mixed, "bucket").select("node", "n_shingles", "component").distinct(), "members")
+    sketches = written(nodes.select("node", "sketch").join(members.select("node"), "node", "left_semi").distinct(), "sketches")
     apart = written(_apart(members, sketches, percent, max(SKETCH, bands * rows)).join(tried, ["a", "b"], "left_anti"), "apart")
     dropped(shared)
     dropped(placed)
