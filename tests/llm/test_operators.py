@@ -65,6 +65,20 @@ def test_templates_that_rewrite_history_are_told():
     assert [fine.text[a:b] for a, b in fine.loss([r for r, _ in turns])] == ["b"]
 
 
+def test_chat_of_many_turns_and_of_very_long_texts(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} \x00 {'<|im_end|>' * (k % 3)}") for k in range(400)] + [(2, 0, "user", LONG * 3), (2, 1, "assistant", LONG)]
+    got = {r["conv_id"]: r for r in chat_format.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for conv, r in got.items():
+        assert chat_format.parsed(r["formatted"]) == [(role, t) for c, _, role, t in rows if c == conv]
+        assert [chat_format.unescape(r["formatted"][a:b]) for a, b in r["loss_spans"]] == [t for c, _, role, t in rows if c == conv and role == "assistant"]
+
+
+def test_a_template_that_drops_the_probe():
+    plain = lambda turns: "".join(f"[{r}|{t.strip(chr(0))}]" for r, t in turns)
+    found = chat_format.rendered([("user", "a"), ("assistant", "bc")], plain)
+    assert found.rewritten_at is None and len(found.texts) == 2
+
+
 # Token counts
 
 
