@@ -8,6 +8,7 @@ threshold, which is set on labelled samples that trained neither model, so that
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def placed(text: Column, matches: Column, pattern: str, kind: int, fits: Column | None = None) -> Column:
-    """Structs (start, kind, end, match) of the leftmost non-overlapping matches, in code points.
+def placed(text: Column, matches: Column, pattern: str, kind: int, wanted: Callable[[Column], Column] = lambda match: F.lit(True)) -> Column:
+    """Structs (start, kind, end, match) of those leftmost non-overlapping matches that are wanted, in code points.
 
     The pieces between the matches give the starts: a match begins where the pieces and matches before it end.
     """
@@ -42,12 +43,13 @@ def placed(text: Column, matches: Column, pattern: str, kind: int, fits: Column
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["piece"])
         end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.array_append(s["all"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))).alias("all"))
+        more = F.array_append(s["all"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match")))
+        return F.struct(end.alias("at"), F.when(wanted(x["match"]), more).otherwise(s["all"]).alias("all"))
 
     none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
     zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"))
     all_ = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda s: s["all"])
-    return F.when(F.size(matches) == 0, none).otherwise(all_)
+    return F.when(~F.exists(matches, wanted), none).otherwise(all_)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -145,10 +147,10 @@ def secrets(docs: DataFrame, model: tuple[list[float], float] | None = None) ->
     spans = base_spans(docs)
     base = F.array_sort(F.concat("assign", "access", "hex"))
     spans = spans.select("doc_id", "text", base.alias("base"), found(F.col("text"), TOKEN).alias("m"))
-    spans = spans.select("doc_id", "base", placed(F.col("text"), F.col("m"), TOKEN, 3).alias("tokens"))
+    random = lambda match: ratio(match, ratios) > least
+    spans = spans.select("doc_id", "base", placed(F.col("text"), F.col("m"), TOKEN, 3, random).alias("tokens"))
     apart = lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    spans = spans.withColumn("tokens", F.filter("tokens", apart))
-    return spans.select("doc_id", "base", F.filter("tokens", lambda t: ratio(t["match"], ratios) > least).alias("added"))
+    return spans.select("doc_id", "base", F.filter("tokens", apart).alias("added"))
 
 
 def digest(found_: DataFrame) -> DataFrame:
