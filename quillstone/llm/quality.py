@@ -157,3 +157,19 @@ def judged(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     source = docs.select(*keep, F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("text").schema)
     return source.mapInArrow(_judged(shared), f"{fields}, score double" if fields else "score double")
+
+
+def _passed(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        compressors = model.compressors()
+        for batch in pieces(batches):
+            score = 1 / (1 + np.exp(-np.clip(features(batch.column("text"), compressors) @ model.weights, -30, 30)))
+            yield batch.filter(pa.array(score >= least))
+
+    return run
+
+
+def passed(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score as `judged` gives it is `least` or more."""
+    return docs.mapInArrow(_passed(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)

@@ -82,3 +82,27 @@ def test_rows_without_an_id_of_their_own(spark):
     assert (None, near) not in got and set(got) <= set(left) and {(None, a), (3, b), (2, c), (7, "alone")} <= set(got)
     assert told(clean(spark, third, DATA)) == sorted([(None, a), (3, b), (2, c), (7, "alone")], key=str)
     assert told(clean(spark, docs, DATA)) == sorted([r for r in rows if item not in r[1]], key=str)
+
+
+ODD = ["row_id", "document", "shared_id", "kept", "score", "label", "n"]
+
+
+def test_stages_keep_columns_of_any_name_and_take_odd_rows(spark):
+    long = " ".join(f"w{k % 997}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, long), (6, long), (7, long + " end"), (None, None), (None, "x y"), (8, "a b c d e f"), (8, "a b c d e f")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(c).alias(c) for c in ODD))
+    (_, good), (_, distinct), (_, unlike), (_, clean), (_, mix) = pipeline.STAGES
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", F.col("quality").alias("label")))
+    scores = [r["score"] for r in quality.judged(docs, model, "doc_id").collect()]
+    assert good(spark, docs, DATA).count() == sum(x >= 0.7 for x in scores)
+    assert told(distinct(spark, docs, DATA)) == sorted([(2, ""), (3, " \t"), (4, "one two"), (6, long), (7, long + " end"), (None, "x y"), (8, "a b c d e f")], key=str)
+    assert told(unlike(spark, docs, DATA)) == sorted([(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, long), (None, None), (None, "x y"), (8, "a b c d e f")], key=str)
+    assert told(clean(spark, docs, DATA)) == sorted(rows, key=str)
+    for _, stage in pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            found = stage(spark, table, DATA)
+            assert found.columns == docs.columns + ["copy", "place"] * (stage is mix)
+            assert all(r[c] == c for r in found.collect() for c in ODD)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
