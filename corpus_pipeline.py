@@ -1,4 +1,10 @@
-"""From raw documents to a training mix: five stages, each written and read again before the next."""
+"""From raw documents to a training mix: five stages, each written and read again before the next.
+
+A stage takes any table with the columns of `documents` (doc_id, text, source; further ones, of any name, are carried
+along) and returns its columns, the last one two more. Null texts count as empty, texts are read whole, and an empty
+table gives an empty one. Decisions are made by row: a row without a doc_id, or with one that others have too, stays or
+goes by itself, and exactly one of several equal rows stays in the stages that look for copies.
+"""
 
 from __future__ import annotations
 
@@ -15,31 +21,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is under 0.7; the labels train the score and never decide themselves."""
+    """Drops documents whose quality score is under 0.7; the labels train the score and never decide themselves.
+
+    An empty text has the score of no evidence; where no label of either kind is left to learn from, all score 0.5
+    and go. Rows of equal text stay or go together.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    model = quality.train(docs, labels)
-    text = docs.select(*COLUMNS).withColumn("kept_text", F.col("text"))
-    kept = quality.judged(text, model, "doc_id", "kept_text", "lang", "source", "n_chars").filter("score >= 0.7")
-    return kept.withColumnRenamed("kept_text", "text").select(*COLUMNS)
+    return quality.passed(docs, quality.train(docs, labels))
 
 
 def keyed(docs: DataFrame, last: bool) -> DataFrame:
-    """docs with a row_id that no two rows share: the doc_id, but for rows that have none or one that others have too.
+    """(row_id, text, document): the rows of docs, each as one struct, with a row_id that no two share: the doc_id, but for rows
+    that have none or one that others have too.
 
     Those get numbers beyond all doc_ids, above them where they are to come last, else below; they are written once,
     so that the numbers stay.
     """
-    docs = docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
-    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").select(F.col("doc_id").alias("shared_id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("own"))
+    own = F.col("own")
+    shared = rows.groupBy(own.alias("shared_id")).agg(F.count("*").alias("n")).filter("shared_id is null or n > 1").select("shared_id")
     if shared.isEmpty():
-        return docs.withColumn("row_id", F.col("doc_id"))
+        return rows.select(own.alias("row_id"), "text", "document")
     shared = written(shared, "shared")
-    low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    low, high = rows.agg(F.coalesce(F.min(own), F.lit(0)), F.coalesce(F.max(own), F.lit(0))).first()
     number = F.monotonically_increasing_id() + 1
-    same = F.col("doc_id").eqNullSafe(F.col("shared_id"))
-    odd = docs.join(shared, same, "left_semi").withColumn("row_id", F.lit(high) + number if last else F.lit(low) - number)
-    return docs.join(shared, same, "left_anti").withColumn("row_id", F.col("doc_id")).unionByName(written(odd, "odd"))
+    same = own.eqNullSafe(F.col("shared_id"))
+    odd = rows.join(shared, same, "left_semi").select((F.lit(high) + number if last else F.lit(low) - number).alias("row_id"), "text", "document")
+    return rows.join(shared, same, "left_anti").select(own.alias("row_id"), "text", "document").unionByName(written(odd, "odd"))
 
 
 def by_row(rows: DataFrame) -> DataFrame:
@@ -47,35 +56,42 @@ def by_row(rows: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose row_id is not among the dropped doc_ids."""
-    return rows.join(dropped.select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_anti").select(*COLUMNS)
+    """The documents whose row_id is not among the dropped doc_ids."""
+    return rows.join(dropped.select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_anti").select("document.*")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts: that of the largest doc_id; one without, or with a shared one, only for want of others."""
+    """Keeps one row of each group of equal texts: that of the largest doc_id; one without, or with a shared one, only for want of others.
+
+    All null and empty texts are one group.
+    """
     ship(spark)
     rows = keyed(docs, last=False)
     return without(rows, exact_dedup.exact_duplicates(by_row(rows)).filter("not kept"))
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8 or more): that of the smallest doc_id;
+    one without, or with a shared one, only for want of others. Texts without words stay, each by itself."""
     ship(spark)
     rows = keyed(docs, last=True)
     return without(rows, near_dedup.near_duplicates(by_row(rows)).filter("not kept"))
 
 
 def unleaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that hold at least 0.8 of a benchmark item's shingles."""
+    """Drops rows that hold at least 0.8 of a benchmark item's shingles; texts without words hold nothing and stay."""
     ship(spark)
     rows = keyed(docs, last=True)
     return without(rows, decontaminate.leaks(by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents repeated to their sources' target weights and shuffled; each row tells its copy and place."""
+    """The documents repeated to their sources' target weights and shuffled; each row tells its copy and place.
+
+    Rows without a doc_id draw by their text; repeated rows draw alike; a null source is one source.
+    """
     ship(spark)
-    return mixing.mixed(docs.select(*COLUMNS))
+    return mixing.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
