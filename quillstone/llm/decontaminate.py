@@ -76,15 +76,18 @@ class Block:
         rows = np.searchsorted(offsets, hits, side="right") - 1
         return sorted({(r, int(o)) for r, a, b in zip(rows.tolist(), left.tolist(), right.tolist()) for o in self.owners[a:b]})
 
-    def search(self, words: Words, key: int, width: int) -> Iterator[tuple[int, int, int]]:
-        """(row, item, common shingles) of every item that a row of words holds to the wanted share."""
-        values, offsets = words.shingles(width)
-        pairs = self.touched(values, offsets)
+    def search(self, column: pa.Array, words: Words, key: int, width: int) -> Iterator[tuple[int, int, int]]:
+        """(row, item, common shingles) of every item that a row of the column, given as words too, holds to the wanted share."""
+        pairs = self.touched(*words.shingles(width))
         if not pairs:
             return
-        first, second, offsets = distinct_wide(values, words.rehashed(second_key(key)).shingles(width)[0], offsets)
+        rows = sorted({r for r, _ in pairs})
+        place = {r: k for k, r in enumerate(rows)}
+        words = Words(column.take(pa.array(rows)), key)
+        first, second, offsets = distinct_wide(words.shingles(width)[0], *words.rehashed(second_key(key)).shingles(width))
         for r, i in pairs:
-            x, y = first[offsets[r] : offsets[r + 1]], second[offsets[r] : offsets[r + 1]]
+            a, b = offsets[place[r] : place[r] + 2]
+            x, y = first[a:b], second[a:b]
             left, right = (np.searchsorted(x, self.sets[i][0], side=s) for s in ("left", "right"))
             at = np.minimum(left, len(x) - 1)
             same = (right > left) & (y[at] == self.sets[i][1])
@@ -102,7 +105,7 @@ def _searched(shared, key: int):
             words = Words(batch.column("text"), key)
             ids = batch.column("doc_id")
             for width, block in blocks.items():
-                found = list(block.search(words, key, width))
+                found = list(block.search(batch.column("text"), words, key, width))
                 if found:
                     rows, items, common = zip(*found)
                     yield pa.RecordBatch.from_arrays(
