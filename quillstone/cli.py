@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .operators import sync
 from .session import local_session, ship
-from .sources.files import read_folder, write_folder
+from .sources.files import executable, folder_exists, read_folder, write_folder
 from .sources.store import Store
-from .tables import FILE
+from .tables import EXEC, FILE
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -39,10 +39,12 @@ def main(arguments: list[str] | None = None) -> None:
 
 def run(options: argparse.Namespace) -> None:
     spark = ship(local_session())
-    store = Store.read_layout(spark, options.repository) if options.command != "init" else Store(spark)
+    there = options.command != "init" or folder_exists(spark, options.repository)
+    store = Store.read_layout(spark, options.repository) if there else Store(spark)
     if options.command == "init":
-        print(store.init())
-        store.write_layout(options.repository)
+        print(found := store.init())
+        if found == "init":
+            store.write_layout(options.repository)
     elif options.command == "commit":
         print(commit(store, options.directory, options.client, options.branch, options.message, int(time.time()), options.allow_duplicate))
         store.write_layout(options.repository)
@@ -62,7 +64,8 @@ def run(options: argparse.Namespace) -> None:
 
 def commit(store: Store, directory: str, client: str, branch: str, message: str, seconds: int, allow_duplicate: bool = False) -> str:
     """Commits a folder's files to a client's branch. The same tree as the head's is refused unless allowed."""
-    files = read_folder(store.spark, directory).select("path", F.lit(FILE).alias("mode"), "body", F.lit(None).cast("string").alias("hash"))
+    mode = F.when(executable(store.spark, directory)(F.col("path")), EXEC).otherwise(FILE)
+    files = read_folder(store.spark, directory).select("path", mode.alias("mode"), "body", F.lit(None).cast("string").alias("hash"))
     tree = store.save_tree(files)
     ref = f"refs/remotes/{client}/{branch}"
     head = store.get_ref(ref)

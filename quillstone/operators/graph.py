@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import dropped, written
+from ..tables import written
 
 
 def walk(edges: DataFrame, heads: DataFrame, descend: Column | None = None) -> DataFrame:
@@ -36,8 +36,18 @@ def walk(edges: DataFrame, heads: DataFrame, descend: Column | None = None) -> D
 
 
 def first_parents(edges: DataFrame, head: str) -> DataFrame:
-    """(commit, depth) along first parents alone."""
-    return walk(edges.filter("ord = 0"), edges.sparkSession.createDataFrame([(head,)], "commit string"))
+    """(commit, depth) along first parents alone: jumps of 1, 2, 4, ... parents, so a chain of n commits takes log2(n) rounds."""
+    jumps = written(edges.filter("ord = 0").select("child", "parent"), "jumps")
+    known = written(edges.sparkSession.createDataFrame([(head, 0)], "commit string, depth int"), "chain")
+    reach, most = 1, jumps.count()
+    while reach <= 2 * most:
+        step = written(known.join(jumps, F.col("commit") == F.col("child")).select(F.col("parent").alias("commit"), (F.col("depth") + reach).alias("depth")), "chain")
+        if step.isEmpty():
+            break
+        known = written(known.unionByName(step), "chain")
+        far = jumps.select(F.col("child").alias("parent"), F.col("parent").alias("far"))
+        jumps, reach = written(jumps.join(far, "parent").select("child", F.col("far").alias("parent")), "jumps"), 2 * reach
+    return known
 
 
 @dataclass
@@ -125,8 +135,3 @@ def find_commit(edges: DataFrame, journal: DataFrame, ref: str, head: str | None
     entries = journal.filter(F.col("ref") == ref).withColumn("commit", F.col("new")).join(valid.select("commit"), "commit", "left_semi")
     found = latest(entries).first()
     return found["new"] if found else None
-
-
-def tidy(*tables: DataFrame) -> None:
-    for table in tables:
-        dropped(table)

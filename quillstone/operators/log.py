@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..tables import TREE, written
 
 FAN_OUT = 256
 
@@ -20,7 +21,9 @@ def width(count: int) -> int:
 
 def address(number: Column, levels: int) -> Column:
     """The path of a record, one two-digit name a level."""
-    digits = F.lpad(F.lower(F.hex(number)), 2 * levels, "0")
+    hexed = F.lower(F.hex(number))
+    wide = F.raise_error(F.concat(F.lit(f"more than {levels} levels: "), number.cast("string"))).cast("string")
+    digits = F.when(F.length(hexed) > 2 * levels, wide).otherwise(F.lpad(hexed, 2 * levels, "0"))
     return F.concat_ws("/", *(F.substring(digits, 2 * k + 1, 2) for k in range(levels)))
 
 
@@ -33,11 +36,10 @@ def count(paths: DataFrame) -> int:
 def appended(log: DataFrame, more: DataFrame, order: str = "ord") -> DataFrame:
     """The log (idx, payload) with the rows of more (ord, payload) numbered on after its last."""
     start = log.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("n")).first()[0]
-    from pyspark.sql import Window
-
-    # Numbered in two steps, so that no window holds all rows: sizes of ranges first, then places within each.
-    parts = more.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(order)))
+    # Numbered in two steps, so that no window holds all rows: sizes of ranges first, then places within each. The
+    # ranges are written in between, so both steps see the same ones.
+    parts = written(more.select(order, "payload").repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()), "ranges")
+    parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(order, "payload")))
     sizes = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}
     before, total = {}, start
     for part in sorted(sizes):
@@ -50,8 +52,6 @@ def appended(log: DataFrame, more: DataFrame, order: str = "ord") -> DataFrame:
 
 def problems(entries: DataFrame) -> DataFrame:
     """(tree_hash, problem) of log nodes that are wrong: over 256 entries, names with gaps, or files beside directories."""
-    from ..tables import TREE
-
     number = codec.entry_number(F.col("name"))
     rows = entries.groupBy("tree_hash").agg(
         F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.min(number).alias("low"), F.max(number).alias("high"), F.sum(number.isNull().cast("int")).alias("odd"), F.count_distinct(F.col("mode") == TREE).alias("kinds")
@@ -74,3 +74,14 @@ class SingleWriter:
 
     def __exit__(self, *_: object) -> None:
         self._open = False
+
+
+class Log:
+    """A log (idx, payload) that is appended to by one writer at a time."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self._writer = rows, SingleWriter()
+
+    def append(self, more: DataFrame, order: str = "ord") -> None:
+        with self._writer:
+            self.rows = appended(self.rows, more, order)

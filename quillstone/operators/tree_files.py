@@ -44,10 +44,17 @@ class TreeFiles:
             return row["mode"], row["hash"]
         return None
 
+    def _cut(self, path: str) -> bool:
+        """Whether a path lies below a directory whose tree is not in the store."""
+        parts = self._at(path).split("/")
+        above = ["/".join(parts[:k]) for k in range(1, len(parts))]
+        row = self._top()._rows.filter(F.col("path").isin(above)).orderBy(F.desc(F.length("path"))).first() if above else None
+        return row is not None and row["mode"] == TREE and row["hash"] is not None and not self.store.has(row["hash"])
+
     def _need(self, path: str, directory: bool) -> tuple[int, str | None]:
         entry = self._entry(path)
         if entry is None:
-            raise FileError("ENOENT", path)
+            raise FileError("EIO" if self._cut(path) else "ENOENT", path)
         if directory != (entry[0] == TREE):
             raise FileError("ENOTDIR" if directory else "EISDIR", path)
         return entry

@@ -88,8 +88,9 @@ def roll_up(leaves: DataFrame) -> DataFrame:
 
 
 def traverse(listings: list[DataFrame]) -> DataFrame:
-    """One row for each path of any listing (path, kind, hash) with one optional struct a listing, in path order."""
-    sides = [df.groupBy("path").agg(F.first(F.struct("kind", "hash")).alias(f"at_{k}")) for k, df in enumerate(listings)]
+    """One row for each path of any listing (path, kind, hash) with one optional struct a listing, in path order. Of a path
+    that a listing repeats the least (kind, hash) counts."""
+    sides = [df.groupBy("path").agg(F.min(F.struct("kind", "hash")).alias(f"at_{k}")) for k, df in enumerate(listings)]
     merged = reduce(lambda a, b: a.join(b, "path", "full_outer"), sides)
     return merged.withColumn("depth", codec.num_segments(F.col("path"))).orderBy(codec.segments(F.col("path")))
 

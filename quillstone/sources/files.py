@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..tables import FILES
+from ..tables import EXEC, FILE, FILES
 
 
 class FileError(Exception):
@@ -21,27 +23,69 @@ class FileError(Exception):
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All files under a folder, at any depth, with paths relative to it."""
-    where = folder.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
-    bare = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
-    return rows.select(F.substring(bare, F.lit(len(where.removeprefix("file://")) + 2), F.length(bare)).alias("path"), F.lit("file").alias("kind"), F.col("content").alias("body"))
+    top, _ = _qualified(spark, folder)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+    bare = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
+    length = len(re.sub("^file:/+", "file:/", top).rstrip("/"))
+    return rows.select(F.substring(bare, F.lit(length + 2), F.length(bare)).alias("path"), F.lit("file").alias("kind"), F.col("content").alias("body"))
+
+
+def _qualified(spark: SparkSession, folder: str) -> tuple[str, object]:
+    """A folder's full address and its file system, of any kind that the cluster knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") or "/")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.makeQualified(where).toString(), files
+
+
+def local_root(spark: SparkSession, folder: str) -> Path | None:
+    """The folder as a path that Python can open; None on other file systems."""
+    top, _ = _qualified(spark, folder)
+    return Path(re.sub("^file:/+", "/", top)) if top.startswith("file:") else None
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    """Whether there is a folder with anything in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(where) and len(files.listStatus(where)) > 0
+
+
+def executable(spark: SparkSession, folder: str) -> Callable[[Column], Column]:
+    """Whether the file at a path below a folder may be run by its owner; false on file systems that Python cannot open."""
+    root = local_root(spark, folder)
+    if root is None:
+        return lambda path: F.lit(False)
+    return F.pandas_udf(lambda paths: paths.map(lambda p: bool((root / p).stat().st_mode & 0o100)), "boolean")
 
 
 def write_folder(files: DataFrame, folder: str) -> None:
-    """Writes every file of (path, kind, body) under a folder that all executors share; directories come with their files."""
-    root = folder.removeprefix("file://")
+    """Writes every file of (path, kind, body), and mode where there is one, under a folder; directories come with their files.
+
+    On a shared disk the executors write; on other file systems the driver streams the files through the cluster's own.
+    """
+    rows = files.filter("kind = 'file'").select("path", "body", F.col("mode") if "mode" in files.columns else F.lit(FILE).alias("mode"))
+    root = local_root(files.sparkSession, folder)
+    if root is None:
+        top, system = _qualified(files.sparkSession, folder)
+        for row in rows.toLocalIterator():
+            out = system.create(files.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/{row['path']}"), True)
+            out.write(bytearray(row["body"]))
+            out.close()
+        return
 
     def run(frames):
         for frame in frames:
-            for path, body in zip(frame["path"], frame["body"]):
-                at = Path(root) / path
+            for path, body, mode in zip(frame["path"], frame["body"], frame["mode"]):
+                at = root / path
                 at.parent.mkdir(parents=True, exist_ok=True)
                 part = at.with_name(at.name + ".part")  # renamed when whole, so a task that is run again does no harm
                 part.write_bytes(bytes(body))
+                if mode == EXEC:
+                    part.chmod(part.stat().st_mode | 0o111)
                 part.replace(at)
             yield frame[["path"]]
 
-    files.filter("kind = 'file'").select("path", "body").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+    rows.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 class FileTable:
@@ -61,9 +105,9 @@ class FileTable:
     def kind(self, path: str) -> str | None:
         if path == "":
             return "directory"
-        found = self.rows.filter(codec.starts_with(F.col("path"), F.lit(path))).select((F.col("path") == path).alias("own"), "kind").collect()
-        own = [r["kind"] for r in found if r["own"]]
-        return own[0] if own else "directory" if found else None
+        own = (F.col("path") == path).alias("own")
+        found = self.rows.filter(codec.starts_with(F.col("path"), F.lit(path))).select(own, "kind").orderBy(F.desc("own")).limit(1).collect()
+        return None if not found else found[0]["kind"] if found[0]["own"] else "directory"
 
     def exists(self, path: str) -> bool:
         return self.kind(path) is not None

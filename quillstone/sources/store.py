@@ -10,6 +10,8 @@ from ..operators import graph, trees
 from ..tables import ENTRIES, JOURNAL, OBJECTS, REFS, TREE, written
 from .files import read_folder, write_folder
 
+#: Changes to a table after which the whole of it is written again.
+_CHANGES = 8
 DEFAULT_CONFIG = "[core]\n\trepositoryformatversion = 0\n\tfilemode = false\n\tbare = true\n[{section}]\n\tversion = 1\n"
 
 
@@ -30,16 +32,21 @@ class Store:
         self.refs = refs if refs is not None else spark.createDataFrame([], REFS)
         self.journal = journal if journal is not None else spark.createDataFrame([], JOURNAL)
         self.files: dict[str, bytes] = {}
+        self._changes: dict[str, int] = {}
+        self._from_folder = False
 
-    def init(self) -> str:
-        """Writes HEAD and config; `reInit` where both are there, BadRepo where only one is or the version is another."""
+    def init(self, create: bool = True) -> str:
+        """Writes HEAD and config; `reInit` where both are there. BadRepo where only one is, where a folder has objects or refs
+        and neither, where the version is another, or where nothing is and nothing may be made."""
         there = {"HEAD", "config"} & set(self.files)
-        if len(there) == 1:
+        if len(there) == 1 or self._from_folder and not there and not (self.objects.isEmpty() and self.refs.isEmpty()):
             raise StoreError("BadRepo", "HEAD or config is missing")
         if there:
             if codec_version(self.config(), self.section) != "1":
                 raise StoreError("BadRepo", "another version")
             return "reInit"
+        if not create:
+            raise StoreError("BadRepo", "nothing is here")
         self.files |= {"HEAD": b"ref: refs/heads/main", "config": DEFAULT_CONFIG.format(section=self.section).encode()}
         return "init"
 
@@ -61,15 +68,23 @@ class Store:
             raise ValueError("metadata files lie in the root")
         self.files[name] = body
 
+    def _change(self, table: str, rows: DataFrame) -> None:
+        """Takes a changed table. What changed is written by itself; the whole only after _CHANGES of them, so that plans stay short."""
+        self._changes[table] = self._changes.get(table, 0) + 1
+        if self._changes[table] >= _CHANGES:
+            rows, self._changes[table] = written(rows, table), 0
+        setattr(self, table, rows)
+
     # Objects
 
     def add(self, objects: DataFrame, overwrite: bool = False) -> None:
         """Adds objects that are not there; with overwrite, replaces those that are."""
         more = objects.select("hash", "type", "body").dropDuplicates(["hash"])
         if overwrite:
-            self.objects = written(self.objects.join(more.select("hash"), "hash", "left_anti").unionByName(more), "objects")
+            more = written(more, "more")
+            self._change("objects", self.objects.join(more.select("hash"), "hash", "left_anti").select(*self.objects.columns).unionByName(more))
         else:
-            self.objects = written(self.objects.unionByName(more.join(self.objects.select("hash"), "hash", "left_anti")), "objects")
+            self._change("objects", self.objects.unionByName(written(more.join(self.objects.select("hash"), "hash", "left_anti"), "more")))
 
     def add_body(self, kind: str, body: bytes) -> str:
         rows = self.spark.createDataFrame([(kind, bytearray(body))], "type string, body binary")
@@ -89,7 +104,7 @@ class Store:
         return row["type"], bytes(row["body"])
 
     def delete(self, hash_: str) -> None:
-        self.objects = written(self.objects.filter(F.col("hash") != hash_), "objects")
+        self._change("objects", self.objects.filter(F.col("hash") != hash_))
 
     def commits(self) -> DataFrame:
         """(hash, tree, parents, author, committer, message)."""
@@ -115,13 +130,14 @@ class Store:
     def set_ref(self, ref: str, hash_: str) -> None:
         if not ref.startswith("refs/"):
             raise ValueError(f"not a ref: {ref}")
-        self.refs = written(self.refs.filter(F.col("ref") != ref).unionByName(self.spark.createDataFrame([(ref, hash_)], REFS)), "refs")
+        self._change("refs", self.refs.filter(F.col("ref") != ref).unionByName(self.spark.createDataFrame([(ref, hash_)], REFS)))
 
     def get_journal(self, ref: str) -> DataFrame:
         return self.journal.filter(F.col("ref") == ref).orderBy("seq")
 
     def set_journal(self, ref: str, rows: DataFrame) -> None:
-        self.journal = written(self.journal.filter(F.col("ref") != ref).unionByName(rows.withColumn("ref", F.lit(ref)).select(*self.journal.columns)), "journal")
+        rows = written(rows.withColumn("ref", F.lit(ref)).select(*self.journal.columns), "entries")
+        self._change("journal", self.journal.filter(F.col("ref") != ref).unionByName(rows))
 
     def update_ref(self, ref: str, hash_: str, person: tuple, description: str) -> None:
         """Moves a ref and notes it in its journal."""
@@ -129,7 +145,7 @@ class Store:
         seq = self.journal.filter(F.col("ref") == ref).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
         self.set_ref(ref, hash_)
         entry = self.spark.createDataFrame([(ref, seq, before, hash_, person, description)], JOURNAL)
-        self.journal = written(self.journal.unionByName(entry), "journal")
+        self._change("journal", self.journal.unionByName(entry))
 
     # Trees and commits
 
@@ -185,10 +201,14 @@ class Store:
         return rows.select("depth", "hash", "author.name", "author.email", F.concat(local, codec.zone(F.col("author.offset"))).alias("date"), "message").orderBy("depth")
 
     def checkout(self, ref: str) -> DataFrame:
-        """(path, kind, body) of the files of a ref's tree."""
-        tree = self.commits().filter(F.col("hash") == self.get_ref(ref)).first()["tree"]
+        """(path, kind, body, mode) of the files of a ref's tree; MissingObject where there is no such ref, or its commit is not there."""
+        head = self.get_ref(ref)
+        if head is None:
+            raise StoreError("MissingObject", f"there is no {ref}")
+        self.load(head, "commit")
+        tree = self.commits().filter(F.col("hash") == head).first()["tree"]
         flat = trees.files(trees.flatten(self.entries(), self.spark.createDataFrame([(tree,)], "root string")))
-        return flat.join(self.objects.select("hash", "body"), "hash").select("path", F.lit("file").alias("kind"), "body")
+        return flat.join(self.objects.select("hash", "body"), "hash").select("path", F.lit("file").alias("kind"), "body", "mode")
 
     # Folders
 
@@ -214,6 +234,7 @@ class Store:
         refs = files.filter(F.col("path").startswith("refs/")).select(F.col("path").alias("ref"), codec.parsed_ref_line(F.decode("body", "utf-8")).alias("hash"))
         logs = files.filter(F.col("path").startswith("logs/")).select(F.substring("path", 6, 1000).alias("ref"), F.explode(codec.parsed_journal(F.decode("body", "utf-8"))).alias("e")).select("ref", "e.*")
         store = cls(spark, written(objects.select("hash", "o.type", "o.body"), "objects"), written(refs, "refs"), written(logs, "journal"), section)
+        store._from_folder = True
         store.files = {r["path"]: bytes(r["body"]) for r in files.filter(~F.contains("path", F.lit("/"))).select("path", "body").collect()}
         return store
 

@@ -234,3 +234,61 @@ def test_streamed_rows_come_once(spark, tmp_path):
         stream = spark.readStream.schema("seq long, new string").parquet(str(tmp_path / "in"))
         ingest(stream, str(tmp_path / "out"), str(tmp_path / f"check{run}"), ("seq",)).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_paths_below_a_missing_tree(spark):
+    store = Store(spark)
+    rows = spark.createDataFrame([("a.txt", FILE, bytearray(b"a"), None), ("b/bad", 0o040000, None, "00" * 19 + "02")], "path string, mode int, body binary, hash string")
+    fs = TreeFiles(store, store.save_tree(rows))
+    for path, code in (("b/bad/x", "EIO"), ("b/x", "ENOENT"), ("c", "ENOENT")):
+        with pytest.raises(FileError) as error:
+            fs.read(path)
+        assert error.value.code == code
+
+
+def test_a_store_grows_by_what_is_added(spark, monkeypatch):
+    from quillstone.sources import store as module
+
+    sizes = []
+    monkeypatch.setattr(module, "written", lambda df, name: (sizes.append(df.count()), df)[1])
+    store = Store(spark, spark.range(1000).selectExpr("sha1(cast(id as string)) hash", "'blob' type", "cast('x' as binary) body"))
+    made = store.add_body("blob", b"one")
+    store.set_ref("refs/heads/main", made)
+    store.update_ref("refs/heads/main", made, PERSON, "again")
+    assert sizes == [1] and store.has(made) and store.objects.count() == 1001 and store.journal.count() == 1
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from quillstone import cli
+
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    repo, work, out = (str(tmp_path / n) for n in ("repo", "work", "out"))
+    (tmp_path / "work").mkdir()
+    (tmp_path / "work" / "run.sh").write_bytes(b"#!")
+    (tmp_path / "work" / "run.sh").chmod(0o755)
+    (tmp_path / "work" / "plain").write_bytes(b"text")
+    cli.main(["init", "-r", repo])
+    config = (tmp_path / "repo" / "config").read_text() + "[mine]\n\tkept = yes\n"
+    (tmp_path / "repo" / "config").write_text(config)
+    cli.main(["init", "-r", repo])
+    assert (tmp_path / "repo" / "config").read_text() == config and capsys.readouterr().out.split() == ["init", "reInit"]
+    cli.main(["commit", "-r", repo, work, "-m", "first", "-c", "me"])
+    with pytest.raises(ValueError):
+        cli.main(["commit", "-r", repo, work, "-m", "again", "-c", "me"])
+    cli.main(["checkout", "-r", repo, "refs/remotes/me/main", out])
+    assert (tmp_path / "out" / "run.sh").stat().st_mode & 0o100 and not (tmp_path / "out" / "plain").stat().st_mode & 0o100
+    assert (tmp_path / "out" / "plain").read_bytes() == b"text"
+    with pytest.raises(StoreError, match="MissingObject"):
+        cli.main(["checkout", "-r", repo, "refs/remotes/me/other", out])
+    cli.main(["show-ref", "-r", repo])
+    assert "refs/remotes/me/main" in capsys.readouterr().out
+
+
+def test_one_writer_appends(spark):
+    rows = log.Log(spark.createDataFrame([], "idx long, payload binary"))
+    rows.append(spark.range(20).select(F.col("id").alias("ord"), F.lit(bytearray(b"x")).alias("payload")))
+    assert [r["idx"] for r in rows.rows.orderBy("idx").collect()] == list(range(20))
+    with rows._writer, pytest.raises(RuntimeError):
+        rows.append(rows.rows.select(F.col("idx").alias("ord"), "payload"))
+    with pytest.raises(Exception, match="levels"):
+        spark.range(256, 257).select(log.address(F.col("id"), 1)).collect()
