@@ -277,3 +277,100 @@ def traverse_listings(spark, folder):
 
 
 SQL["traverse_listings"] = f"WITH {_SIDES} SELECT path, base.path IS NOT NULL AS in_base, a.path IS NOT NULL AS in_a, b.path IS NOT NULL AS in_b FROM base FULL JOIN a USING (path) FULL JOIN b USING (path)"
+
+
+_ZONE = "CASE WHEN o > 0 THEN '-' ELSE '+' END || lpad((abs(o) // 60)::VARCHAR, 2, '0') || lpad((abs(o) % 60)::VARCHAR, 2, '0')"
+_WRITER = f"c_name || ' <' || lower(c_mktsegment) || '@example.com> ' || (1700000000 + c_custkey) || ' ' || {_ZONE}"
+_WRITTEN = "SELECT *, (c_custkey % 49 - 24) * 30 AS o FROM customer"
+
+
+def writers(spark: SparkSession, folder: str) -> DataFrame:
+    """(c_custkey, c_name, person): customers as people who write commits."""
+    offset = ((F.col("c_custkey") % 49 - 24) * 30).cast("int")
+    person = F.struct(F.col("c_name").alias("name"), F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("email"), (F.col("c_custkey") + 1_700_000_000).alias("seconds"), offset.alias("offset"))
+    return table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", person.alias("person"))
+
+
+@query(
+    rf"""WITH w AS ({_WRITTEN}),
+b AS (SELECT c_custkey, c_nationkey % 3 AS n, sha1('tree' || c_custkey) AS tree, 'tree ' || sha1('tree' || c_custkey) || chr(10)
+  || CASE WHEN c_nationkey % 3 > 0 THEN 'parent ' || sha1('p0' || c_custkey) || chr(10) ELSE '' END || CASE WHEN c_nationkey % 3 > 1 THEN 'parent ' || sha1('p1' || c_custkey) || chr(10) ELSE '' END
+  || 'author ' || {_WRITER} || chr(10) || 'committer ' || {_WRITER} || chr(10) || chr(10) || 'Work of ' || c_name || chr(10) || chr(10) || 'in full' AS body, (1700000000 + c_custkey) AS seconds, c_name FROM w)
+SELECT c_custkey, sha1(encode('commit ' || octet_length(encode(body))) || '\x00'::BLOB || encode(body)) AS hash, tree, n::INT AS parents, seconds, 'Work of ' || c_name || chr(10) || chr(10) || 'in full' AS message FROM b"""
+)
+def commit_codec(spark, folder):
+    key, n = F.col("c_custkey").cast("string"), F.col("c_nationkey") % 3
+    made = lambda prefix: F.sha1(F.concat(F.lit(prefix), key))
+    parents = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(made("p0"))).otherwise(F.array(made("p0"), made("p1")))
+    message = F.concat(F.lit("Work of "), "c_name", F.lit("\n\nin full"))
+    rows = writers(spark, folder).select("c_custkey", codec.commit_body(made("tree"), parents, F.col("person"), F.col("person"), message).alias("body"))
+    rows = rows.select("c_custkey", codec.object_id(F.lit("commit"), F.col("body")).alias("hash"), codec.parsed_commit(F.col("body")).alias("c"))
+    return rows.select("c_custkey", "hash", "c.tree", F.size("c.parents").alias("parents"), "c.committer.seconds", "c.message")
+
+
+@query(
+    rf"""WITH w AS ({_WRITTEN}),
+b AS (SELECT c_custkey, sha1('t' || c_custkey) AS target, 'object ' || sha1('t' || c_custkey) || chr(10) || 'type commit' || chr(10) || 'tag v' || c_custkey || chr(10) || 'tagger ' || {_WRITER} || chr(10) || chr(10) || c_name AS body, c_name FROM w)
+SELECT c_custkey, sha1(encode('tag ' || octet_length(encode(body))) || '\x00'::BLOB || encode(body)) AS hash, target, 'commit' AS type, 'v' || c_custkey AS tag, c_name AS message FROM b"""
+)
+def tag_codec(spark, folder):
+    key = F.col("c_custkey").cast("string")
+    body = codec.tag_body(F.sha1(F.concat(F.lit("t"), key)), F.lit("commit"), F.concat(F.lit("v"), key), F.col("person"), F.col("c_name"))
+    rows = writers(spark, folder).select("c_custkey", body.alias("body"))
+    rows = rows.select("c_custkey", codec.object_id(F.lit("tag"), F.col("body")).alias("hash"), codec.parsed_tag(F.col("body")).alias("t"))
+    return rows.select("c_custkey", "hash", F.col("t.object").alias("target"), "t.type", "t.tag", "t.message")
+
+
+@query(
+    f"""WITH w AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE sha1('old' || c_custkey) END AS previous FROM ({_WRITTEN}))
+SELECT c_custkey, coalesce(previous, repeat('0', 40)) || ' ' || sha1('new' || c_custkey) || ' ' || {_WRITER} || chr(9) || 'commit: ' || c_name || chr(10) AS line, previous, sha1('new' || c_custkey) AS "new", 'commit: ' || c_name AS description FROM w"""
+)
+def journal_codec(spark, folder):
+    key = F.col("c_custkey").cast("string")
+    previous = F.when(F.col("c_custkey") % 5 != 0, F.sha1(F.concat(F.lit("old"), key)))
+    line = codec.journal_line(previous, F.sha1(F.concat(F.lit("new"), key)), F.col("person"), F.concat(F.lit("commit: "), "c_name", F.lit("\nmore of it")))
+    rows = writers(spark, folder).select("c_custkey", line.alias("line"))
+    return rows.select("c_custkey", "line", F.element_at(codec.parsed_journal(F.col("line")), 1).alias("e")).select("c_custkey", "line", "e.previous", "e.new", "e.description")
+
+
+_IDS = "CASE event_id % 4 WHEN 0 THEN sha1('e' || event_id) WHEN 1 THEN upper(sha1('e' || event_id)) WHEN 2 THEN substr(sha1('e' || event_id), 2) ELSE sha1('e' || event_id) || chr(10) END"
+
+
+@query(f"SELECT event_id, event_id % 4 = 0 AS valid, 'objects/' || substr(sha1('e' || event_id), 1, 2) || '/' || substr(sha1('e' || event_id), 3) AS path, sha1('e' || event_id) AS back, 20::BIGINT AS size, sha1('e' || event_id) AS ref FROM events")
+def hash_codec(spark, folder):
+    plain = F.sha1(F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    given = F.expr(_IDS.replace("|| event_id", "|| cast(event_id as string)").replace("chr(10)", "'\n'"))
+    rows = table(spark, folder, "events").select("event_id", plain.alias("plain"), given.alias("given"))
+    packed = codec.packed(F.col("plain"))
+    return rows.select("event_id", codec.valid_hash(F.col("given")).alias("valid"), codec.object_path(F.col("plain")).alias("path"), codec.unpacked(packed).alias("back"), F.octet_length(packed).cast("long").alias("size"), codec.parsed_ref_line(codec.ref_line(F.col("plain"))).alias("ref"))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN o_orderstatus WHEN 2 THEN o_orderstatus || '/' || o_orderpriority ELSE o_orderstatus || '/' || o_orderpriority || '/' || o_orderkey END AS path FROM orders)
+SELECT o_orderkey, path, CASE WHEN path <> '' THEN regexp_extract(path, '[^/]+$') END AS leaf, CASE WHEN path <> '' THEN regexp_replace(path, '/?[^/]+$', '') END AS parent,
+  CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END::INT AS segments, path = '' AS root, path = 'O' OR path LIKE 'O/%' AS under, path LIKE 'O/%' AND path NOT LIKE 'O/%/%' AS child FROM p"""
+)
+def path_functions(spark, folder):
+    key = F.col("o_orderkey").cast("string")
+    raw = F.when(F.col("o_orderkey") % 4 == 0, "/").when(F.col("o_orderkey") % 4 == 1, F.concat("o_orderstatus", F.lit("/"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("/"), "o_orderstatus", F.lit("/"), "o_orderpriority")).otherwise(F.concat_ws("/", "o_orderstatus", "o_orderpriority", key))
+    path, up = F.col("path"), F.lit("O")
+    rows = table(spark, folder, "orders").select("o_orderkey", codec.parsed_path(raw).alias("path"))
+    return rows.select("o_orderkey", "path", codec.leaf(path).alias("leaf"), codec.parent(path).alias("parent"), codec.num_segments(path).alias("segments"), codec.is_root(path).alias("root"), codec.starts_with(path, up).alias("under"), codec.is_immediate_parent_of(up, path).alias("child"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) + (SELECT count(*) FROM events) - 1)::BIGINT AS idx, l_orderkey FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem)")
+def aol_append(spark, folder):
+    """Distinct line items appended to a log of the events."""
+    start = table(spark, folder, "events").select(F.col("event_id").alias("idx"), F.lit(None).cast("string").alias("payload"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    more = table(spark, folder, "lineitem").select(*keys).distinct().select(F.struct(*keys).alias("ord"), F.col("l_orderkey").cast("string").alias("payload"))
+    return log.appended(start, more).filter("payload is not null").select("idx", F.col("payload").cast("long").alias("l_orderkey"))
+
+
+@query("SELECT conv_id || '/' || turn AS commit, (max(turn) OVER (PARTITION BY conv_id) - turn)::INT AS depth FROM conversations")
+def walk_conversations(spark, folder):
+    """The walk from every conversation's last turn at once, whatever the table's size."""
+    rows = table(spark, folder, "conversations")
+    commit = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
+    edges = rows.filter("turn > 0").select(commit(F.col("turn")).alias("child"), commit(F.col("turn") - 1).alias("parent"), F.lit(0).alias("ord"))
+    return graph.walk(edges, rows.groupBy("conv_id").agg(F.max("turn").alias("last")).select(commit(F.col("last")).alias("commit")))
