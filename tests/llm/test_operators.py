@@ -413,7 +413,7 @@ def brute_model(samples):
                 after[k][pair[0]] += n
     p = lambda k, pair: (seen[k][pair] + 0.5) / (after[k][pair[0]] + 0.5 * len(alphabet))
     ratio = lambda v: sum(math.log(p(1, v[k : k + 2]) / p(0, v[k : k + 2])) for k in range(len(v) - 1))
-    plain = sorted(ratio(v) for v, label, held in samples if held and label == 0 and len(v) >= 8 and set(v) <= set(alphabet))
+    plain = sorted(ratio(v) for v, label, held in samples if held and label == 0 and len(v) >= secret_scan.LEAST and set(v) <= set(alphabet))
     at = (1 - secret_scan.WRONG) * (len(plain) - 1)
     low = plain[int(at)]
     return ratio, max(0.0, low + (plain[min(int(at) + 1, len(plain) - 1)] - low) * (at - int(at)))
