@@ -22,7 +22,7 @@ from .textops import Table, mix, pieces, text_bytes
 ORDER = 5
 #: Rows of each language that train its model, and that calibrate, about (chosen by hash).
 TRAIN_ROWS, CALIBRATION_ROWS = 400, 400
-#: Models are broadcast, some 5 MB a language at TRAIN_ROWS, so there may be this many.
+#: Models are broadcast, 3.6 MB a language on sf0.1 at TRAIN_ROWS, so there may be this many.
 MOST_LANGUAGES = 500
 #: Probabilities of seen runs that a model keeps at hand, languages times runs; beyond it they are worked out anew.
 _AT_HAND = 1 << 24
