@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -31,6 +32,7 @@ def ship(spark: SparkSession) -> SparkSession:
     if not getattr(context, "_quillstone_shipped", False):
         package = Path(__file__).resolve().parent
         folder = Path(tempfile.mkdtemp(prefix="quillstone-ship-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the archive until then
         try:
             copy = folder / "tree" / package.name
             shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
