@@ -18,11 +18,14 @@ Texts are cut into chunks, which ask for what they need and get answers in the o
 2. A chunk's distinct runs go, sorted and packed, to the bucket of their first word, those of a hot word to that of
    their first two; sums are made there, so all runs of a context meet, but for single hot words' as contexts, whose
    sums of sums the driver gets (4 a bucket at most).
-3. States and their runs' terms are made in each bucket, a length after the other; a join tells a run the probability
-   of its last word in the shorter state, since its suffix lies in another bucket.
+3. States and their runs' terms are made in each bucket, a length after the other; what a run ends in lies in another
+   bucket, which is asked for the probability of the last word in the shorter state.
 4. What a run gains over the root is the sum of its terms and of the weights of its contexts, so a chunk asks once for
    each of its distinct runs and words and adds up the answers by row.
 
+Chunks and buckets are of an even size, so packets from the ones to the others grow as the square of the corpus. A step's
+packets are therefore cut from columns that are made for all of them at once; what is done for a packet alone is little.
+
 Each step is written before the next and what it no longer needs is deleted, so disk holds a step at a time.
 """
 
@@ -34,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -59,31 +63,65 @@ _HOT = 4
 _MOST = 1 << 31
 
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the least width; floats as they are."""
+    if x.dtype.kind == "f":
+        return x
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def _planes(*columns: np.ndarray) -> np.ndarray:
+    """The bytes of columns of one length, those of a rank after each other."""
+    out, at = np.empty((sum(x.dtype.itemsize for x in columns), len(columns[0])), np.uint8), 0
+    for x in columns:
+        size = x.dtype.itemsize
+        each = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), size)
+        for k in range(size):
+            out[at + k] = each[:, k]
+        at += size
+    return out
+
+
+def _head(columns: list[np.ndarray], rows: list[int]) -> bytes:
+    return struct.pack("<I" + "cBQ" * len(columns), len(columns), *(v for x, n in zip(columns, rows) for v in (x.dtype.kind.encode(), x.dtype.itemsize, n)))
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of numbers from 0, or of floats, as compressed byte planes of the least width."""
-    head, planes = [struct.pack("<I", len(columns))], []
-    for x in columns:
-        if x.dtype.kind != "f":
-            most = int(x.max()) if len(x) else 0
-            x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
-        head.append(struct.pack("<cBQ", x.dtype.kind.encode(), x.dtype.itemsize, len(x)))
-        planes.append(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *planes]))
+    columns = [_least(x) for x in columns]
+    return _ZIP.compress(b"".join([_head(columns, [len(x) for x in columns]), *(_planes(x).tobytes() for x in columns)]))
+
 
+def packed_parts(columns: list[np.ndarray], cuts: np.ndarray) -> list[bytes]:
+    """The parts of columns of one length, each as `packed` would have it, but for widths that are those of whole columns.
 
-def unpacked(data: bytes, only: int | None = None) -> list[np.ndarray]:
-    """The columns, or one of them."""
-    data = zstandard.ZstdDecompressor().decompress(data)
+    The planes are made for all parts at once, so that a part costs little however small it is.
+    """
+    columns, cuts = [_least(x) for x in columns], cuts.tolist()
+    planes = _planes(*columns)
+    return [_ZIP.compress(_head(columns, [y - x] * len(columns)) + planes[:, x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:])]
+
+
+def unpacked(data: bytes, wide: bool = True) -> list[np.ndarray]:
+    """The columns; numbers as 64-bit ones, or else as they were packed."""
+    data = _UNZIP.decompress(data)
     (n,) = struct.unpack_from("<I", data)
-    at, out = 4 + 10 * n, []
-    for k in range(n):
-        kind, size, rows = struct.unpack_from("<cBQ", data, 4 + 10 * k)
-        planes = np.frombuffer(data, np.uint8, rows * size, at).reshape(size, rows)
+    at, out, head = 4 + 10 * n, [], struct.unpack_from("<" + "cBQ" * n, data, 4)
+    for kind, size, rows in zip(head[::3], head[1::3], head[2::3]):
+        x = np.frombuffer(data, np.uint8, rows * size, at)
         at += rows * size
-        if only is not None and k != only:
-            continue
-        x = np.ascontiguousarray(planes.T).reshape(-1).view(f"{kind.decode()}{size}")
-        out.append(x.astype(np.int64) if kind == b"u" else x)
+        if size > 1:
+            each = np.empty((rows, size), np.uint8)
+            for k in range(size):
+                each[:, k] = x[k * rows : (k + 1) * rows]
+            x = each.reshape(-1).view(f"{kind.decode()}{size}")
+        elif not wide:
+            x = x.copy()  # else it would hold all columns
+        out.append(x.astype(np.int64) if wide and kind == b"u" else x)
     return out
 
 
@@ -91,31 +129,63 @@ _PACKET = "bucket int, kind int, chunk long, part int, a binary, b binary"
 _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
 
+#: Rows and bytes of a batch of packets; a packet of more bytes is alone.
+_BATCH_ROWS, _BATCH_BYTES = 256, 1 << 20
+
+
 def _packets(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(rows), 16):
-        columns = list(zip(*rows[k : k + 16]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=[x.split()[0] for x in _PACKET.split(", ")])
+    start, size = 0, 0
+    for k in range(len(rows) + 1):
+        size += len(rows[k][4]) + len(rows[k][5]) if k < len(rows) else 0
+        if k > start and (k == len(rows) or k - start == _BATCH_ROWS or size > _BATCH_BYTES):
+            columns = list(zip(*rows[start:k]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=[x.split()[0] for x in _PACKET.split(", ")])
+            start, size = k, len(rows[k][4]) + len(rows[k][5]) if k < len(rows) else 0
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for k in range(batch.num_rows):
-            yield tuple(batch.column(c)[k].as_py() for c in range(6))
+        numbers = zip(*(batch.column(c).to_numpy().tolist() for c in range(4)))
+        for k, plain in enumerate(numbers):
+            yield *plain, batch.column(4)[k].as_py(), batch.column(5)[k].as_py()
 
 
 def _home(chunk: int, buckets: int) -> int:
-    return int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
+    """The bucket that `mix` of a chunk gives."""
+    x = chunk ^ (chunk >> 30)
+    x = x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return (x ^ (x >> 31)) % buckets
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(where: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """The places of each bucket that has any, in their order."""
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    return [(b, order[x:y]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+def _grouped(where: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of their buckets, as they were within one, and the buckets' cuts in it; those beyond `buckets` come last."""
+    order = np.argsort(where.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(where, minlength=buckets)[:buckets])])
+
+
+def _filled(cuts: np.ndarray) -> np.ndarray:
+    """The buckets that have any."""
+    return np.flatnonzero(cuts[1:] > cuts[:-1])
+
+
+def _steps(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The steps between rising numbers, from 0 anew in each part."""
+    out = np.diff(x, prepend=0)
+    starts = cuts[:-1][_filled(cuts)]
+    out[starts] = x[starts]
+    return out
+
+
+def _sent(columns: list[np.ndarray], cuts: np.ndarray) -> dict[int, bytes]:
+    """The packed parts of the buckets that have any; columns are in the order of buckets, the first rises within one."""
+    some = _filled(cuts)
+    return dict(zip(some.tolist(), packed_parts([_steps(columns[0], cuts), *columns[1:]], np.append(cuts[some], cuts[-1]))))
 
 
 def padded(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -130,50 +200,58 @@ def padded(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """Some rows: their distinct words' keys, their tokens as places among these, and the rows' offsets."""
-
-    def __init__(self, parts: list[pa.RecordBatch], key: int):
-        keys, lengths = [], []
-        for batch in parts:
-            own, offsets = padded(Words(batch.column("text"), key))
-            keys.append(own)
-            lengths.append(np.diff(offsets))
-        self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        self.learnt = np.concatenate([b.column("learnt").to_numpy(zero_copy_only=False) for b in parts])
-        self.vocabulary, self.tokens = np.unique(np.concatenate(keys), return_inverse=True)
+    """Some rows: their distinct words' keys and buckets' cuts in them, their tokens as places among these, and the rows' offsets."""
+
+    def __init__(self, parts: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], buckets: int):
+        self.offsets = np.concatenate([[0], np.cumsum(np.concatenate([n for *_, n in parts]))])
+        self.rows = pa.Table.from_batches([b for b, *_ in parts]).combine_chunks()
+        coded = pc.dictionary_encode(pa.array(np.concatenate([k for _, k, _ in parts])))
+        distinct, tokens = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order, self.cuts = _grouped(_bucket(distinct, buckets), buckets)
+        place = np.zeros(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.vocabulary, self.tokens = distinct[order], place[tokens]
 
     def counts(self) -> np.ndarray:
         """Occurrences of each word, and of the end after the words, in the rows learnt from."""
-        taken = np.repeat(self.learnt, np.diff(self.offsets))
+        taken = np.repeat(self.rows.column("learnt").to_numpy(), np.diff(self.offsets))
         taken[self.offsets[:-1]] = False
         return np.bincount(self.tokens[taken], minlength=len(self.vocabulary))
 
 
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _chunked(buckets: int, key: int):
-    """Kind 0: a chunk's texts in parts; kind 1: its distinct words and their counts, by bucket."""
+    """Kind 0: a chunk's tokens as places among its distinct words, these in the order of their buckets, and its rows;
+    kind 1: its distinct words and their counts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, at, size = TaskContext.get().partitionId(), 0, 0
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
 
-        def words(chunk: int) -> Iterator[pa.RecordBatch]:
-            whole = Chunk(held, key)
-            counts = whole.counts()
-            yield from _packets([(b, 1, chunk, 0, whole.vocabulary[x].tobytes(), packed(counts[x])) for b, x in _split(_bucket(whole.vocabulary, buckets), buckets)])
+        def out(chunk: int) -> Iterator[pa.RecordBatch]:
+            whole = Chunk(held, buckets)
+            cuts = whole.cuts
+            some = _filled(cuts)
+            counts = packed_parts([whole.counts()], np.append(cuts[some], cuts[-1]))
+            rows = whole.rows.append_column("n_tokens", pa.array(np.diff(whole.offsets) - 1))
+            yield from _packets([(_home(chunk, buckets), 0, chunk, 0, packed(whole.tokens), _stream(rows))])
+            yield from _packets([(b, 1, chunk, 0, whole.vocabulary[cuts[b] : cuts[b + 1]].tobytes(), c) for b, c in zip(some.tolist(), counts)])
 
         for batch in pieces(batches):
-            chunk = (task << 32) + at
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch)
-            yield from _packets([(_home(chunk, buckets), 0, chunk, len(held), sink.getvalue().to_pybytes(), b"")])
-            held.append(batch)
+            keys, offsets = padded(Words(batch.column("text"), key))
+            held.append((batch.select(["doc_id", "learnt"]), keys, np.diff(offsets)))
             size += batch.column("text").nbytes
             if size > _CHUNK:
-                yield from words(chunk)
+                yield from out((task << 32) + at)
                 held, at, size = [], at + 1, 0
         if held:
-            yield from words((task << 32) + at)
+            yield from out((task << 32) + at)
 
     return run
 
@@ -195,11 +273,8 @@ def _numbered(buckets: int, least: int):
             numbers = np.zeros(len(words), np.int64)
             numbers[kept] = np.arange(len(kept)) * buckets + last + 1
             yield from _packets([(last, 2, 0, 0, packed(counts[kept]), packed(np.array([counts.sum(), (counts > 0).sum()])))])
-            at = 0
-            for (chunk, *_), n in zip(held, sizes):
-                own = which[at : at + n]
-                yield from _packets([(_home(chunk, buckets), 3, chunk, last, packed(numbers[own], counts[own]), b"")])
-                at += n
+            answers = packed_parts([numbers[which], counts[which]], np.cumsum([0, *sizes]))
+            yield from _packets([(_home(chunk, buckets), 3, chunk, last, a, b"") for (chunk, *_), a in zip(held, answers)])
 
         for bucket, _, chunk, _, a, b in _rows(batches):
             if held and bucket != last:
@@ -213,50 +288,62 @@ def _numbered(buckets: int, least: int):
     return run
 
 
-def _coded(buckets: int, scale: float, key: int):
+def _coded(buckets: int, scale: float):
     """Kind 4: a chunk as its kept words' numbers, their counts, and its tokens as places among these, from 1; and its rows' plain figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        parts: list[pa.RecordBatch] = []
-        answers: dict[int, list[np.ndarray]] = {}
+        body: tuple[bytes, bytes] | None = None
+        answers: list[list[np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            whole = Chunk(parts, key)
-            numbers, counts = (np.zeros(len(whole.vocabulary), np.int64) for _ in range(2))
-            for b, x in _split(_bucket(whole.vocabulary, buckets), buckets):
-                numbers[x], counts[x] = answers[b]
+            (tokens,), rows = unpacked(body[0]), pa.ipc.open_stream(body[1]).read_all().combine_chunks()
+            # Answers come in the order of buckets, as the chunk's words are.
+            numbers, counts = (np.concatenate(x) for x in zip(*answers))
+            lengths = rows.column("n_tokens").to_numpy() + 1
+            starts = np.cumsum(lengths) - lengths
             kept = np.unique(numbers[numbers > 0])
-            places = np.where(numbers > 0, np.searchsorted(kept, numbers) + 1, 0)
+            places = np.where(numbers > 0, np.searchsorted(kept, numbers) + 1, 0).astype(np.int32)
             often = np.zeros(len(kept), np.int64)
             often[places[places > 0] - 1] = counts[places > 0]
-            first = np.zeros(len(whole.tokens), dtype=bool)
-            first[whole.offsets[:-1]] = True
-            count = counts[whole.tokens]
-            base = np.add.reduceat(np.where(first, 0, np.log10(count + 1) - np.log10(scale)), whole.offsets[:-1])
-            known = np.add.reduceat((~first & (count > 0)).astype(np.int64), whole.offsets[:-1])
-            ids = pa.concat_arrays([p.column("doc_id") for p in parts])
-            table = pa.RecordBatch.from_arrays([ids, pa.array(~whole.learnt), pa.array(np.diff(whole.offsets) - 1), pa.array(known), pa.array(base)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_batch(table)
-            yield from _packets([(_home(last, buckets), 4, last, 0, packed(kept, often, places[whole.tokens]), sink.getvalue().to_pybytes())])
-
-        for _, kind, chunk, part, a, _ in _rows(batches):
-            if parts and chunk != last:
+            worth = (np.log10(counts + 1) - np.log10(scale))[tokens]
+            worth[starts] = 0
+            seen = (counts > 0)[tokens]
+            seen[starts] = False
+            base, known = np.add.reduceat(worth, starts), np.add.reduceat(seen.astype(np.int64), starts)
+            table = pa.table([rows.column("doc_id"), pa.array(~rows.column("learnt").to_numpy()), rows.column("n_tokens"), pa.array(known), pa.array(base)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score"])
+            yield from _packets([(_home(last, buckets), 4, last, 0, packed(kept, often, places[tokens]), _stream(table))])
+
+        for _, kind, chunk, _, a, b in _rows(batches):
+            if body and chunk != last:
                 yield from out()
-                parts, answers = [], {}
+                body, answers = None, []
             last = chunk
             if kind == 0:
-                parts.extend(pa.ipc.open_stream(a))
+                body = a, b
             else:
-                answers[part] = unpacked(a)
-        if parts:
+                answers.append(unpacked(a))
+        if body:
             yield from out()
 
     return run
 
 
+def _ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers from 0 in order, and the rank of each of `codes`; sorted with their places in the low bits where these fit."""
+    bits = len(codes).bit_length()
+    if int(codes.max(initial=0)).bit_length() + bits > 63:
+        return np.unique(codes, return_inverse=True)
+    both = (codes << bits) | np.arange(len(codes))
+    both.sort()
+    ordered = both >> bits
+    fresh = np.ones(len(codes), dtype=bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    ranks = np.empty(len(codes), np.int64)
+    ranks[both & ((1 << bits) - 1)] = np.cumsum(fresh) - 1
+    return ordered[fresh], ranks
+
+
 class Runs:
     """The distinct runs of 2 to `width` tokens in some rows, a length after the other.
 
@@ -271,7 +358,7 @@ class Runs:
         if chosen is not None:
             ok &= np.repeat(chosen, np.diff(offsets))
         self.at = np.flatnonzero(ok)
-        most = int(tokens.max(initial=0)) + 1
+        bits = int(tokens.max(initial=0)).bit_length()
         own, end = tokens[self.at].astype(np.int64), ends[self.at]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.first = np.zeros(0, np.int64)
@@ -281,10 +368,8 @@ class Runs:
             alive = alive & (place < end)
             more = np.where(alive, tokens[np.minimum(place, len(tokens) - 1)], 0)
             alive = more > 0
-            own = own.astype(np.int64)
-            codes, own = np.unique(own * most + more, return_inverse=True)
-            own = own.astype(np.int32 if len(codes) < 1 << 31 else np.int64)
-            self.levels.append((codes // most, (codes % most).astype(tokens.dtype), own))
+            codes, own = _ranked((own << bits) | more)
+            self.levels.append((codes >> bits, codes & ((1 << bits) - 1), own))
         self.first = self.levels[0][0]
 
     def buckets(self, numbers: np.ndarray, counts: np.ndarray, buckets: int, hot: float) -> list[np.ndarray]:
@@ -308,7 +393,7 @@ class Runs:
 
 def _runs(buckets: int, width: int, hot: float, learnt: bool):
     """Kind 1: the distinct runs in a chunk's rows learnt from, by bucket, sorted, with the counts of their first two words
-    and their own. Or, for all rows, kind 2: the distinct runs; kind 3: the distinct words."""
+    and their own. Or, for all rows, kind 2: the distinct runs, and the distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, chunk, _, a, b in _rows(batches):
@@ -317,18 +402,17 @@ def _runs(buckets: int, width: int, hot: float, learnt: bool):
             offsets = np.concatenate([[0], np.cumsum(table.column("n_tokens").to_numpy() + 1)])
             runs = Runs(tokens, offsets, width, ~table.column("held_out").to_numpy() if learnt else None)
             numbers, often = np.concatenate([[0], kept]), np.concatenate([[0], often])
-            places = runs.columns()
-            counts = np.bincount(runs.levels[-1][2], minlength=len(places[0]))
-            rows = []
-            for to, x in _split(runs.buckets(numbers, often, buckets, hot)[-1], buckets):
-                own = [numbers[c[x]] for c in places]
-                own[0] = np.diff(own[0], prepend=0)
-                if learnt:
-                    own += [often[places[0][x]], often[places[1][x]], counts[x]]
-                rows.append((to, 1 if learnt else 2, chunk, 0, packed(*own), b""))
-            if not learnt:
-                rows += [(to, 3, chunk, 0, packed(np.diff(kept[x], prepend=0)), b"") for to, x in _split((kept - 1) % buckets, buckets)]
-            yield from _packets(rows)
+            order, cuts = _grouped(runs.buckets(numbers, often, buckets, hot)[-1], buckets)
+            places = [c[order] for c in runs.columns()]
+            own = [numbers[c] for c in places]
+            if learnt:
+                counts = np.bincount(runs.levels[-1][2], minlength=len(order))
+                own += [often[places[0]], often[places[1]], counts[order]]
+                yield from _packets([(to, 1, chunk, 0, x, b"") for to, x in _sent(own, cuts).items()])
+            else:
+                order, others = _grouped((kept - 1) % buckets, buckets)
+                whole, words = _sent(own, cuts), _sent([kept[order]], others)
+                yield from _packets([(to, 2, chunk, 0, whole.get(to, b""), words.get(to, b"")) for to in sorted(whole.keys() | words.keys())])
 
     return run
 
@@ -368,27 +452,33 @@ def _added(width: int, least: int, scale: float, hot: float):
     with the occurrences of their contexts; kind 7: sums over the runs of hot words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: list[list[np.ndarray]] = []
         last = None
 
-        def column(a: bytes, k: int, kind: type) -> np.ndarray:
-            x = unpacked(a, k)[0]
-            return (np.cumsum(x) if k == 0 else x).astype(kind)
-
         def out() -> Iterator[pa.RecordBatch]:
-            # Packets are opened a column at a time and numbers kept in 32 bits, so that a bucket stays small.
-            *columns, first_often, second_often, counts = (np.concatenate([column(a, k, np.int64 if k > width else np.uint32) for a in held]) for k in range(width + 3))
+            # Numbers are kept in 32 bits or in the width they came in, so that a bucket stays small.
+            whole = list(zip(*held))
+            columns = [np.concatenate(whole[k]).astype(np.uint32, copy=False) for k in range(width)]
+            first_often, second_often, counts = (np.concatenate(whole[k]) for k in range(width, width + 3))
+            held.clear()
             own, length, whole = columns[0], sum((c > 0).astype(np.uint8) for c in columns), None
             for n in range(2, width + 1):
                 codes = own.astype(np.int64)
                 codes *= _MOST
                 codes += columns[n - 1]
-                _, first, own = np.unique(codes, return_index=True, return_inverse=True)
-                sums = np.bincount(own, weights=counts).astype(np.int64)
+                order = np.argsort(codes)
+                codes = codes[order]
+                fresh = np.ones(len(codes), dtype=bool)
+                fresh[1:] = codes[1:] != codes[:-1]
+                starts = np.flatnonzero(fresh)
+                del codes
+                sums = np.add.reduceat(counts[order], starts, dtype=np.int64)
+                first, own = order[starts], np.zeros(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+                own[order] = np.cumsum(fresh, dtype=own.dtype) - 1
                 x = np.flatnonzero((sums >= least) & (length[first] >= n))
                 at = first[x]
                 if n == 2:
-                    total, shorter = first_often[at], np.log10((second_often[at] + 1) / scale)
+                    total, shorter = first_often[at].astype(np.int64), np.log10((second_often[at].astype(np.int64) + 1) / scale)
                     yield from _packets([(last, 5, 0, 0, packed(columns[0][at], columns[1][at], sums[x], total, shorter), b"")])
                     some = np.flatnonzero(total > hot)
                     if len(some):
@@ -401,9 +491,10 @@ def _added(width: int, least: int, scale: float, hot: float):
         for bucket, _, _, _, a, _ in _rows(batches):
             if held and bucket != last:
                 yield from out()
-                held = []
             last = bucket
-            held.append(a)
+            columns = unpacked(a, wide=False)
+            columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+            held.append(columns)
         if held:
             yield from out()
 
@@ -455,41 +546,81 @@ def _pair_terms(buckets: int, width: int, hot: float, known: dict[int, tuple[boo
             yield from _packets([_placed(bucket, width, [first[some], second[some]], term[some])])
             words = names[state & (told.total <= hot)]
             values = weight[state & (told.total <= hot)]
-            yield from _packets([(to, 1, 0, 0, packed(np.diff(words[x], prepend=0), values[x]), b"") for to, x in _split((words - 1) % buckets, buckets)])
+            order, cuts = _grouped((words - 1) % buckets, buckets)
+            yield from _packets([(to, 1, 0, 0, x, b"") for to, x in _sent([words[order], values[order]], cuts).items()])
             yield from _packets([(bucket, 8, 0, 0, packed(first, second, value), b"")])
 
     return run
 
 
-def _values(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, a, _ in _rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(a)], names=[*_names(n, 2), "shorter"])
+def _endings(columns: list[np.ndarray], buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which runs ask for what they end in (all but their first words), by bucket and sorted, and the buckets' cuts in it."""
+    key = columns[1].astype(np.uint64)
+    where = _bucket(np.where(np.isin(columns[1], hot), mix(key) + columns[2].astype(np.uint64), key), buckets)
+    return np.lexsort((*columns[:0:-1], where)), np.concatenate([[0], np.cumsum(np.bincount(where, minlength=buckets))])
 
-    return run
 
+def _asking(n: int, buckets: int, hot: np.ndarray):
+    """From kind 6: kind 9, what a bucket's (`chunk`) runs of n words end in."""
 
-def _longer(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, _, _, _, a, _ in _rows(batches):
-            columns = unpacked(a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), bucket, np.int32)), *map(pa.array, columns)], names=["bucket", *_names(n), "count", "total"])
+            columns = unpacked(a)[:n]
+            order, cuts = _endings(columns, buckets, hot)
+            yield from _packets([(to, 9, bucket, 0, x, b"") for to, x in _sent([c[order] for c in columns[1:]], cuts).items()])
 
     return run
 
 
-def _longer_terms(n: int, width: int):
-    """From rows (bucket, words, count, total, shorter) sorted by bucket and words: kind 0, the gains of runs of n words and the
+class Values:
+    """The values of distinct runs of a length, found by their words' numbers."""
+
+    def __init__(self, columns: list[np.ndarray], values: np.ndarray):
+        self.levels, own = [], columns[0]
+        for column in columns[1:]:
+            distinct, own = np.unique(own * _MOST + column, return_inverse=True)
+            self.levels.append(distinct)
+        self.values = np.zeros(len(values))
+        self.values[own] = values
+
+    def find(self, columns: list[np.ndarray]) -> np.ndarray:
+        own = columns[0]
+        for distinct, column in zip(self.levels, columns[1:]):
+            codes = own * _MOST + column
+            own = np.searchsorted(distinct, codes)
+            if len(own) and (own.max() >= len(distinct) or (distinct[own] != codes).any()):
+                raise ValueError("a run was kept, but not what it ends in")
+        return self.values[own]
+
+
+def _told_endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kind 10: what each bucket asked for (kind 9), in the order asked, from what is there (kind 8)."""
+    last, found = None, None
+    for bucket, kind, chunk, _, a, _ in _rows(batches):
+        if bucket != last:
+            last, found = bucket, None
+        columns = unpacked(a)
+        if kind == 8:
+            found = Values(columns[:-1], columns[-1])
+            continue
+        if found is None:
+            raise ValueError("a run was kept, but not what it ends in")
+        columns[0] = np.cumsum(columns[0])
+        yield from _packets([(chunk, 10, 0, bucket, packed(found.find(columns)), b"")])
+
+
+def _longer_terms(n: int, width: int, buckets: int, hot: np.ndarray):
+    """From kind 6 and the answers of each bucket (kind 10), in their order: kind 0, the gains of runs of n words and the
     weights of their contexts that are states; and kind 8 as of runs of two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        last, body = None, b""
+        answers: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            words = [table.column(w).to_numpy() for w in _names(n)]
-            counts, total, shorter = (table.column(c).to_numpy() for c in ("count", "total", "shorter"))
+            *words, counts, total = unpacked(body)
+            shorter = np.zeros(len(counts))
+            shorter[_endings(words, buckets, hot)[0]] = np.concatenate(answers)
             fresh = np.ones(len(counts), dtype=bool)
             fresh[1:] = np.any([w[1:] != w[:-1] for w in words[:-1]], axis=0)
             told = Contexts(np.cumsum(fresh), counts, total, shorter)
@@ -501,18 +632,16 @@ def _longer_terms(n: int, width: int):
             rows = [_placed(last, width, [w[some] for w in words], term[some]), _placed(last, width, [w[ones] for w in words[:-1]], weight[state])]
             yield from _packets(rows + ([(last, 8, 0, 0, packed(*words, value), b"")] if n < width else []))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            where = batch.column("bucket").to_numpy()
-            cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1), batch.num_rows]
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if held and where[x] != last:
-                    yield from out()
-                    held = []
-                last = int(where[x])
-                held.append(batch.slice(x, y - x))
-        if held:
+        for bucket, kind, _, _, a, _ in _rows(batches):
+            if answers and bucket != last:
+                yield from out()
+                answers = []
+            last = bucket
+            if kind == 6:
+                body = a
+            else:
+                answers.append(unpacked(a)[0])
+        if answers:
             yield from out()
 
     return run
@@ -548,7 +677,7 @@ class Model:
             raise ValueError(f"more than {_MOST} numbers of words")
         self.scale, self.hot = float(self.tokens + self.distinct + 1), self.tokens / (_HOT * buckets)
         both = asked.filter("kind = 0").unionByName(numbered.filter("kind = 3"))
-        self.coded = written(together(both, "chunk", "kind", "part").mapInArrow(_coded(buckets, self.scale, key), _PACKET), "coded")
+        self.coded = written(together(both, "chunk", "kind", "part").mapInArrow(_coded(buckets, self.scale), _PACKET), "coded")
         dropped(asked)
         dropped(numbered)
         runs = self.coded.mapInArrow(_runs(buckets, width, self.hot, True), _PACKET)
@@ -560,10 +689,11 @@ class Model:
         hot = {int(w): (bool(s), float(x), float(t)) for w, s, x, t in zip(names, state, weight, whole)}
         terms = [written(counted.filter("kind = 5").mapInArrow(_pair_terms(buckets, width, self.hot, hot), _PACKET), "terms")]
         for n in range(3, width + 1):
-            fields = ", ".join(f"{w} long" for w in _names(n))
-            shorter = terms[-1].filter("kind = 8").mapInArrow(_values(n - 1), ", ".join([*(f"{w} long" for w in _names(n - 1, 2)), "shorter double"]))
-            rows = counted.filter(f"kind = 6 and part = {n}").mapInArrow(_longer(n), f"bucket int, {fields}, count long, total long").join(shorter, _names(n - 1, 2))
-            terms.append(written(together(rows, "bucket", *_names(n)).mapInArrow(_longer_terms(n, width), _PACKET), "terms"))
+            longer = counted.filter(f"kind = 6 and part = {n}")
+            asking = terms[-1].filter("kind = 8").unionByName(longer.mapInArrow(_asking(n, buckets, names), _PACKET))
+            endings = together(asking, "bucket", "kind").mapInArrow(_told_endings, _PACKET)
+            rows = together(longer.unionByName(endings), "bucket", "kind", "part")
+            terms.append(written(rows.mapInArrow(_longer_terms(n, width, buckets, names), _PACKET), "terms"))
         dropped(counted)
         first = [(w, x) for w, (s, x, _) in sorted(hot.items()) if s]
         packets = list(_packets([((w - 1) % buckets, 1, 0, 0, packed(np.array([w]), np.array([x])), b"") for w, x in first]))
@@ -594,30 +724,39 @@ class Gains:
             gain = np.bincount(own[length == n], weights=gains[length == n], minlength=len(distinct))
             self.levels.append((distinct, gain))
 
-    def find(self, columns: list[np.ndarray]) -> Iterator[np.ndarray]:
-        """For each length the gains of the beginnings of sorted distinct runs: once for each distinct one, in order."""
+    def find(self, columns: list[np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length the gains of the beginnings of distinct runs, which are sorted in each part: once for each
+        distinct one, in order, and the parts' starts among them."""
         fresh = np.zeros(len(columns[0]), dtype=bool)
-        fresh[:1] = True
-        fresh[1:] = columns[0][1:] != columns[0][:-1]
-        own, known = columns[0], np.ones(len(fresh), dtype=bool)
+        fresh[starts] = True
+        fresh[1:] |= columns[0][1:] != columns[0][:-1]
+        own = columns[0]
         for (distinct, gain), column in zip(self.levels, columns[1:]):
             fresh[1:] |= column[1:] != column[:-1]
-            x = np.flatnonzero(fresh & (column > 0))
-            if not len(distinct):
-                known = np.zeros(len(fresh), dtype=bool)
-                yield np.zeros(len(x))
-                continue
-            codes = own * self.base + column
-            own = np.minimum(np.searchsorted(distinct, codes), len(distinct) - 1)
-            known = known & (distinct[own] == codes) & (column > 0)
-            yield np.where(known[x], gain[own[x]], 0.0)
+            first = np.flatnonzero(fresh)
+            x = column[first] > 0
+            asked = np.flatnonzero(x & (own[first] >= 0))
+            codes = own[first[asked]] * self.base + column[first[asked]]
+            at, place = np.searchsorted(distinct, codes), np.full(len(first), -1)
+            right = at < len(distinct)
+            right[right] = distinct[at[right]] == codes[right]
+            place[asked[right]] = at[right]
+            gains = np.zeros(len(first))
+            gains[asked[right]] = gain[at[right]]
+            yield gains[x], np.searchsorted(first[x], starts)
+            own = place[np.cumsum(fresh) - 1]
+
+
+#: Runs that are looked up at once.
+_ASKED = 1 << 17
 
 
 def _answered(buckets: int, width: int, base: int):
     """Answers what chunks ask of each bucket, in the order asked, at the chunk's own bucket: which are found, and their gains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, found = None, {}, None
+        last, held, found, size = None, {}, None, 0
+        asked: list[tuple[int, list[np.ndarray], list[np.ndarray]]] = []
 
         def built() -> tuple[Gains, tuple[np.ndarray, np.ndarray]]:
             whole = [np.concatenate(x) for x in zip(*held.get(0, []))] or [np.zeros(0, np.int64)] * width + [np.zeros(0)]
@@ -625,31 +764,58 @@ def _answered(buckets: int, width: int, base: int):
             order = np.argsort(words[0])
             return Gains(whole[:-1], whole[-1], base), (words[0][order], words[1][order])
 
-        for bucket, kind, chunk, _, a, _ in _rows(batches):
+        def out() -> Iterator[pa.RecordBatch]:
+            lengths = [len(c[0]) for _, c, _ in asked]
+            levels = list(found[0].find([np.concatenate(x) for x in zip(*(c for _, c, _ in asked))], (np.cumsum(lengths) - lengths)[np.array(lengths) > 0]))
+            levels = [(gains, np.append(starts, len(gains)).tolist()) for gains, starts in levels]
+            keys, values = found[1]
+            words = np.concatenate([w for *_, w in asked])
+            at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
+            weights = np.where(keys[at] == words, values[at], 0.0) if len(keys) else np.zeros(len(words))
+            rows, part, start = [], 0, 0
+            for (chunk, columns, own), n in zip(asked, lengths):
+                gains = np.concatenate([g[cuts[part] : cuts[part + 1]] for g, cuts in levels]) if n else np.zeros(0)
+                rows.append((_home(chunk, buckets), 2, chunk, last, _some(gains), _some(weights[start : start + len(own)])))
+                part, start = part + (n > 0), start + len(own)
+            yield from _packets(rows)
+
+        for bucket, kind, chunk, _, a, b in _rows(batches):
+            if asked and (bucket != last or size > _ASKED):
+                yield from out()
+                asked, size = [], 0
             if bucket != last:
                 last, held, found = bucket, {}, None
-            columns = unpacked(a)
-            columns[0] = np.cumsum(columns[0])
             if kind < 2:
+                columns = unpacked(a)
+                columns[0] = np.cumsum(columns[0])
                 held.setdefault(kind, []).append(columns)
                 continue
             if found is None:
                 found, held = built(), {}
-            if kind == 2:
-                gains = np.concatenate(list(found[0].find(columns)))
-            else:
-                keys, values = found[1]
-                at = np.minimum(np.searchsorted(keys, columns[0]), max(len(keys) - 1, 0))
-                gains = np.where(keys[at] == columns[0], values[at], 0.0) if len(keys) else np.zeros(len(columns[0]))
-            some = gains != 0
-            yield from _packets([(_home(chunk, buckets), kind, chunk, last, np.packbits(some).tobytes(), packed(gains[some]))])
+            columns = unpacked(a) if a else [np.zeros(0, np.int64)] * width
+            columns[0] = np.cumsum(columns[0])
+            asked.append((chunk, columns, np.cumsum(unpacked(b)[0]) if b else np.zeros(0, np.int64)))
+            size += len(columns[0])
+        if asked:
+            yield from out()
 
     return run
 
 
-def _gains(answer: tuple[bytes, bytes], n: int) -> np.ndarray:
-    out = np.zeros(n)
-    out[np.unpackbits(np.frombuffer(answer[0], np.uint8), count=n).astype(bool)] = unpacked(answer[1])[0]
+def _some(gains: np.ndarray) -> bytes:
+    """Which gains aren't 0, and these."""
+    if not len(gains):
+        return b""
+    some = gains != 0
+    return packed(np.packbits(some), gains[some])
+
+
+def _gains(answers: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The gains of all answers, one after the other."""
+    parts = [(*unpacked(a, wide=False), n) for a, n in zip(answers, lengths.tolist()) if n]
+    out = np.zeros(lengths.sum())
+    if parts:
+        out[np.concatenate([np.unpackbits(bits, count=n) for bits, _, n in parts]).astype(bool)] = np.concatenate([x for _, x, _ in parts])
     return out
 
 
@@ -658,33 +824,33 @@ def _finished(buckets: int, width: int, hot: float, tokens_learnt: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+        answers: dict[int, tuple[bytes, bytes]] = {}
         for _, kind, chunk, part, a, b in _rows(batches):
             if kind < 4:
-                answers.setdefault(kind, {})[part] = (a, b)
+                answers[part] = a, b
                 continue
             kept, often, tokens = unpacked(a)
             table = pa.ipc.open_stream(b).read_all()
             offsets = np.concatenate([[0], np.cumsum(table.column("n_tokens").to_numpy() + 1)])
             numbers, often = np.concatenate([[0], kept]), np.concatenate([[0], often])
+            told = [answers.get(to, (b"", b"")) for to in range(buckets)]
+            answers = {}
             weight = np.zeros(len(numbers))
-            for to, x in _split((kept - 1) % buckets, buckets):
-                weight[x + 1] = _gains(answers[3][to], len(x))
+            order, cuts = _grouped((kept - 1) % buckets, buckets)
+            weight[order + 1] = _gains([b for _, b in told], np.diff(cuts))
             gain = weight[tokens]
             gain[offsets[1:] - 1] = 0  # the last end is no context
             runs = Runs(tokens, offsets, width)
-            places = runs.buckets(numbers, often, buckets, hot)
-            values = [np.zeros(len(level[0])) for level in runs.levels]
-            own = [dict(_split(np.where(last > 0, where, buckets), buckets)) for where, (_, last, _) in zip(places, runs.levels)]
-            for to, answer in answers.get(2, {}).items():
-                at = [o.get(to, np.zeros(0, np.int64)) for o in own]
-                whole, k = _gains(answer, sum(map(len, at))), 0
-                for value, x in zip(values, at):
-                    value[x] = whole[k : k + len(x)]
-                    k += len(x)
-            for value, (_, _, which) in zip(values, runs.levels):
+            # A bucket's answer has its runs of two words, then those of three and so on; runs with no kept last word aren't asked for.
+            parts = [_grouped(np.where(last > 0, where, buckets), buckets) for where, (_, last, _) in zip(runs.buckets(numbers, often, buckets, hot), runs.levels)]
+            sizes = [np.diff(cuts) for _, cuts in parts]
+            whole = _gains([a for a, _ in told], sum(sizes))
+            start = np.cumsum(sum(sizes)) - sum(sizes)
+            for (order, cuts), size, (_, _, which) in zip(parts, sizes, runs.levels):
+                value = np.zeros(len(order))
+                value[order[: cuts[-1]]] = whole[np.arange(cuts[-1]) + np.repeat(start - cuts[:-1], size)]
                 gain[runs.at] += value[which]
-            answers = {}
+                start = start + size
             base = table.column("base_score").to_numpy()
             some = [table.column(c).combine_chunks() for c in names[:4]]
             yield pa.RecordBatch.from_arrays([*some, pa.array(np.full(len(base), tokens_learnt, np.int64)), pa.array(base), pa.array(base + np.add.reduceat(gain, offsets[:-1]))], names=names)

@@ -296,6 +296,52 @@ def test_a_sequence_is_kept_at_any_size(spark):
     assert got[1]["score"] == got[2]["score"] > got[1]["base_score"] + 10
 
 
+def test_scores_match_brute_force_with_many_buckets(spark):
+    """Most buckets of most chunks are empty."""
+    texts = passages(random.Random(7)) + ["", "c1 " * 30]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(odd_rows(spark, list(enumerate(texts))), "true", depth=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [got[k] for k in range(len(texts))] == pytest.approx(brute_scores(texts, 3, 2)[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("learn", [True, False])
+def test_a_packet_costs_a_few_calls(learn):
+    """Packets grow as the square of the corpus: each must cost little beside what is done once a chunk."""
+    import sys
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw, rows = np.random.default_rng(5), pa.BufferOutputStream()
+    table = pa.table({"n_tokens": pa.array([49_999]), "held_out": pa.array([False])})
+    with pa.ipc.new_stream(rows, table.schema) as out:
+        out.write_table(table)
+    kept = np.arange(1, 20_001)
+    chunk = (0, 4, 0, 0, suffix_tree.packed(kept, kept, draw.integers(1, 20_001, 50_000)), rows.getvalue().to_pybytes())
+
+    def made(buckets):
+        calls = 0
+
+        def counted(frame, event, arg):
+            nonlocal calls
+            calls += event in ("call", "c_call")
+
+        batches = list(suffix_tree._packets([chunk]))
+        sys.setprofile(counted)
+        try:
+            packets = sum(b.num_rows for b in suffix_tree._runs(buckets, 3, 1e9, learn)(iter(batches)))
+        finally:
+            sys.setprofile(None)
+        return calls, packets
+
+    (few, _), (many, packets) = made(10), made(1000)
+    assert packets <= 1000 and (many - few) / 990 < 40
+
+
 def test_words_that_collide_without_a_key_are_told_apart(spark):
     """A Thue-Morse word and its complement, equal under any polynomial modulo a power of two."""
     a = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
