@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def raw(kind: Column, body: Column) -> Column:
     return F.concat(utf8(F.concat(kind, F.lit(" "), F.octet_length(body).cast("string"))), F.lit(bytearray(1)), body)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row; a plain column is computed again wherever f names it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def object_id(kind: Column, body: Column) -> Column:
     return F.sha1(raw(kind, body))
 
@@ -91,11 +98,15 @@ _PERSON = r"^(.*) <([^>]*)> ([0-9]+) ([+-])([0-9]{2})([0-9]{2})$"
 
 def parsed_person(line: Column, strict: bool = True) -> Column:
     """A struct (name, email, seconds, offset). A malformed line raises, or is null where not strict."""
-    part = lambda k: F.regexp_extract(line, _PERSON, k)
-    minutes = part(5).cast("int") * 60 + part(6).cast("int")
-    person = F.struct(part(1).alias("name"), part(2).alias("email"), part(3).cast("long").alias("seconds"), F.when(part(4) == "+", -minutes).otherwise(minutes).alias("offset"))
-    other = F.raise_error(F.concat(F.lit("not a person: "), F.coalesce(line, F.lit("null")))) if strict else F.lit(None)
-    return F.when(F.coalesce(line.rlike(_PERSON), F.lit(False)), person).otherwise(other)
+
+    def person(line: Column) -> Column:
+        part = lambda k: F.regexp_extract(line, _PERSON, k)
+        minutes = part(5).cast("int") * 60 + part(6).cast("int")
+        made = F.struct(part(1).alias("name"), part(2).alias("email"), part(3).cast("long").alias("seconds"), F.when(part(4) == "+", -minutes).otherwise(minutes).alias("offset"))
+        other = F.raise_error(F.concat(F.lit("not a person: "), F.coalesce(line, F.lit("null")))) if strict else F.lit(None)
+        return F.when(F.coalesce(line.rlike(_PERSON), F.lit(False)), made).otherwise(other)
+
+    return once(line, person)
 
 
 def commit_body(tree: Column, parents: Column, author: Column, committer: Column, message: Column) -> Column:
@@ -111,10 +122,15 @@ def tag_body(target: Column, kind: Column, tag: Column, tagger: Column, message:
     return utf8(F.concat_ws("\n", F.concat(F.lit("object "), checked_hash(target)), F.concat(F.lit("type "), kind), F.concat(F.lit("tag "), tag), F.concat(F.lit("tagger "), person_line(tagger)), F.lit(""), message))
 
 
-def _headers(body: Column) -> tuple[Column, Column]:
-    text = F.decode(body, "utf-8")
-    at = F.locate("\n\n", text)
-    return F.split(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), "\n"), F.when(at > 0, F.substring(text, at + 2, F.length(text))).otherwise(F.lit(""))
+def _from_headers(body: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """What is made of a body's lines of headers and its message; the body is decoded and split once."""
+
+    def parts(text: Column) -> Column:
+        head = F.substring_index(text, "\n\n", 1)
+        message = F.substring(text, F.length(head) + 3, F.length(text))
+        return once(F.struct(F.split(head, "\n").alias("lines"), message.alias("message")), lambda x: made(x["lines"], x["message"]))
+
+    return once(F.decode(body, "utf-8"), parts)
 
 
 def _values(lines: Column, key: str) -> Column:
@@ -123,16 +139,20 @@ def _values(lines: Column, key: str) -> Column:
 
 def parsed_commit(body: Column) -> Column:
     """A struct (tree, parents, author, committer, message), null for a null body; parents in order, headers of other kinds dropped."""
-    lines, message = _headers(body)
-    one = lambda key: F.get(_values(lines, key), F.lit(0))
-    made = F.struct(one("tree").alias("tree"), _values(lines, "parent").alias("parents"), parsed_person(one("author")).alias("author"), parsed_person(one("committer")).alias("committer"), message.alias("message"))
-    return F.when(body.isNotNull(), made)
+
+    def commit(lines: Column, message: Column) -> Column:
+        one = lambda key: F.get(_values(lines, key), F.lit(0))
+        return F.struct(one("tree").alias("tree"), _values(lines, "parent").alias("parents"), parsed_person(one("author")).alias("author"), parsed_person(one("committer")).alias("committer"), message.alias("message"))
+
+    return F.when(body.isNotNull(), _from_headers(body, commit))
 
 
 def parsed_tag(body: Column) -> Column:
-    lines, message = _headers(body)
-    one = lambda key: F.get(_values(lines, key), F.lit(0))
-    return F.struct(one("object").alias("object"), one("type").alias("type"), one("tag").alias("tag"), parsed_person(one("tagger")).alias("tagger"), message.alias("message"))
+    def tag(lines: Column, message: Column) -> Column:
+        one = lambda key: F.get(_values(lines, key), F.lit(0))
+        return F.struct(one("object").alias("object"), one("type").alias("type"), one("tag").alias("tag"), parsed_person(one("tagger")).alias("tagger"), message.alias("message"))
+
+    return _from_headers(body, tag)
 
 
 def ref_line(hash_: Column) -> Column:

@@ -264,9 +264,7 @@ def mode_predicates(spark, folder):
   1700000000 + c_custkey AS seconds, o::INT AS "offset" FROM (SELECT *, (c_custkey % 49 - 24) * 30 AS o FROM customer)"""
 )
 def person_codec(spark, folder):
-    offset = ((F.col("c_custkey") % 49 - 24) * 30).cast("int")
-    person = F.struct(F.col("c_name").alias("name"), F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("email"), (F.col("c_custkey") + 1_700_000_000).alias("seconds"), offset.alias("offset"))
-    rows = table(spark, folder, "customer").select("c_custkey", codec.person_line(person).alias("line"))
+    rows = writers(spark, folder).select("c_custkey", codec.person_line(F.col("person")).alias("line"))
     return rows.select("c_custkey", "line", codec.parsed_person(F.col("line")).alias("p")).select("c_custkey", "line", "p.seconds", "p.offset")
 
 
@@ -285,10 +283,15 @@ _WRITTEN = "SELECT *, (c_custkey % 49 - 24) * 30 AS o FROM customer"
 
 
 def writers(spark: SparkSession, folder: str) -> DataFrame:
-    """(c_custkey, c_name, person): customers as people who write commits."""
+    """(c_custkey, c_name, c_nationkey, person): customers as people who write commits.
+
+    They are few bytes and much work, and the rows of a row group are read by one task, so they are spread over all tasks first.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, for rows of few bytes would be coalesced again
     offset = ((F.col("c_custkey") % 49 - 24) * 30).cast("int")
     person = F.struct(F.col("c_name").alias("name"), F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("email"), (F.col("c_custkey") + 1_700_000_000).alias("seconds"), offset.alias("offset"))
-    return table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", person.alias("person"))
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").repartition(tasks, "c_custkey")
+    return rows.select("c_custkey", "c_name", "c_nationkey", person.alias("person"))
 
 
 @query(

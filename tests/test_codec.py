@@ -105,3 +105,27 @@ def test_container_settings(spark):
     bodies = [b'{"type":"t","typeVersion":"1"}', b"{}", b"nonsense", b'{"type":"t"}', None]
     df = spark.createDataFrame([(None if b is None else bytearray(b),) for b in bodies], "b binary")
     assert [r["c"]["error"] for r in df.select(codec.container_config(F.col("b")).alias("c")).collect()] == [None, "no type", "not json", "no version", "missing"]
+
+
+COMMIT = f"tree {'a' * 40}\nparent {'b' * 40}\nparent {'c' * 40}\nauthor Ä <a@x.org> 5 -0300\ncommitter N <n@x.org> 7 +0530\nencoding UTF-8"
+AUTHOR, COMMITTER = ("Ä", "a@x.org", 5, 180), ("N", "n@x.org", 7, -330)
+
+
+@pytest.mark.parametrize("rest, message", [("", ""), ("\n\n", ""), ("\n\nä\n\nparent x\n", "ä\n\nparent x\n"), ("\n\n\nm", "\nm")])
+def test_commit_bodies(spark, rest, message):
+    got = one(spark, codec.parsed_commit(F.lit(bytearray((COMMIT + rest).encode()))))
+    assert (got["tree"], got["parents"], tuple(got["author"]), tuple(got["committer"]), got["message"]) == ("a" * 40, ["b" * 40, "c" * 40], AUTHOR, COMMITTER, message)
+
+
+def test_commit_bodies_that_are_null_or_malformed(spark):
+    assert one(spark, codec.parsed_commit(F.lit(None).cast("binary"))) is None
+    body = F.lit(bytearray(COMMIT.replace("author", "writer").encode()))
+    with pytest.raises(Exception, match="not a person: null"):
+        one(spark, codec.parsed_commit(body)["tree"])
+
+
+@pytest.mark.parametrize("parse", [codec.parsed_commit, codec.parsed_tag])
+def test_bodies_are_decoded_once(spark, parse):
+    rows = spark.range(1).select(F.encode(F.col("id").cast("string"), "utf-8").alias("b"))
+    plan = rows.select(parse(F.col("b")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StringDecode.decode(") == 1
